@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import table, view, with_views
+from catalog.fixtures import view, with_views
 from catalog.registry import g, query, r, rnd, rounded, sig
-from winnow.functions import moments as M
 from winnow.operators import encode, features, impute, outlier, scale, select, split
 from winnow.plans import chain
 
@@ -328,11 +327,11 @@ def _yj_sql(c: str) -> str:
 
 @query(
     "norm_power_fixed_lambda",
-    with_views(["ds"], "SELECT row_id, " + ", ".join(f"{g(_yj_sql(c))} AS {c}" for c in NUM) + " FROM fu", FULL),
+    with_views(["ds"], "SELECT row_id, " + ", ".join(f"{r(_yj_sql(c))} AS {c}" for c in NUM) + " FROM fu", FULL),
 )
 def norm_power_fixed_lambda(spark, sf):
     df = complete(spark, sf)
-    return df.select("row_id", *[sig(scale.yeo_johnson(F.col(c), FIXED[c])).alias(c) for c in NUM])
+    return df.select("row_id", *[rnd(scale.yeo_johnson(F.col(c), FIXED[c])).alias(c) for c in NUM])
 
 
 _dropped = [c for c in NUM if c != "f_tier"]

@@ -55,19 +55,21 @@ def running_max_before(
 
     ``order`` must be an integer unique in the group; ``width`` is the bucket span.
     """
-    df = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / F.lit(width)))
-    keys = [*group, "_b"]
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = df.withColumn("_rm_v", value).withColumn("_rm_b", F.floor(F.col(order) / F.lit(width)))
+    keys = [*group, "_rm_b"]
+    before = Window.partitionBy(*group).orderBy("_rm_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        df.groupBy(*keys).agg(F.max("_v").alias("_m")).withColumn("_carry", F.max("_m").over(before)).drop("_m")
+        tagged.groupBy(*keys)
+        .agg(F.max("_rm_v").alias("_rm_m"))
+        .withColumn("_rm_c", F.max("_rm_m").over(before))
+        .drop("_rm_m")
     )
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # greatest skips NULLs, so an empty prefix on either side is harmless
-    return (
-        df.join(carried, keys)
-        .withColumn(out, F.greatest(F.max("_v").over(inside), F.col("_carry")))
-        .drop("_v", "_b", "_carry")
-    )
+    here = F.max("_rm_v").over(inside)
+    carry = F.col("_rm_c")
+    # either side may be an empty prefix
+    latest = F.when(carry.isNull() | (here > carry), F.coalesce(here, carry)).otherwise(carry)
+    return tagged.join(carried, keys).withColumn(out, latest).select(*df.columns, out)
 
 
 def ordered_ordinal(df: DataFrame, order: list, out: str) -> DataFrame:

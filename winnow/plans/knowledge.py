@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from winnow.session import small_table
+from winnow.session import cut_lineage, small_table
 
 NOT_MEASURES = ("dataset",)
 QUERY_LIMIT = 512
@@ -110,9 +110,12 @@ def nearest_datasets(
     each pass reads ``kb`` once and scores every row against up to 32 of them.
     """
     measures = [c for c in kb.columns if c not in NOT_MEASURES and c in queries.columns]
-    flat = kb.select(
-        F.col("dataset").cast("string").alias("dataset"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in measures],
+    # measures may still be a plan over raw tables: compute them once
+    flat = cut_lineage(
+        kb.select(
+            F.col("dataset").cast("string").alias("dataset"),
+            *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in measures],
+        )
     )
     asked = queries.select(
         F.col("dataset").cast("string").alias("dataset"),
