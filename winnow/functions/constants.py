@@ -13,3 +13,7 @@ def constant_array(rows, fields: str) -> Column:
     pairs = [f.split() for f in fields.split(", ")]
     text = json.dumps([dict(zip([n for n, _ in pairs], r)) for r in rows])
     return F.from_json(F.lit(text), "array<struct<%s>>" % ",".join(f"{n}:{t}" for n, t in pairs))
+
+
+def constant_doubles(values) -> Column:
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")

@@ -9,16 +9,21 @@ buckets that hold a wanted rank are sorted. Both routes return the same numbers.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.constants import constant_doubles
 from winnow.roles import col
 
 SMALL_ROWS = 2_000_000
 BUCKET_ROWS = 1_000_000
 MAX_BUCKETS = 10_000
+# the built-in aggregate walks all values once per probability
+FEW_PROBS = 64
 
 
 def exact_quantiles(
@@ -34,8 +39,8 @@ def exact_quantiles(
         return {}
     if n_rows is None:
         n_rows = df.count()
-    if n_rows <= small_rows:
-        p = F.array(*[F.lit(float(x)) for x in probs])
+    if n_rows <= small_rows and len(probs) <= FEW_PROBS:
+        p = constant_doubles(probs)
         r = df.agg(*[F.percentile(col(c), p).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {
             c: list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)
@@ -46,7 +51,7 @@ def exact_quantiles(
 
 def value_splits(df: DataFrame, cols: list[str], buckets: int) -> dict[str, tuple[int, list[float]]]:
     """{column: (non-null count, ascending distinct inner cut points)} from one sketch pass."""
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)] or [F.lit(0.5)])
+    grid = constant_doubles([i / buckets for i in range(1, buckets)] or [0.5])
     accuracy = max(10_000, 10 * buckets)
     aggs = []
     for i, c in enumerate(cols):
@@ -72,7 +77,8 @@ def with_buckets(df: DataFrame, splits: dict[str, list[float]], suffix: str = "_
 
 
 def _bucketed(df, cols, probs, n_rows, bucket_rows):
-    buckets = int(min(MAX_BUCKETS, max(2, math.ceil(n_rows / bucket_rows))))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    buckets = int(min(MAX_BUCKETS, max(2, cores, math.ceil(n_rows / bucket_rows))))
     cut = value_splits(df.select(*[col(c) for c in cols]), cols, buckets)
     live = [c for c in cols if cut[c][0] > 0]
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
@@ -102,30 +108,34 @@ def _bucketed(df, cols, probs, n_rows, bucket_rows):
     wanted, spec = [], {}
     for i, c in enumerate(live):
         n = sum(counts[i].values())
-        starts, run = [], 0
-        for b in sorted(counts[i]):
-            starts.append((b, run, run + counts[i][b]))
-            run += counts[i][b]
+        order = sorted(counts[i])
+        first = [0, *accumulate(counts[i][b] for b in order)]
         for p in probs:
             pos = p * (n - 1)
             lo, hi = math.floor(pos), math.ceil(pos)
             spec[(i, p)] = (lo, hi, pos - lo)
             for k in {lo, hi}:
-                b, first, _ = next(s for s in starts if s[1] <= k < s[2])
-                wanted.append((i, b, k - first, k))
+                at = bisect_right(first, k) - 1
+                wanted.append((i, order[at], k - first[at], k))
     spark = df.sparkSession
     ranks = F.broadcast(spark.createDataFrame(sorted(set(wanted)), "f int, b int, k long, g long"))
     hit = long.join(ranks.select("f", "b").distinct(), ["f", "b"], "left_semi")
     per_value = hit.groupBy("f", "b", "v").count()
     w = Window.partitionBy("f", "b").orderBy("v")
-    upto = per_value.withColumn("hi", F.sum("count").over(w)).withColumn("lo", F.col("hi") - F.col("count"))
-    found = upto.join(ranks, ["f", "b"]).where("k >= lo and k < hi").select("f", "g", "v").collect()
+    starts_at = per_value.select(
+        "f", "b", (F.sum("count").over(w) - F.col("count")).alias("k"), "v", F.lit(None).cast("long").alias("g")
+    )
+    # a rank belongs to the last value that starts at or before it
+    both = starts_at.unionByName(ranks.select("f", "b", "k", F.lit(None).cast("double").alias("v"), "g"))
+    upto = Window.partitionBy("f", "b").orderBy("k", F.col("g").asc_nulls_first())
+    carried = both.withColumn("v", F.last("v", ignorenulls=True).over(upto)).where("g is not null")
+    found = carried.select("f", "g", "v").collect()
     at = {(r["f"], r["g"]): r["v"] for r in found}
     for i, c in enumerate(live):
         vals = []
         for p in probs:
             lo, hi, frac = spec[(i, p)]
             a, b = at[(i, lo)], at[(i, hi)]
-            vals.append(a if lo == hi else a * (1 - frac) + b * frac)
+            vals.append(a if a == b else (1 - frac) * a + frac * b)
         out[c] = vals
     return out

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from winnow.functions.quantiles import value_splits
 from winnow.roles import ROLES, Roles, col
-from winnow.session import cut_lineage, small_table
+from winnow.session import cut_lineage, shuffle_width, small_table
 
-BLOCK_ROWS = 4_000
+BLOCK_ROWS = 1_000
 MAX_BLOCKS = 8_192
 MAX_PATTERNS = 64
 CHUNK_ROWS = 4_000
@@ -60,6 +60,7 @@ def nearest(
         (col(need) if need else F.lit("")).alias("need"),
         *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dims)],
     )
+    qs = cut_lineage(qs)
     types = (qs.schema["qid"].dataType.simpleString(), pts.schema["pid"].dataType.simpleString())
     blocks, boxes = _pack(pts, xs, block_rows)
     if boxes.empty:
@@ -67,7 +68,8 @@ def nearest(
     shared = spark.sparkContext.broadcast(_index(boxes, xs, bool(need)))
 
     route_schema = f"qid {types[0]}, need string, block string, " + ", ".join(f"{x} double" for x in xs)
-    home = qs.mapInPandas(lambda it: _route(it, shared.value, k, xs, None), route_schema)
+    width = shuffle_width(spark)
+    home = qs.repartition(width, "qid").mapInPandas(lambda it: _route(it, shared.value, k, xs, None), route_schema)
     first = cut_lineage(_best(_probe(home, blocks, xs, k, types), k))
     reach = first.groupBy("qid", "need").agg(
         F.max("distance").alias("r"), F.count(F.lit(1)).alias("got")
@@ -76,7 +78,7 @@ def nearest(
     again = qs.join(reach, ["qid", "need"], "left").select(
         *qs.columns, F.coalesce(bound, F.lit(float("inf"))).alias("_r")
     )
-    rest = again.mapInPandas(lambda it: _route(it, shared.value, k, xs, "_r"), route_schema)
+    rest = again.repartition(width, "qid").mapInPandas(lambda it: _route(it, shared.value, k, xs, "_r"), route_schema)
     return _best(first.unionByName(_probe(rest, blocks, xs, k, types)), k)
 
 
@@ -237,10 +239,12 @@ def _probe(routed: DataFrame, blocks: DataFrame, xs: list[str], k: int, types: t
             p["pid"].to_numpy(), p[xs].to_numpy(dtype=float), k, d,
         )
 
+    width = shuffle_width(spark)
+    keys = ("block", "ch")
     return (
-        left.drop("nch")
-        .groupBy("block", "ch")
-        .cogroup(right.drop("nch").groupBy("block", "ch"))
+        left.drop("nch").repartition(width, *keys)
+        .groupBy(*keys)
+        .cogroup(right.drop("nch").repartition(width, *keys).groupBy(*keys))
         .applyInPandas(solve, _found_schema(types))
     )
 
@@ -250,42 +254,78 @@ def _found_schema(types: tuple[str, str]) -> str:
 
 
 def _topk(qid, need, q, pid, p, k, d) -> pd.DataFrame:
-    outs = []
-    step = max(1, 4_000_000 // max(1, len(pid)))
+    """Top k of one block for each query, rows of ``p`` in key order.
+
+    Where every point has the same columns, queries are taken by their own pattern: a
+    matrix product gives all squared distances up to rounding, whatever could be among the
+    k nearest within that rounding is measured again term by term, and only those are
+    ranked. Mixed blocks are measured term by term throughout.
+    """
     have = ~np.isnan(p)
-    for s in range(0, len(qid), step):
-        a = q[s : s + step]
-        dist = np.zeros((len(a), len(pid)))
-        shared = np.zeros((len(a), len(pid)))
-        for i in range(d):
-            diff = a[:, i][:, None] - p[:, i][None, :]
-            present = ~np.isnan(diff)
-            dist += np.where(present, diff * diff, 0.0)
-            shared += present
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.sqrt(dist * d / shared)
-        dist[shared == 0] = np.inf
-        wants = need[s : s + step]
-        if len(wants) and wants[0] != "":
-            for f in np.unique(wants):
-                i = int(f)
-                dist[np.ix_(wants == f, ~have[:, i])] = np.inf
-        m = min(k, len(pid))
-        # rows are in key order, so a stable sort breaks ties by key; keep everything up to
-        # the m-th value first to avoid sorting whole rows
-        cut = np.partition(dist, m - 1, axis=1)[:, m - 1][:, None]
-        rows, cols = np.nonzero((dist <= cut) & np.isfinite(dist))
-        vals = dist[rows, cols]
-        idx = np.lexsort((cols, vals, rows))
-        rows, cols, vals = rows[idx], cols[idx], vals[idx]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        ok = rank < m
-        rows, cols, vals = rows[ok], cols[ok], vals[ok]
-        outs.append(pd.DataFrame({
-            "qid": qid[s : s + step][rows], "need": wants[rows], "pid": pid[cols], "distance": vals}))
+    some = have.any(axis=0)
+    pure = bool((some == have.all(axis=0)).all())
+    codes = np.isnan(q) @ (1 << np.arange(d, dtype=np.int64)) if d < 62 else np.arange(len(q))
+    if len(need) and need[0] != "":
+        wanted = np.array([int(f) for f in need])
+        able = some[wanted] if pure else np.ones(len(q), dtype=bool)
+    else:
+        wanted, able = None, np.ones(len(q), dtype=bool)
+    step = max(1, 2_000_000 // max(1, len(pid)))
+    outs = []
+    for code in np.unique(codes[able]):
+        members = np.flatnonzero((codes == code) & able)
+        for s in range(0, len(members), step):
+            rows = members[s : s + step]
+            a = q[rows]
+            if pure:
+                dims = np.flatnonzero(some & ~np.isnan(a[0]))
+                if len(dims) == 0:
+                    continue
+                i, j, dist = _near_pure(a[:, dims], p[:, dims], k, d)
+            else:
+                i, j, dist = _near_mixed(a, p, None if wanted is None else wanted[rows], have, d)
+            order = np.lexsort((j, dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            ok = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+            i, j, dist = i[ok], j[ok], dist[ok]
+            outs.append(
+                pd.DataFrame({"qid": qid[rows][i], "need": need[rows][i], "pid": pid[j], "distance": dist})
+            )
+    if not outs:
+        return pd.DataFrame({"qid": [], "need": [], "pid": [], "distance": []})
     return pd.concat(outs, ignore_index=True)
 
 
+def _near_pure(a, p, k, d):
+    centre = p.mean(axis=0)
+    x, y = a - centre, p - centre
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    rough = xx[:, None] + yy[None, :] - 2.0 * (x @ y.T)
+    slack = 1e-10 * (xx + yy.max())
+    m = min(k, len(p))
+    cut = np.partition(rough, m - 1, axis=1)[:, m - 1] + 2 * slack
+    i, j = np.nonzero(rough <= cut[:, None])
+    total = np.zeros(len(i))
+    for c in range(a.shape[1]):
+        diff = a[i, c] - p[j, c]
+        total += diff * diff
+    return i, j, np.sqrt(total * d / a.shape[1])
+
+
+def _near_mixed(a, p, wanted, have, d):
+    total, shared = np.zeros((len(a), len(p))), np.zeros((len(a), len(p)))
+    for c in range(d):
+        diff = a[:, c][:, None] - p[:, c][None, :]
+        present = ~np.isnan(diff)
+        total += np.where(present, diff * diff, 0.0)
+        shared += present
+    ok = shared > 0
+    if wanted is not None:
+        ok &= have[:, wanted].T
+    i, j = np.nonzero(ok)
+    return i, j, np.sqrt(total[i, j] * d / shared[i, j])
+
+
 # ---------------------------------------------------------------- uses
 
 

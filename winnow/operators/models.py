@@ -82,7 +82,7 @@ def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) ->
         return out
     if name == "SVM":
         out.wave = _kernel_waves(df, cols, seed)
-    data = _vector(indexer.transform(df), cols, out.wave).select("_vec", "_y")
+    data = _vector(indexer.transform(df), cols, out.wave).select("_vec", "_y").persist()
     common = dict(featuresCol="_vec", labelCol="_y", predictionCol="_pred")
     if name == "DecisionTree":
         est = DecisionTreeClassifier(maxDepth=20, maxBins=64, seed=42, **common)
@@ -92,11 +92,14 @@ def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) ->
             regParam=1.0 / n, standardization=False, maxIter=100, family="auto", **common
         )
         if len(classes) > 2:
-            est = OneVsRest(classifier=est, parallelism=2, **common)
+            est = OneVsRest(classifier=est, parallelism=4, **common)
     else:
         base = LinearSVC(regParam=1e-4, maxIter=60, standardization=False, featuresCol="_vec", labelCol="_y", predictionCol="_pred")
-        est = base if len(classes) == 2 else OneVsRest(classifier=base, parallelism=2, **common)
-    out.model = est.fit(data)
+        est = base if len(classes) == 2 else OneVsRest(classifier=base, parallelism=4, **common)
+    try:
+        out.model = est.fit(data)
+    finally:
+        data.unpersist()
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.constants import constant_array
 from winnow.functions.quantiles import exact_quantiles, with_buckets
-from winnow.roles import ROLES, Roles, col
+from winnow.roles import ROLES, Roles, col, ident
 
 METHODS = ("standard", "minmax", "maxabs", "power", "quantile", "normalizer", "robust", "kbins")
 QUANTILES = 1000
@@ -166,10 +166,10 @@ def _levels(values: list, refs: list[float]) -> tuple[list, list, list]:
     return xs, lo, hi
 
 
-def _fit_power(df: DataFrame, cols: list[str], passes: int = 7, points: int = 9) -> dict[str, tuple]:
-    """Maximum-likelihood exponent per column: each pass scores a grid of exponents for all
-    columns in one aggregate, then narrows to the two cells around the best one. A best
-    value at the edge of the grid moves the bracket outward instead."""
+def _fit_power(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
+    """Maximum-likelihood exponent per column. Each pass scores a grid of exponents for all
+    columns in one aggregate and moves to the vertex of the parabola through the best three;
+    the grid shrinks from pass to pass, or moves outward when its edge is best."""
     narrow = df.select(*[col(c) for c in cols]).persist()
     try:
         base = narrow.agg(
@@ -188,56 +188,65 @@ def _fit_power(df: DataFrame, cols: list[str], passes: int = 7, points: int = 9)
         out = {c: (1.0, stats[c]["m"] or 0.0, 1.0) for c in cols if c not in live}
         if not live:
             return out
-        bracket = {c: (-2.0, 2.0) for c in live}
-        for _ in range(passes):
-            grid = [(i, float(v)) for i, c in enumerate(live) for v in np.linspace(*bracket[c], points)]
-            moments = _power_moments(narrow, live, grid, stats)
-            for i, c in enumerate(live):
-                a = stats[c]
-                lams = [lam for k, lam in grid if k == i]
+        centre = dict.fromkeys(live, 0.0)
+        width = dict.fromkeys(live, 2.0)
+        for round_no in range(12):
+            points = 9 if round_no == 0 else 5
+            todo = [c for c in live if width[c] > 1e-3]
+            if not todo:
+                break
+            grid = [
+                (c, float(v))
+                for c in todo
+                for v in np.linspace(centre[c] - width[c], centre[c] + width[c], points)
+            ]
+            moments = _power_moments(narrow, grid, stats)
+            for i, c in enumerate(todo):
+                lams = [lam for _, lam in grid[i * points : (i + 1) * points]]
                 ll = []
                 for lam, (_, var) in zip(lams, moments[i * points : (i + 1) * points]):
                     good = np.isfinite(var) and var > 0
-                    ll.append(-a["n"] / 2 * np.log(var) + (lam - 1) * a["j"] if good else -np.inf)
+                    n, j = stats[c]["n"], stats[c]["j"]
+                    ll.append(-n / 2 * np.log(var) + (lam - 1) * j if good else -np.inf)
                 k = int(np.argmax(ll))
+                if k in (0, points - 1):
+                    centre[c] = lams[k]
+                    continue
                 step = lams[1] - lams[0]
-                reach = step * (points - 1) / 2 if k in (0, points - 1) else step
-                bracket[c] = (lams[k] - reach, lams[k] + reach)
-        best = [(i, sum(bracket[c]) / 2) for i, c in enumerate(live)]
-        for (i, lam), (mean, var) in zip(best, _power_moments(narrow, live, best, stats)):
-            out[live[i]] = (lam, mean, float(np.sqrt(var)) or 1.0)
+                lo, mid, hi = ll[k - 1], ll[k], ll[k + 1]
+                bend = lo - 2 * mid + hi
+                shift = 0.5 * step * (lo - hi) / bend if np.isfinite(bend) and bend < 0 else 0.0
+                centre[c] = lams[k] + shift
+                width[c] = step / (2 if round_no == 0 else 5)
+        best = [(c, float(centre[c])) for c in live]
+        for (c, lam), (mean, var) in zip(best, _power_moments(narrow, best, stats)):
+            out[c] = (lam, mean, float(np.sqrt(var)) or 1.0)
         return out
     finally:
         narrow.unpersist()
 
 
-def _power_moments(df: DataFrame, cols: list[str], grid: list, stats: dict) -> list[tuple[float, float]]:
+def _power_moments(df: DataFrame, grid: list, stats: dict) -> list[tuple[float, float]]:
     """(mean, variance) of the transformed column for every (column, exponent) of the grid,
     as one elementwise vector aggregate. Values are shifted by the transform of the column
     mean, so squares do not cancel; NULL contributes nothing."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    shifts = [_yj_number(stats[cols[i]]["m"], lam) for i, lam in grid]
-    cells = constant_array(
-        [(i, lam, s) for (i, lam), s in zip(grid, shifts)], "c int, lam double, shift double"
-    )
-    xs = F.array(*[col(c) for c in cols])
-
-    def moved(g):
-        x = F.get(xs, g["c"])
-        up, down = F.greatest(x, F.lit(0.0)), F.greatest(-x, F.lit(0.0))
-        two = F.lit(2.0) - g["lam"]
-        pos = F.when(g["lam"] == 0, F.log1p(up)).otherwise((F.pow(up + 1.0, g["lam"]) - 1.0) / F.nullif(g["lam"], F.lit(0.0)))
-        neg = F.when(two == 0, F.log1p(down)).otherwise((F.pow(down + 1.0, two) - 1.0) / F.nullif(two, F.lit(0.0)))
-        return F.when(x >= 0, pos - g["shift"]).when(x < 0, -neg - g["shift"]).otherwise(F.lit(0.0))
-
-    vec = df.select(array_to_vector(F.transform(cells, moved)).alias("v"))
+    shifts = [_yj_number(stats[c]["m"], lam) for c, lam in grid]
+    cells = []
+    for (c, lam), s in zip(grid, shifts):
+        x = ident(c)
+        two = 2.0 - lam
+        up = f"log1p({x})" if lam == 0 else f"(power({x} + 1D, {lam!r}D) - 1D) / {lam!r}D"
+        down = f"-log1p(-{x})" if two == 0 else f"(1D - power(1D - {x}, {two!r}D)) / {two!r}D"
+        cells.append(f"CASE WHEN {x} >= 0 THEN {up} - ({s!r}D) WHEN {x} < 0 THEN {down} - ({s!r}D) ELSE 0D END")
+    vec = df.select(array_to_vector(F.expr("array(" + ", ".join(cells) + ")")).alias("v"))
     r = vec.select(Summarizer.metrics("sum", "normL2").summary(F.col("v")).alias("s")).first()["s"]
     total, norm = r["sum"].toArray(), r["normL2"].toArray()
     out = []
-    for k, (i, _) in enumerate(grid):
-        n = stats[cols[i]]["n"]
+    for k, (c, _) in enumerate(grid):
+        n = stats[c]["n"]
         m = total[k] / n
         out.append((float(shifts[k] + m), float(norm[k] ** 2 / n - m * m)))
     return out

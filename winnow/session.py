@@ -27,6 +27,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain scan at least one partition per core. Only a small input has fewer
+    splits than that; a large one is returned as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partition count for work whose cost is not in its bytes, so that it is not coalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bounded(rows_df: DataFrame, limit: int) -> list | None:
     """Collect at most ``limit`` rows; ``None`` when the table is larger than that."""
     rows = rows_df.limit(limit + 1).collect()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.roles import Roles, col, lay_out
+from winnow.session import spread
 
 
 def check_labelled(df: DataFrame, target: str | None) -> str:
@@ -37,7 +38,7 @@ def read_labelled_csv(
     """``schema`` avoids the extra pass that type inference costs on a large file."""
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return as_labelled(reader.csv(path), target, row_id)
+    return as_labelled(spread(reader.csv(path)), target, row_id)
 
 
 def read_many(spark: SparkSession, roots: list[str], schema=None) -> DataFrame:
