@@ -347,10 +347,10 @@ def neighbour_means(
     )
     cell = F.element_at("_vals", F.col("need").cast("int") + 1)
     means = found.join(values, "pid").groupBy("qid", "need").agg(F.avg(cell).alias("m"))
-    wide = means.groupBy("qid").agg(
+    wide = means.groupBy(F.col("qid").alias("_pq")).agg(
         *[F.max(F.when(F.col("need") == str(i), F.col("m"))).alias(f"_m{i}") for i in range(len(dims))]
     )
-    answers = distinct.join(wide, distinct["_q"] == wide["qid"]).select(
+    answers = distinct.join(wide, F.col("_q") == F.col("_pq")).select(
         *[col(c).alias(f"_a{i}") for i, c in enumerate(dims)],
         *[f"_m{i}" for i in range(len(dims))],
     )
@@ -387,9 +387,11 @@ def classify(
     found = nearest(pts, distinct, dims, k, key, "_q")
     votes = found.join(train.select(col(key).alias("pid"), col(lab).alias("_l")), "pid")
     tally = votes.groupBy("qid", "_l").agg(F.count(F.lit(1)).alias("v"))
-    picked = tally.groupBy("qid").agg(F.min(F.struct(-F.col("v"), F.col("_l"))).alias("b"))
-    answers = distinct.join(picked, distinct["_q"] == picked["qid"]).select(
-        *[col(c).alias(f"_a{i}") for i, c in enumerate(dims)], F.col("b._l").alias("prediction")
+    picked = tally.groupBy(F.col("qid").alias("_pq")).agg(
+        F.min(F.struct(-F.col("v"), F.col("_l"))).alias("_pick")
+    )
+    answers = distinct.join(picked, F.col("_q") == F.col("_pq")).select(
+        *[col(c).alias(f"_a{i}") for i, c in enumerate(dims)], F.col("_pick._l").alias("prediction")
     )
     same = None
     for i, c in enumerate(dims):

@@ -94,7 +94,7 @@ def _long(wide: DataFrame, names, cuts, keep) -> DataFrame:
 
 
 def _class_radius(points: DataFrame, sizes: dict, k: int) -> DataFrame:
-    """Points with ``r``, the distance to the k-th nearest value of their own class."""
+    """Points with the k-th nearest value ``v`` of their own class and its distance ``r``."""
     group = ["f", "l", "b"]
     up = Window.partitionBy(*group).orderBy("x", "id")
     down = Window.partitionBy(*group).orderBy(F.desc("x"), F.desc("id"))
@@ -116,25 +116,33 @@ def _class_radius(points: DataFrame, sizes: dict, k: int) -> DataFrame:
     own = points.select("f", "l", "b", "x", "id", F.lit(False).alias("extra"))
     near = own.unionAll(halo(high, 1)).unionAll(halo(low, -1))
     w = Window.partitionBy(*group).orderBy("x", "id")
+    step = lambda other: F.when(
+        other.isNotNull(), F.struct(F.abs(other - F.col("x")).alias("r"), other.alias("v"))
+    )
     gaps = F.array_compact(
         F.array(
-            *[F.col("x") - F.lag("x", i).over(w) for i in range(1, k + 1)],
-            *[F.lead("x", i).over(w) - F.col("x") for i in range(1, k + 1)],
+            *[step(F.lag("x", i).over(w)) for i in range(1, k + 1)],
+            *[step(F.lead("x", i).over(w)) for i in range(1, k + 1)],
         )
     )
     kth = F.element_at(F.array_sort("_g"), F.least(F.lit(k), F.size("_g")))
-    return near.withColumn("_g", gaps).where("not extra").select("f", "l", "b", "x", "id", kth.alias("r"))
+    return near.withColumn("_g", gaps).where("not extra").withColumn("_k", kth).select(
+        "f", "l", "b", "x", "id", F.col("_k.r").alias("r"), F.col("_k.v").alias("v")
+    )
 
 
 def _count_within(points: DataFrame, reach: DataFrame, names, cuts) -> DataFrame:
-    """(f, l, id, m): values of the column, any class, closer than the radius."""
-    inner = F.col("r") * F.lit(1 - 1e-12)
+    """(f, l, id, m): values of the column, any class, strictly closer than the k-th of the
+    own class. That neighbour's value is itself one end of the interval, so rounding cannot
+    let it in."""
+    right = F.when(F.col("v") > F.col("x"), F.col("v")).otherwise(F.col("x") + F.col("r"))
+    left = F.when(F.col("v") > F.col("x"), F.col("x") - F.col("r")).otherwise(F.col("v"))
+    # at equal values: right end, then points, then left end
     ends = reach.select(
         "f", "l", "id",
         F.explode(
             F.array(
-                F.struct((F.col("x") - inner).alias("x"), F.lit(0).alias("t")),
-                F.struct((F.col("x") + inner).alias("x"), F.lit(2).alias("t")),
+                F.struct(right.alias("x"), F.lit(0).alias("t")), F.struct(left.alias("x"), F.lit(2).alias("t"))
             )
         ).alias("e"),
     ).select("f", "l", "id", "e.x", "e.t")
@@ -154,6 +162,5 @@ def _count_within(points: DataFrame, reach: DataFrame, names, cuts) -> DataFrame
     offsets = seats.select("f", "b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     run = Window.partitionBy("f", "b").orderBy("x", "t").rowsBetween(Window.unboundedPreceding, 0)
     counted = events.join(offsets, ["f", "b"]).withColumn("c", F.sum(one).over(run) + F.col("_off"))
-    return counted.where("t <> 1").groupBy("f", "l", "id").agg(
-        (F.max(F.when(F.col("t") == 2, F.col("c"))) - F.max(F.when(F.col("t") == 0, F.col("c")))).alias("m")
-    )
+    inside = F.max(F.when(F.col("t") == 0, F.col("c"))) - F.max(F.when(F.col("t") == 2, F.col("c")))
+    return counted.where("t <> 1").groupBy("f", "l", "id").agg(F.greatest(inside, F.lit(1)).alias("m"))
