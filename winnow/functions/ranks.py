@@ -7,10 +7,12 @@ inside (group, bucket); the result is the same number a plain window would give.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.session import cut_lineage
+from winnow.session import cut_lineage, shuffle_width
 
 
 def hash_key(key: str, seed: int | None = None) -> Column:
@@ -19,12 +21,15 @@ def hash_key(key: str, seed: int | None = None) -> Column:
 
 
 def hash_ordinal(
-    df: DataFrame, key: str, group: list[str], out: str, seed: int | None = None, digits: int = 3
+    df: DataFrame, key: str, group: list[str], out: str, seed: int | None = None, digits: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its group, in md5(key) order.
 
-    md5 digits are uniform, so (group, first digits) buckets are even whatever the groups.
+    md5 digits are uniform, so the 16**digits buckets of a group are even whatever the groups
+    are. By default there are at least 64 buckets per shuffle partition.
     """
+    if digits is None:
+        digits = math.ceil(math.log(64 * max(4, shuffle_width(df.sparkSession)), 16))
     h = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
     return bucket_ordinal(h, group, "_b", ["_h", key], out).drop("_h", "_b")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.ranks import ordered_ordinal
+from winnow.operators.profile import stacked
 from winnow.roles import ROLES, Roles, col
 from winnow.session import bounded, small_table
 
@@ -91,15 +92,24 @@ def fit_encoder(
     if method not in METHODS:
         raise ValueError(f"unknown encoding method: {method}")
     out = Encoder(method)
-    for c in roles.categorical(df):
-        counts = df.groupBy(col(c).alias("value")).agg(
-            F.count(F.lit(1)).alias("n"),
-            *([F.min(col(roles.row_id)).alias("first")] if method == "binary" else []),
-        )
-        rows = bounded(counts, state_rows)
-        if rows is None and method == "onehot":
+    cats = roles.categorical(df)
+    if not cats:
+        return out
+    # one job counts the categories of every column
+    first = [F.min(col(roles.row_id)).alias("first")] if method == "binary" else []
+    long = stacked(df, cats, roles.ids(df) if first else [], "string")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), *first)
+    rows = bounded(counts, state_rows * len(cats))
+    small: dict[str, list] = {c: [] for c in cats}
+    for r in rows or ():
+        small[r["feature"]].append(r)
+    for c in cats:
+        if rows is not None and len(small[c]) <= state_rows:
+            state = _from_rows(small[c], method)
+        elif method == "onehot":
             raise ValueError(f"{c}: more than {state_rows} categories; use frequency, label or binary")
-        state = _from_rows(rows, method) if rows is not None else _from_table(counts, method)
+        else:
+            state = _from_table(counts.where(F.col("feature") == c), method)
         if method == "onehot" and state.size > ONEHOT_COLUMNS:
             raise ValueError(f"{c}: {state.size} categories; use frequency, label or binary")
         out.states[c] = state

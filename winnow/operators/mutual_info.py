@@ -69,7 +69,8 @@ def mutual_information(
         )
     )
     buckets = max(1, min(10_000, math.ceil(total / bucket_rows)))
-    cuts = {n: (value_splits(wide, [n], buckets)[n][1] if buckets > 1 else []) for n in names}
+    found = value_splits(wide, names, buckets) if buckets > 1 else {}
+    cuts = {n: found[n][1] if n in found else [] for n in names}
     points = _long(wide, names, cuts, ["id", "l"])
     reach = _class_radius(points, sizes, k)
     counted = _count_within(points, reach, names, cuts)

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from winnow.functions.constants import constant_array
 from winnow.functions.quantiles import exact_quantiles, with_buckets
+from winnow.operators.select import column_stats
 from winnow.roles import ROLES, Roles, col, ident
 
 METHODS = ("standard", "minmax", "maxabs", "power", "quantile", "normalizer", "robust", "kbins")
 QUANTILES = 1000
 BIN_COUNT = 5
+# strictly increasing in every column: a column that varies still varies afterwards
+MONOTONE = ("standard", "minmax", "maxabs", "robust", "power")
 
 
 def yeo_johnson(x: Column, lam: float) -> Column:
@@ -94,8 +97,10 @@ class Scaler:
 
 
 def fit_scaler(
-    df: DataFrame, method: str = "standard", roles: Roles = ROLES, n_rows: int | None = None
+    df: DataFrame, method: str = "standard", roles: Roles = ROLES, n_rows: int | None = None,
+    stats: dict | None = None,
 ) -> Scaler:
+    """``stats`` are column statistics already taken from ``df``, if any."""
     if method not in METHODS:
         raise ValueError(f"unknown scaling method: {method}")
     cols = roles.numeric(df)
@@ -104,17 +109,8 @@ def fit_scaler(
     others = [c for c in roles.features(df) if c not in cols]
     out = Scaler(method, cols, others, roles=roles)
     if method in ("standard", "minmax", "maxabs"):
-        stats = [
-            F.struct(
-                F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi"), F.avg(col(c)).alias("avg"),
-                F.stddev_pop(col(c)).alias("std"),
-            ).alias(f"a{i}")
-            for i, c in enumerate(cols)
-        ]
-        r = df.agg(*stats).first()
-        for i, c in enumerate(cols):
-            a = r[f"a{i}"]
-            out.params[c] = _linear(method, a["lo"], a["hi"], a["avg"], a["std"])
+        stats = column_stats(df, roles) if stats is None else stats
+        out.params = {c: _linear(method, *stats[c][:4]) for c in cols}
     elif method == "robust":
         q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], n_rows=n_rows)
         for c in cols:

@@ -21,24 +21,36 @@ def keep_columns(df: DataFrame, kept: list[str], roles: Roles = ROLES) -> DataFr
     )
 
 
-def by_variance(df: DataFrame, threshold: float = 0.0, roles: Roles = ROLES) -> list[str]:
-    """Columns whose population variance exceeds the threshold; all of them if none does."""
+def column_stats(df: DataFrame, roles: Roles = ROLES) -> dict:
+    """{numeric column: row of lo, hi, avg, std (population), var} from one aggregate."""
     cols = roles.numeric(df)
     if not cols:
-        return []
-    r = df.agg(
-        *[
-            F.struct(F.var_pop(col(c)), F.max(col(c)) - F.min(col(c))).alias(f"v{i}")
-            for i, c in enumerate(cols)
-        ]
-    ).first()
+        return {}
+    cells = [
+        F.struct(
+            F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi"), F.avg(col(c)).alias("avg"),
+            F.stddev_pop(col(c)).alias("std"), F.var_pop(col(c)).alias("var"),
+        ).alias(f"a{i}")
+        for i, c in enumerate(cols)
+    ]
+    r = df.agg(*cells).first()
+    return {c: r[f"a{i}"] for i, c in enumerate(cols)}
+
+
+def by_variance(
+    df: DataFrame, threshold: float = 0.0, roles: Roles = ROLES, stats: dict | None = None
+) -> list[str]:
+    """Columns whose population variance exceeds the threshold; all of them if none does."""
+    cols = roles.numeric(df)
+    stats = column_stats(df, roles) if stats is None else stats
+
     # at threshold 0 the range decides: it is exact where a variance may round above 0
-    def passes(cell):
-        value = cell[1] if threshold == 0 else cell[0]
-        return value is not None and value > threshold
+    def passes(s):
+        if s["lo"] is None:
+            return False
+        return s["hi"] > s["lo"] if threshold == 0 else s["var"] > threshold
 
-    kept = [c for i, c in enumerate(cols) if passes(r[f"v{i}"])]
-    return kept or cols
+    return [c for c in cols if passes(stats[c])] or cols
 
 
 def anova_scores(df: DataFrame, roles: Roles = ROLES) -> DataFrame:

@@ -16,12 +16,12 @@ from winnow.operators.encode import fit_encoder
 from winnow.operators.features import fit_features
 from winnow.operators.impute import fit_imputer
 from winnow.operators.outlier import fit_outliers
-from winnow.operators.scale import fit_scaler
-from winnow.operators.select import keep_columns, select_features
+from winnow.operators.scale import MONOTONE, fit_scaler
+from winnow.operators.select import by_variance, column_stats, keep_columns, select_features
 from winnow.roles import ROLES, Roles, lay_out
 
 STEPS = ("I", "O", "E", "N", "FT", "FS")
-DEFAULT_FLOW = ("O", "E", "N", "FT", "FS")
+RANKED = {"median", "iqr", "robust", "quantile", "kbins"}
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,11 @@ def fit_chain(
     if keep_cached:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_rows = base.count()
-        given = {s.step: s for s in steps if s.method}
+        given = {s.step: s.method for s in steps if s.method}
+        # only rank-based fits need the row count
+        n_rows = base.count() if set(given.values()) & RANKED else None
         done: tuple = ()
-        current = base
+        current, stats, settled = base, None, False
 
         def add(key, make):
             nonlocal done, current
@@ -102,14 +103,22 @@ def fit_chain(
             current = part.apply(current)
 
         def trim():
-            add("keep", lambda d: Keep(select_features(d, "variance", roles=roles), roles))
+            nonlocal stats
 
+            def keep(d):
+                nonlocal stats
+                stats = column_stats(d, roles)
+                varying = set(by_variance(d, 0.0, roles, stats))
+                num = set(roles.numeric(d))
+                return Keep([c for c in roles.features(d) if c not in num or c in varying], roles)
+
+            stats = None
+            add("keep", keep)
+
+        imputer = None
         if "I" in given:
-            strategy = given["I"].method
-            add(("I", strategy), lambda d: fit_imputer(d, strategy, roles, n_rows=n_rows))
+            add(("I", given["I"]), lambda d: fit_imputer(d, given["I"], roles, n_rows=n_rows))
             imputer = chain.parts[-1]
-        else:
-            imputer = None
         for s in steps:
             if s.step == "I" or not s.method:
                 continue
@@ -119,20 +128,28 @@ def fit_chain(
                     return fit_outliers(d, s.method, float(dict(s.params).get("threshold", 3)), refill, roles, n_rows)
 
                 add(("O", s.method), mask)
+                settled = False
             elif s.step == "E":
-                trim()
+                if not settled:
+                    trim()
                 if roles.categorical(current):
                     add(("E", s.method), lambda d, s=s: fit_encoder(d, s.method, roles))
+                    settled = False
             elif s.step == "N" and roles.numeric(current):
                 trim()
-                add(("N", s.method), lambda d, s=s: fit_scaler(d, s.method, roles, n_rows=n_rows))
+                add(("N", s.method), lambda d, s=s: fit_scaler(d, s.method, roles, n_rows, stats))
+                # nothing can have become constant: the selection that follows would keep all
+                settled = s.method in MONOTONE
             elif s.step == "FT" and roles.numeric(current):
-                trim()
+                if not settled:
+                    trim()
                 k = int(dict(s.params).get("n_components", 2))
                 add(("FT", s.method, k), lambda d, s=s: fit_features(d, s.method, k, roles))
+                settled = False
             elif s.step == "FS" and explicit_selection:
                 add(("FS", s.method), lambda d, s=s: Keep(select_features(d, s.method, roles=roles), roles))
-        trim()
+        if not settled:
+            trim()
         return chain
     finally:
         if keep_cached:
