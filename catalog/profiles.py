@@ -353,19 +353,21 @@ def profile_strategy_join(spark, sf):
     return _joined(spark, sf)
 
 
-PART_COMMON = f"""SELECT {COMMON_OUT.replace('feature, dtype', "'col_' || feature AS feature, dtype")} FROM ({COMMON}) x"""
+GROUPED = "num AS (" + " UNION ALL ".join(
+    f"SELECT dataset || '|{c}' AS feature, {c} AS value FROM kb" for c in NUM
+) + ")," + (NUMBERS + "," + CENTRED)[len(LONG) + 1 :]
+MERGED = f"""SELECT split_part(s.feature, '|', 1) AS dataset, x.nums, x.n_missing, {r('x.miss', 9)} AS missing_ratio, x.n_unique,
+  CAST(x.n_unique = 2 AS INT) AS is_binary, {NUMERIC_OUT}, {STRAT_COLS}
+  FROM (SELECT feature, count(*) AS nums, count(*) - count(value) AS n_missing,
+               (count(*) - count(value)) / CAST(count(*) AS DOUBLE) AS miss, count(DISTINCT value) AS n_unique FROM num GROUP BY feature) x
+  JOIN stats s ON x.feature = s.feature JOIN mom m ON s.feature = m.feature JOIN far f ON s.feature = f.feature
+  JOIN nm z ON z.feature = split_part(x.feature, '|', 2)"""
 
 
-@query(
-    "merge_profiles",
-    with_views(["ds", "kb"], """SELECT * EXCLUDE (is_constant) FROM (
-      SELECT 'all' AS dataset, feature, nums, n_missing, n_unique, n_unique = 1 AS is_constant, CAST(NULL AS DOUBLE) AS mode_freq_ratio
-      FROM (SELECT feature, count(*) AS nums, count(*) - count(value) AS n_missing, count(DISTINCT value) AS n_unique FROM words GROUP BY feature)
-      UNION ALL
-      SELECT 'all', feature, NULL, NULL, NULL, NULL, round(max(p), 9) FROM vc GROUP BY feature) q""", WORDS + "," + CATS),
-)
+@query("merge_profiles", with_views(["kb", "colstrat"], MERGED, ",".join([GROUPED, STRATEGY])))
 def merge_profiles(spark, sf):
-    df = view(spark, sf, "ds")
-    common = profile.profile_common(df).select(F.lit("all").alias("dataset"), "feature", "nums", "n_missing", "n_unique", "is_constant")
-    words = profile.categorical_profile(df).select(F.lit("all").alias("dataset"), "feature", rnd("mode_freq_ratio", 9).alias("mode_freq_ratio"))
-    return TR.merge_tables([common, words])
+    """Profiles of all 25 tables joined with the method frequencies, in one grouped job."""
+    freq = TR.strategy_frequency_ranked(view(spark, sf, "colstrat"), ["f_price", "f_acctbal"])
+    parts = TR.with_strategies(profile.profile_tables(view(spark, sf, "kb"), ["dataset"], list(NUM)), freq)
+    out = polished(TR.merge_tables([parts])).withColumn("missing_ratio", rnd("missing_ratio", 9))
+    return rounded(out, ["strategy_" + m for m in METHODS])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
-from winnow.functions.quantiles import exact_quantiles
+from winnow.functions.quantiles import exact_quantiles, grouped_quantiles
 from winnow.functions.ranks import hash_ordinal, ordered_ordinal, running_max_before
 from winnow.operators import (
     encode, features, impute, knn, metrics, models, mutual_info, outlier, profile, scale, select, split,
@@ -64,6 +64,31 @@ def test_quantiles_both_routes(spark, many):
     assert small["a"] == exact_quantiles(df, ["a", "b"], [0.1, 0.5], small_rows=0, bucket_rows=100)["a"]
 
 
+def test_grouped_quantiles_both_routes(spark):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else f"g{i % 5}", rng.choice([1.0, 2.5, rng.random() * 9])) for i in range(2000)]
+    df = frame(spark, rows + [("hot", None)], "k string, value double").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for limit in (0, 10_000):
+        got = {r["k"]: r["q"] for r in grouped_quantiles(df, ["k"], probs, small_rows=limit, buckets=16).collect()}
+        for k in got:
+            want = np.quantile([v for g, v in rows if g == k], probs)
+            assert got[k] == pytest.approx(list(want), rel=1e-12)
+
+
+def test_profiles_of_many_tables_equal_single_ones(spark):
+    rng = random.Random(9)
+    rows = [("a" if i % 3 else "b", i, rng.choice([None, 0.0, rng.gauss(0, 1)]), 2.0) for i in range(300)]
+    df = frame(spark, rows, "dataset string, row_id long, x double, k double")
+    many = profile.profile_tables(df, ["dataset"])
+    for name in "ab":
+        one = profile.profile_table(df.where(F.col("dataset") == name).drop("dataset"))
+        got = many.where(F.col("dataset") == name).drop("dataset").withColumn("feature", F.concat(F.lit("col_"), "feature"))
+        for r1, r2 in zip(one.orderBy("feature").collect(), got.select(*one.columns).orderBy("feature").collect()):
+            for v1, v2 in zip(r1, r2):
+                assert v1 == (pytest.approx(v2) if isinstance(v2, float) else v2)
+
+
 def test_wide_correlation_equals_pairwise(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 6))

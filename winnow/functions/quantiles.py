@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.constants import constant_doubles
 from winnow.roles import col
+from winnow.session import cut_lineage
 
 SMALL_ROWS = 2_000_000
 BUCKET_ROWS = 1_000_000
@@ -139,3 +140,59 @@ def _bucketed(df, cols, probs, n_rows, bucket_rows):
             vals.append(a if a == b else (1 - frac) * a + frac * b)
         out[c] = vals
     return out
+
+
+def grouped_quantiles(
+    long: DataFrame, keys: list[str], probs: list[float], small_rows: int = SMALL_ROWS, buckets: int = 256
+) -> DataFrame:
+    """(keys..., q array): exact quantiles of ``value`` per group of a long table.
+
+    Groups up to ``small_rows`` use the built-in aggregate. A larger group is cut into value
+    buckets by its own sketch; bucket totals place every wanted rank, and only the buckets
+    that hold one are sorted, each on its own.
+    """
+    known = long.where("value is not null").select(*keys, "value")
+    largest = known.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small_rows:
+        return known.groupBy(*keys).agg(F.percentile("value", constant_doubles(probs)).alias("q"))
+    grid = constant_doubles([i / buckets for i in range(1, buckets)])
+    # a sketch may differ between runs, so it is taken once
+    cuts = cut_lineage(
+        known.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", grid, 10 * buckets)).alias("_c"))
+    )
+    tagged = known.join(cuts, keys).select(
+        *keys, "value", F.size(F.filter("_c", lambda c: c <= F.col("value"))).alias("_b")
+    )
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    )
+    spots = F.transform(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]),
+        lambda s: F.struct(s["i"].alias("i"), (s["p"] * (F.col("_all") - 1)).alias("at")),
+    )
+    ranks = totals.withColumn("_s", F.explode(spots)).withColumn(
+        "_k", F.explode(F.array_distinct(F.array(F.floor("_s.at"), F.ceil("_s.at"))))
+    )
+    wanted = ranks.where("_k >= _first and _k < _first + _n").select(
+        *keys, "_b", (F.col("_k") - F.col("_first")).alias("_pos"), F.col("_s.i").alias("_i"),
+        (F.lit(1.0) - F.abs(F.col("_s.at") - F.col("_k"))).alias("_w"),
+    )
+    hit = tagged.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+    w = Window.partitionBy(*keys, "_b").orderBy("value")
+    starts = hit.groupBy(*keys, "_b", "value").count().select(
+        *keys, "_b", (F.sum("count").over(w) - F.col("count")).alias("_pos"), "value"
+    )
+    both = starts.unionByName(wanted, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys, "_b").orderBy("_pos", F.col("_i").asc_nulls_first())
+    found = both.withColumn("value", F.last("value", ignorenulls=True).over(upto)).where("_i is not null")
+    # equal neighbours are taken as they are, so that no rounding enters
+    one = found.groupBy(*keys, "_i").agg(
+        F.when(F.min("value") == F.max("value"), F.min("value"))
+        .otherwise(F.sum(F.col("value") * F.col("_w"))).alias("_q")
+    )
+    return one.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q")
+    )

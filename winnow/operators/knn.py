@@ -1,13 +1,13 @@
 """Exact k nearest neighbours as a partitioned join.
 
-Points are packed into blocks of bounded size, each with a bounding box and one pattern of
-present columns. A query is sent first to its closest block(s), which gives an upper bound
-on its k-th distance, and then only to the other blocks whose box comes within that bound.
+Points are packed into cells, each with a bounding box and one pattern of present columns,
+and cells into blocks of bounded size. A query is sent first to its closest cell(s), which gives an upper bound
+on its k-th distance, and then only to the other cells whose box comes within that bound.
 Work inside a block is numpy on one (block, query chunk) pair; both sides are bounded, so a
 crowded region becomes more blocks and more chunks rather than a larger task. Equal points
 keep only their k smallest keys (no more of them can ever be used) and equal queries are
 asked once, so repeated rows cost nothing extra. The answer is exact: the bound only skips
-blocks that cannot hold a neighbour. Ties go to the smaller key.
+cells that cannot hold a neighbour. Ties go to the smaller key.
 
 Distances skip columns missing on either side and scale up by (columns / shared columns).
 """
@@ -62,15 +62,16 @@ def nearest(
     )
     qs = cut_lineage(qs)
     types = (qs.schema["qid"].dataType.simpleString(), pts.schema["pid"].dataType.simpleString())
-    blocks, boxes = _pack(pts, xs, block_rows)
+    cells, boxes = _pack(pts, xs, block_rows)
     if boxes.empty:
         return spark.createDataFrame([], _found_schema(types))
+    nsub = dict(zip(boxes["cell"], boxes["nsub"]))
     shared = spark.sparkContext.broadcast(_index(boxes, xs, bool(need)))
 
-    route_schema = f"qid {types[0]}, need string, block string, " + ", ".join(f"{x} double" for x in xs)
+    route_schema = f"qid {types[0]}, need string, cell string, " + ", ".join(f"{x} double" for x in xs)
     width = shuffle_width(spark)
     home = qs.repartition(width, "qid").mapInPandas(lambda it: _route(it, shared.value, k, xs, None), route_schema)
-    first = cut_lineage(_best(_probe(home, blocks, xs, k, types), k))
+    first = cut_lineage(_best(_probe(home, cells, nsub, xs, k, types), k))
     reach = first.groupBy("qid", "need").agg(
         F.max("distance").alias("r"), F.count(F.lit(1)).alias("got")
     )
@@ -79,7 +80,7 @@ def nearest(
         *qs.columns, F.coalesce(bound, F.lit(float("inf"))).alias("_r")
     )
     rest = again.repartition(width, "qid").mapInPandas(lambda it: _route(it, shared.value, k, xs, "_r"), route_schema)
-    return _best(first.unionByName(_probe(rest, blocks, xs, k, types)), k)
+    return _best(first.unionByName(_probe(rest, cells, nsub, xs, k, types)), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -88,29 +89,31 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _pack(pts: DataFrame, xs: list[str], block_rows: int) -> tuple[DataFrame, pd.DataFrame]:
-    """Assign every point to a block; return the points and the (bounded) box table."""
+    """Assign every point to a cell; return the points and the (bounded) box table, whose
+    ``nsub`` says into how many blocks of bounded size a cell is cut."""
     pattern = F.concat(*[F.when(F.col(x).isNull(), "0").otherwise("1") for x in xs])
     tagged = pts.withColumn("pat", pattern)
-    r = tagged.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.struct(F.min(x), F.max(x)).alias(x) for x in xs],
-    ).first()
-    n = r["n"]
+    n = tagged.count()
     if n == 0:
         return tagged, pd.DataFrame()
+    seen = (
+        tagged.groupBy("pat")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.min(x), F.max(x)).alias(x) for x in xs])
+        .orderBy(F.desc("n"), "pat")
+        .limit(MAX_PATTERNS)
+        .collect()
+    )
     per_block = max(block_rows, math.ceil(n / (MAX_BLOCKS / 4)))
-    seen = tagged.groupBy("pat").count().orderBy(F.desc("count"), "pat").limit(MAX_PATTERNS).collect()
     pure = [p["pat"] for p in seen]
     # points with a rare pattern share blocks that every query visits
     tagged = tagged.withColumn("pat", F.when(F.col("pat").isin(pure), F.col("pat")).otherwise("*"))
-    live = [x for x in xs if r[x][0] is not None and r[x][0] < r[x][1]][:GRID_COLUMNS]
+    varies = lambda x: any(p[x][0] is not None and p[x][0] < p[x][1] for p in seen)
+    use = [x for x in xs if varies(x)][:GRID_COLUMNS]
     # a cell budget per pattern keeps the total number of cells under MAX_BLOCKS / 2
     target = min(math.ceil(n / per_block), MAX_BLOCKS // (2 * (len(pure) + 1)))
-    side = max(1, int(target ** (1 / len(live)))) if live else 1
-    use = live
-    if side < 2 and live:
-        m = max(0, int(math.log2(max(target, 1))))
-        use, side = live[:m], 2
+    side = max(1, int(target ** (1 / len(use)))) if use else 1
+    if side < 2:
+        use, side = use[: int(math.log2(max(target, 1)))], 2
     cell = F.col("pat")
     if use:
         splits = value_splits(tagged.select(*use), use, side)
@@ -121,26 +124,18 @@ def _pack(pts: DataFrame, xs: list[str], block_rows: int) -> tuple[DataFrame, pd
             parts.append(F.coalesce(index.cast("string"), F.lit("n")))
         cell = F.concat_ws(",", *parts)
     tagged = tagged.withColumn("cell", cell)
-    sizes = tagged.groupBy("cell").count().where(F.col("count") > per_block).collect()
-    if sizes:
-        spark = pts.sparkSession
-        subs = small_table(spark, [(s["cell"], math.ceil(s["count"] / per_block)) for s in sizes], "cell string, nsub int")
-        tagged = tagged.join(subs, "cell", "left")
-        sub = F.pmod(F.xxhash64("pid"), F.coalesce("nsub", F.lit(1)))
-        tagged = tagged.withColumn("block", F.concat_ws("/", "cell", sub)).drop("nsub")
-    else:
-        tagged = tagged.withColumn("block", F.col("cell"))
     boxes = (
-        tagged.groupBy("block", "pat")
+        tagged.groupBy("cell", "pat")
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.min(x).alias("lo_" + x) for x in xs],
             *[F.max(x).alias("hi_" + x) for x in xs],
         )
         .toPandas()
-        .sort_values("block", ignore_index=True)
+        .sort_values("cell", ignore_index=True)
     )
-    return tagged.select("pid", "block", *xs), boxes
+    boxes["nsub"] = np.ceil(boxes["n"] / per_block).astype(int)
+    return tagged.select("pid", "cell", *xs), boxes
 
 
 def _index(boxes: pd.DataFrame, xs: list[str], typed: bool) -> dict:
@@ -148,7 +143,7 @@ def _index(boxes: pd.DataFrame, xs: list[str], typed: bool) -> dict:
     lo = boxes[["lo_" + x for x in xs]].to_numpy(dtype=float)
     mixed = (boxes["pat"] == "*").to_numpy()
     return {
-        "block": boxes["block"].to_numpy(dtype=object),
+        "cell": boxes["cell"].to_numpy(dtype=object),
         "n": boxes["n"].to_numpy(),
         "lo": lo,
         "hi": boxes[["hi_" + x for x in xs]].to_numpy(dtype=float),
@@ -160,10 +155,10 @@ def _index(boxes: pd.DataFrame, xs: list[str], typed: bool) -> dict:
 
 
 def _lower(index: dict, q: np.ndarray) -> np.ndarray:
-    """Lower bound of the distance from each query to any point of each block; nan where
+    """Lower bound of the distance from each query to any point of each cell; nan where
     no column is shared, so that there is no distance at all."""
     d = q.shape[1]
-    total = np.zeros((len(q), len(index["block"])))
+    total = np.zeros((len(q), len(index["cell"])))
     shared = np.zeros_like(total)
     touch = np.zeros_like(total, dtype=bool)
     for i in range(d):
@@ -181,12 +176,12 @@ def _lower(index: dict, q: np.ndarray) -> np.ndarray:
 
 def _allowed(index: dict, need: np.ndarray) -> np.ndarray:
     if not index["typed"]:
-        return np.ones((len(need), len(index["block"])), dtype=bool)
+        return np.ones((len(need), len(index["cell"])), dtype=bool)
     return index["maybe"][:, np.array([int(c) for c in need], dtype=int)].T
 
 
 def _home(lower: np.ndarray, ok: np.ndarray, index: dict, k: int) -> np.ndarray:
-    """Closest blocks that together hold k points which surely count as neighbours."""
+    """Closest cells that together hold k points which surely count as neighbours."""
     order = np.argsort(np.where(ok, lower, np.inf), axis=1, kind="stable")
     sure = np.where(ok & ~index["mixed"][None, :], index["n"][None, :], 0)
     sorted_n = np.take_along_axis(sure, order, axis=1)
@@ -197,7 +192,7 @@ def _home(lower: np.ndarray, ok: np.ndarray, index: dict, k: int) -> np.ndarray:
 
 
 def _route(batches, index: dict, k: int, xs: list[str], radius: str | None):
-    step = max(1, 2_000_000 // max(1, len(index["block"])))
+    step = max(1, 2_000_000 // max(1, len(index["cell"])))
     for pdf in batches:
         for start in range(0, len(pdf), step):
             part = pdf.iloc[start : start + step]
@@ -211,23 +206,38 @@ def _route(batches, index: dict, k: int, xs: list[str], radius: str | None):
             rows, blocks = np.nonzero(take)
             if len(rows):
                 out = part.iloc[rows][["qid", "need", *xs]].reset_index(drop=True)
-                out.insert(2, "block", index["block"][blocks])
+                out.insert(2, "cell", index["cell"][blocks])
                 yield out
 
 
-def _probe(routed: DataFrame, blocks: DataFrame, xs: list[str], k: int, types: tuple[str, str]) -> DataFrame:
+def _probe(
+    routed: DataFrame, cells: DataFrame, nsub: dict, xs: list[str], k: int, types: tuple[str, str]
+) -> DataFrame:
     """Top k of each (query, block), computed per (block, chunk of queries).
 
-    Chunks are numbered by a hash and their number follows the routed row count of the
-    block, so the block is repeated once per chunk and no task sees more than about
-    CHUNK_ROWS queries. The load table has one row per block.
+    A cell is cut into ``nsub`` blocks by a hash of the point and its queries into chunks by
+    a hash of the query, the numbers following the row counts; a query meets every block of
+    its cell and a block is repeated once per chunk, so both sides of a task stay bounded.
+    The load table has one row per cell.
     """
     spark = routed.sparkSession
     routed = cut_lineage(routed)
-    per = routed.groupBy("block").count().collect()
-    load = small_table(spark, [(r["block"], math.ceil(r["count"] / CHUNK_ROWS)) for r in per], "block string, nch int")
-    left = routed.join(load, "block").withColumn("ch", F.pmod(F.xxhash64("qid", "need"), F.col("nch")).cast("int"))
-    right = blocks.join(load, "block").withColumn("ch", F.explode(F.sequence(F.lit(0), F.col("nch") - 1)))
+    per = routed.groupBy("cell").count().collect()
+    rows = [(r["cell"], int(nsub[r["cell"]]), math.ceil(r["count"] / CHUNK_ROWS)) for r in per]
+    load = small_table(spark, rows, "cell string, nsub int, nch int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (
+        routed.join(load, "cell")
+        .withColumn("ch", F.pmod(F.xxhash64("qid", "need"), F.col("nch")).cast("int"))
+        .withColumn("sub", each("nsub"))
+        .drop("nsub", "nch")
+    )
+    right = (
+        cells.join(load, "cell")
+        .withColumn("sub", F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int"))
+        .withColumn("ch", each("nch"))
+        .drop("nsub", "nch")
+    )
     d = len(xs)
 
     def solve(key, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -240,11 +250,11 @@ def _probe(routed: DataFrame, blocks: DataFrame, xs: list[str], k: int, types: t
         )
 
     width = shuffle_width(spark)
-    keys = ("block", "ch")
+    keys = ("cell", "sub", "ch")
     return (
-        left.drop("nch").repartition(width, *keys)
+        left.repartition(width, *keys)
         .groupBy(*keys)
-        .cogroup(right.drop("nch").repartition(width, *keys).groupBy(*keys))
+        .cogroup(right.repartition(width, *keys).groupBy(*keys))
         .applyInPandas(solve, _found_schema(types))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
-from winnow.functions.quantiles import exact_quantiles
+from winnow.functions.quantiles import exact_quantiles, grouped_quantiles
 from winnow.roles import ROLES, Roles, col
 
 PAIRWISE_LIMIT = 40
@@ -314,3 +314,49 @@ def profile_table(df: DataFrame, roles: Roles = ROLES, missing_only: bool = Fals
     return common.join(F.broadcast(numbers), "feature").withColumn(
         "feature", F.concat(F.lit("col_"), F.col("feature"))
     )
+
+
+def profile_tables(df: DataFrame, by: list[str], cols: list[str] | None = None, roles: Roles = ROLES) -> DataFrame:
+    """Profiles of the numeric columns of many tables at once, one row per (by..., feature).
+
+    Everything is grouped by table and column with map-side partials; distinct values are
+    counted from (table, column, value) groups, so a table that holds most rows is no
+    heavier for any one task.
+    """
+    cols = [c for c in roles.numeric(df) if c not in by] if cols is None else cols
+    keys = [*by, "feature"]
+    long = stacked(df, cols, by, "double")
+    x = F.col("value")
+    base = long.groupBy(*keys).agg(
+        F.lit("double").alias("dtype"),
+        F.count(F.lit(1)).alias("nums"),
+        (F.count(F.lit(1)) - F.count(x)).alias("n_missing"),
+        F.count(x).alias("_n"),
+        F.avg(x).alias("mean"),
+        M.sample_std(x).alias("std"),
+        M.corrected_skew(x).alias("skew"),
+        M.corrected_kurtosis(x).alias("kurtosis"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.coalesce(F.max(x < 0), F.lit(False)).alias("has_negative"),
+        (F.count(F.when(x == 0, 1)) / F.nullif(F.count(x).cast("double"), F.lit(0.0))).alias("sparsity"),
+    )
+    unique = long.where("value is not null").select(*keys, "value").distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_unique")
+    )
+    quartiles = grouped_quantiles(long, keys, [0.25, 0.5, 0.75])
+    limits = base.where("max > min").select(*keys, F.col("mean").alias("_m"), F.col("std").alias("_s"))
+    far = long.join(limits, keys).groupBy(*keys).agg(
+        F.count(F.when(F.abs((x - F.col("_m")) / F.col("_s")) > 3, 1)).alias("_far")
+    )
+    all_ = base.join(unique, keys, "left").join(quartiles, keys, "left").join(far, keys, "left")
+    n_unique = F.coalesce("n_unique", F.lit(0))
+    q = lambda i: F.get("q", F.lit(i))
+    return all_.select(
+        *keys, "dtype", "nums", "n_missing", (F.col("n_missing") / F.col("nums")).alias("missing_ratio"),
+        n_unique.alias("n_unique"), (n_unique == 1).alias("is_constant"), (n_unique == 2).cast("int").alias("is_binary"),
+        "mean", "std", "skew", "kurtosis", "min", "max", (F.col("max") - F.col("min")).alias("range"),
+        q(0).alias("q1"), q(1).alias("q2"), q(2).alias("q3"), (q(2) - q(0)).alias("iqr"),
+        F.coalesce(F.col("_far") / F.nullif(F.col("_n").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("zscore_outlier_ratio"),
+        "has_negative", "sparsity",
+    )

@@ -69,8 +69,10 @@ def with_strategies(profile: DataFrame, frequency: DataFrame, prefix: str = "str
         F.concat(F.lit("col_"), F.col("feature")).alias("_f"),
         *[F.col(m).alias(prefix + m) for m in SCALING_METHODS],
     )
-    joined = profile.join(named, profile["feature"] == named["_f"]).drop("_f")
-    return joined.drop("feature", "dtype") if "dtype" in profile.columns else joined.drop("feature")
+    same = F.when(F.col("feature").startswith("col_"), F.col("feature")).otherwise(
+        F.concat(F.lit("col_"), F.col("feature"))
+    )
+    return profile.join(named, same == F.col("_f")).drop("_f", "feature", "dtype")
 
 
 def merge_tables(tables: list[DataFrame], drop: tuple[str, ...] = ("is_constant",)) -> DataFrame:
