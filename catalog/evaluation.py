@@ -113,7 +113,7 @@ def _history(spark, sf):
 def select_sequence(spark, sf):
     kb, rec = _history(spark, sf)
     choice = search.select_sequence(
-        view(spark, sf, "ds"), kb, rec, model="DecisionTree", max_iter=3, batch=2, orders=2, folds=2
+        view(spark, sf, "ds"), kb, rec, model="DecisionTree", max_iter=2, batch=1, orders=2, folds=2
     )
     return choice.ledger
 

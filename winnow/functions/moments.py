@@ -49,10 +49,11 @@ def pair_correlation(a: Column, b: Column) -> Column:
 
 
 def abs_correlation(a: Column, b: Column) -> Column:
-    """|Pearson| over rows where both sides are present, NULL when either is constant: the
-    squared form answers 1 for a constant first argument and NULL for a constant second."""
-    r2 = F.regr_r2(a, b)
-    return F.when(F.regr_r2(b, a).isNotNull(), F.sqrt(r2))
+    """|Pearson| over rows where both sides are present, NULL when either is constant there."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
+    return F.when(varies, F.sqrt(F.regr_r2(a, b)))
 
 
 def mean_defined(values: list[Column]) -> Column:

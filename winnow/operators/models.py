@@ -85,7 +85,7 @@ def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) ->
     data = _vector(indexer.transform(df), cols, out.wave).select("_vec", "_y").persist()
     common = dict(featuresCol="_vec", labelCol="_y", predictionCol="_pred")
     if name == "DecisionTree":
-        est = DecisionTreeClassifier(maxDepth=20, maxBins=64, seed=42, **common)
+        est = DecisionTreeClassifier(maxDepth=20, maxBins=64, maxMemoryInMB=1024, seed=42, **common)
     elif name == "LogisticRegression":
         n = max(data.count(), 1)
         est = LogisticRegression(
@@ -94,7 +94,7 @@ def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) ->
         if len(classes) > 2:
             est = OneVsRest(classifier=est, parallelism=4, **common)
     else:
-        base = LinearSVC(regParam=1e-4, maxIter=60, standardization=False, featuresCol="_vec", labelCol="_y", predictionCol="_pred")
+        base = LinearSVC(regParam=1e-4, maxIter=40, tol=1e-3, standardization=False, **common)
         est = base if len(classes) == 2 else OneVsRest(classifier=base, parallelism=4, **common)
     try:
         out.model = est.fit(data)
