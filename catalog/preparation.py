@@ -450,9 +450,10 @@ def ft_apply_test(spark, sf):
 )
 def fs_variance(spark, sf):
     df = complete(spark, sf)
-    kept = select.by_variance(df)
-    out = df.agg(*[F.var_pop(c).alias(c) for c in NUM]).unpivot([], list(NUM), "feature", "variance")
-    return out.select("feature", sig("variance").alias("variance"), F.col("feature").isin(*kept).alias("kept"))
+    stats = select.column_stats(df)
+    kept = select.by_variance(df, stats=stats)
+    out = spark.createDataFrame([(c, stats[c]["var"], c in kept) for c in NUM], "feature string, variance double, kept boolean")
+    return out.withColumn("variance", sig("variance"))
 
 
 _per = " UNION ALL ".join(f"SELECT '{c}' AS feature, label, {c} AS v FROM fu" for c in SMALL)

@@ -28,12 +28,18 @@ def corrected_kurtosis(c: Column) -> Column:
     return F.when(n < 4, None).when(flat, 0.0).otherwise(scaled)
 
 
+def when_varies(c: Column, value: Column) -> Column:
+    """``value`` where the column varies, else 0: merging partial means of a constant may
+    leave a spread of rounding size, while its range is exactly 0."""
+    return F.when(F.min(c) == F.max(c), 0.0).otherwise(value)
+
+
 def sample_variance(c: Column) -> Column:
-    return F.when(F.count(c) < 2, None).otherwise(F.var_samp(c))
+    return F.when(F.count(c) < 2, None).otherwise(when_varies(c, F.var_samp(c)))
 
 
 def sample_std(c: Column) -> Column:
-    return F.when(F.count(c) < 2, None).otherwise(F.stddev_samp(c))
+    return F.when(F.count(c) < 2, None).otherwise(when_varies(c, F.stddev_samp(c)))
 
 
 def pair_correlation(a: Column, b: Column) -> Column:

@@ -29,7 +29,8 @@ def column_stats(df: DataFrame, roles: Roles = ROLES) -> dict:
     cells = [
         F.struct(
             F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi"), F.avg(col(c)).alias("avg"),
-            F.stddev_pop(col(c)).alias("std"), F.var_pop(col(c)).alias("var"),
+            M.when_varies(col(c), F.stddev_pop(col(c))).alias("std"),
+            M.when_varies(col(c), F.var_pop(col(c))).alias("var"),
         ).alias(f"a{i}")
         for i, c in enumerate(cols)
     ]
