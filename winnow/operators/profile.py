@@ -202,7 +202,9 @@ def profile_common(df: DataFrame, roles: Roles = ROLES, approximate: bool = Fals
     per task; ``approximate`` swaps in a sketch.
     """
     num = set(roles.numeric(df))
-    long = stacked(df, roles.features(df), [], "string")
+    # adding 0 makes the two signs of zero one value
+    feats = [(col(c) + F.lit(0.0)).alias(c) if c in num else col(c) for c in roles.features(df)]
+    long = stacked(df.select(*feats), roles.features(df), [], "string")
     if approximate:
         out = long.groupBy("feature").agg(
             F.count(F.lit(1)).alias("nums"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +88,9 @@ def read_trials(spark: SparkSession, path) -> DataFrame:
 def locate_recorded(spark: SparkSession, root: str, model: str, metric: str) -> DataFrame:
     """Recorded sequences under ``root/<model>/<metric>/json``, falling back to accuracy."""
     for m in dict.fromkeys((metric, "accuracy")):
-        path = f"{root}/{model}/{m}/json"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return read_sequences(spark, path)
+        try:
+            return read_sequences(spark, f"{root}/{model}/{m}/json")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"no recorded sequences for {model} under {root}")
