@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import near_dedup, topk, toxicity
+from winnow.llm import near_dedup, spotsigs, topk, toxicity
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <
 def op2(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op4_spotsigs")
+def op4(spark, sf_dir):
+    return spotsigs.compare_next(table(spark, sf_dir, "documents"))
