@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import near_dedup, spotsigs, topk, toxicity
+from winnow.llm import near_dedup, spotsigs, topk, toxicity, urlfilter
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,35 @@ def op2(spark, sf_dir):
 @query("op4_spotsigs")
 def op4(spark, sf_dir):
     return spotsigs.compare_next(table(spark, sf_dir, "documents"))
+
+
+VERDICTS = """
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM parts
+), listed AS (
+  SELECT DISTINCT host AS bad FROM parts
+  WHERE regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam|track)([.-]|$)')
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN EXISTS (SELECT 1 FROM listed WHERE host = bad OR ends_with(host, '.' || bad)) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query("op5_url_cascade", VERDICTS)
+def op5(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.hosts_with_words(pages))
