@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import near_dedup, spotsigs, topk, toxicity, urlfilter
+from winnow.llm import langid, near_dedup, quality, spotsigs, topk, toxicity, urlfilter
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,14 @@ FROM ruled
 def op5(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, urlfilter.hosts_with_words(pages))
+
+
+@query("op6_langid")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+@query("op9_quality_resampling")
+def op9(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
