@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from winnow.llm import langid, near_dedup, quality, spotsigs, topk, toxicity, urlfilter
+from winnow.llm import langid, mixing, near_dedup, quality, spotsigs, topk, toxicity, urlfilter
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,9 @@ def op6(spark, sf_dir):
 @query("op9_quality_resampling")
 def op9(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_soft_mixing")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs.select("doc_id", F.col("lang").alias("domain")))
