@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import langid, mixing, near_dedup, quality, spotsigs, topk, toxicity, urlfilter
+from winnow.llm import langid, mixing, near_dedup, pii, quality, spotsigs, topk, toxicity, urlfilter
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op9(spark, sf_dir):
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, docs.select("doc_id", F.col("lang").alias("domain")))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
