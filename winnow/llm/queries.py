@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import langid, mixing, near_dedup, pii, quality, spotsigs, topk, toxicity, urlfilter
+from winnow.llm import langid, mixing, near_dedup, pieces, pii, quality, spotsigs, topk, toxicity, urlfilter
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,14 @@ def op8(spark, sf_dir):
 @query("op7_pii")
 def op7(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sentencepiece")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs))
+    return back.select(
+        "doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
