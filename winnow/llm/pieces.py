@@ -280,7 +280,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MO
     """``docs`` with a column ``ids`` (array of int, never null) added; it replaces one of that name."""
     blob = model_bytes(path)
     docs = docs.drop(ids)
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), [*docs.columns, ids]
     big = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)) > giant
 
     def run(batches):
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MO
                 flat, starts = p.encode([prepare(t) for t in texts[a:b]])
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*docs.columns, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
 
     schema = docs.select("*", F.array(F.lit(0)).alias(ids)).schema
     small = docs.where(~big).mapInArrow(run, schema)
@@ -385,7 +385,7 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", path: st
     """``encoded`` with a column ``text`` made from ``ids`` added; it replaces one of that name."""
     blob = model_bytes(path)
     encoded = encoded.drop(text)
-    at = encoded.columns.index(ids)
+    at, names = encoded.columns.index(ids), [*encoded.columns, text]
 
     def run(batches):
         p = pieces(blob)
@@ -396,6 +396,6 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", path: st
                 lengths = np.diff(lists.offsets.to_numpy())
                 starts = np.concatenate([[0], np.cumsum(lengths)])
                 texts = p.decode(lists.flatten().to_numpy(), starts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*encoded.columns, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias(text)).schema)
