@@ -44,6 +44,8 @@ SPAN, CACHED = 256, 100_000
 #: Dearer than SPAN characters one by one; 32-bit sums of a span stay exact (under 2^24).
 AVOIDED = -8_200_000.0
 GIANT, CHUNK, GROUP = 65_536, 16_384, 64
+#: Characters encoded at once; their ids are held as Python numbers for a moment.
+AT_ONCE = 400_000
 NEVER = -(1 << 60)
 
 
@@ -287,7 +289,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MO
         p = pieces(blob)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in in_chunks(texts):
+            for a, b in in_chunks(texts, AT_ONCE):
                 flat, starts = p.encode([prepare(t) for t in texts[a:b]])
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                 part = batch.slice(a, b - a)
