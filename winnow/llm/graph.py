@@ -17,23 +17,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.where("a <> b").select("a", "b")
     both = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("class_id")))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("class_id")))
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "class_id"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("class_id").alias("m"))
         )
-        lower = labels.join(near, "node").select(
-            "node", F.col("class_id").alias("was"), F.least("class_id", "m").alias("class_id")
-        )
+        lower = labels.join(near, "node").select("node", F.col("class_id").alias("was"), F.least("class_id", "m").alias("class_id"))
         jump = labels.select(F.col("node").alias("class_id"), F.col("class_id").alias("beyond"))
-        step = cut(
-            lower.join(jump, "class_id", "left").select(
-                "node", "was", F.least("class_id", F.coalesce("beyond", "class_id")).alias("class_id")
-            )
-        )
-        changed = step.where("class_id < was").limit(1).count()
+        next_id = F.least("class_id", F.coalesce("beyond", "class_id"))
+        step = cut(lower.join(jump, "class_id", "left").select("node", "was", next_id.alias("class_id")))
+        if step.where("class_id < was").isEmpty():
+            return step.select("node", "class_id")
         labels = step.select("node", "class_id")
-        if not changed:
-            return labels

@@ -20,6 +20,8 @@ and stays; other columns are never looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -192,63 +194,68 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, similarity: float)
     """Links (a, b) that join every two members of a bucket whose similarity reaches the bound,
     directly or through others. ``members``: (bucket, doc, size).
 
-    Round 1 compares each member with the first of its bucket. Later rounds take 4, 16, ...
-    centres from outside the bucket's largest group and compare them with the members of other
-    groups that can be near: sizes within the bound, and (the distance is a metric) distances to
-    the first member that differ by no more than the bound allows. A member that was a centre is
-    settled; members of the largest group need not be centres, since what they could still be
-    linked to is a centre at some time. It ends when all others are settled.
+    Members linked to a common centre form a group of the bucket. Round 1 compares each member
+    with the first of its bucket; later rounds take 16, 256, ... centres from outside the
+    bucket's largest group ("home") and compare them with members of other groups that can be
+    near: sizes within the bound, and (the distance is a metric) distances to the first member
+    that differ by no more than the bound allows. A member that was a centre is settled; members
+    of home need not be centres, as whatever they could still be linked to is one at some time.
+    It ends when all others are settled.
     """
     far = 1.0 - similarity + 1e-9
     state = members.select(
-        "bucket", "doc", "size", F.col("doc").alias("class_id"), F.lit(None).cast("double").alias("d"),
+        "bucket", "doc", "size", F.col("doc").alias("grp"), F.lit(None).cast("double").alias("d"),
         F.lit(False).alias("settled"), F.lit(False).alias("home"),
     )
-    links, centres_each = None, 1
+    links, centres_each = [], 1
     while True:
         order = Window.partitionBy("bucket").orderBy("doc")
         centres = (
             state.where("not settled and not home")
             .withColumn("n", F.row_number().over(order))
             .where(F.col("n") <= centres_each)
-            .select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc", "size", "class_id", "d")])
+            .select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc", "size", "grp", "d")])
         )
         can_be_near = (
-            (F.col("class_id") != F.col("c_class_id"))
+            (F.col("grp") != F.col("c_grp"))
             & (F.least("size", "c_size") >= similarity * F.greatest("size", "c_size"))
             & F.coalesce(F.abs(F.col("d") - F.col("c_d")) <= far, F.lit(True))
         )
-        met = state.join(centres, "bucket").where(can_be_near)
-        asked = met.select(F.least("doc", "c_doc").alias("a"), F.greatest("doc", "c_doc").alias("b")).distinct()
-        compared = cut(similarities(asked, sets))
-        fresh = compared.where(F.col("similarity") >= similarity).select("a", "b")
-        links = fresh if links is None else cut(links.union(fresh))
-        groups = components(links).select(F.col("node").alias("doc"), F.col("class_id").alias("now"))
-        next_state = (
-            state.join(centres.select("bucket", F.col("c_doc").alias("doc"), F.lit(True).alias("was_centre")), ["bucket", "doc"], "left")
-            .join(groups, "doc", "left")
-            .withColumn("class_id", F.coalesce("now", "doc"))
+        met = cut(
+            state.join(centres, "bucket").where(can_be_near)
+            .select("bucket", "doc", "grp", "home", "c_doc", "c_grp", F.least("doc", "c_doc").alias("a"), F.greatest("doc", "c_doc").alias("b"))
+        )
+        compared = cut(similarities(met.select("a", "b").distinct(), sets))
+        links.append(compared.where(F.col("similarity") >= similarity).select("a", "b"))
+        seen = cut(met.join(compared, ["a", "b"]).select("bucket", "doc", "grp", "home", "c_doc", "c_grp", "similarity"))
+        near = seen.where(F.col("similarity") >= similarity)
+        # a centre and all it is linked to take the best group among them: home, else the smallest
+        joined = near.groupBy("bucket", "c_doc").agg(F.min(F.struct(~F.col("home"), F.least("grp", "c_grp"), "grp")).alias("g"))
+        joined = joined.select("bucket", "c_doc", F.when(~F.col("g.col1"), F.col("g.grp")).otherwise(F.col("g.col2")).alias("to"), F.col("g.col1").alias("away"))
+        moves = near.select("bucket", "c_doc", "doc").unionByName(joined.select("bucket", "c_doc", F.col("c_doc").alias("doc")))
+        moved = moves.join(joined, ["bucket", "c_doc"]).groupBy("bucket", "doc").agg(F.min(F.struct("away", "to"))["to"].alias("to"))
+        after = (
+            state.drop("home")
+            .join(moved, ["bucket", "doc"], "left")
+            .join(centres.select("bucket", F.col("c_doc").alias("doc"), F.lit(True).alias("was_centre")), ["bucket", "doc"], "left")
+            .withColumn("grp", F.coalesce("to", "grp"))
             .withColumn("settled", F.col("settled") | F.col("was_centre").isNotNull())
         )
         if centres_each == 1:
-            next_state = (
-                next_state.join(centres.select("bucket", "c_doc"), "bucket")
-                .withColumn("a", F.least("doc", "c_doc"))
-                .withColumn("b", F.greatest("doc", "c_doc"))
-                .join(compared, ["a", "b"], "left")
-                .withColumn("d", F.when(F.col("doc") == F.col("c_doc"), 0.0).otherwise(1.0 - F.col("similarity")))
-            )
-        next_state = next_state.select("bucket", "doc", "size", "class_id", "d", "settled")
+            first = seen.select("bucket", "doc", (1.0 - F.col("similarity")).alias("to_first"))
+            after = after.join(first, ["bucket", "doc"], "left").withColumn("d", F.when(F.col("was_centre"), 0.0).otherwise(F.col("to_first")))
+        after = after.select("bucket", "doc", "size", "grp", "d", "settled")
         largest = (
-            next_state.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
-            .groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("home_id"))
+            after.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
+            .groupBy("bucket").agg(F.max_by("grp", F.struct("n", "grp")).alias("home_grp"))
         )
-        marked = next_state.join(largest, "bucket").withColumn("home", F.col("class_id") == F.col("home_id")).drop("home_id")
-        open_buckets = marked.where("not settled and not home").select("bucket").distinct()
-        state = cut(marked.join(open_buckets, "bucket", "left_semi"))
-        if not state.limit(1).count():
-            return links
-        centres_each *= 4
+        marked = after.join(largest, "bucket").withColumn("home", F.col("grp") == F.col("home_grp")).drop("home_grp")
+        still = marked.where("not settled and not home").select("bucket").distinct()
+        state = cut(marked.join(still, "bucket", "left_semi"))
+        if state.isEmpty():
+            break
+        centres_each *= 16
+    return reduce(DataFrame.union, links)
 
 
 def near_duplicates(
