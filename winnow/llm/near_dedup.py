@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """(doc, elements, weights) as packed arrays, for the documents in ``wanted`` (doc).
+    """(doc, elements) as packed arrays, for the documents in ``wanted`` (doc).
 
     A Bloom filter of fixed size keeps most other texts from being cut up at all; the join then
     removes its few false positives. Texts are not shuffled.
@@ -149,44 +149,49 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, text: str, key: str, width
             texts = batch.column(1).to_pylist()
             for a, b in in_chunks(texts):
                 element, doc, weight, *_ = weighted_shingles(texts[a:b], width)
-                ends = np.searchsorted(doc, np.arange(b - a + 1))
-                packed = [element[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
-                counts = [weight[i:j].astype(np.uint32).tobytes() for i, j in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())],
-                    names=["doc", "elements", "weights"],
-                )
-
-    cut_up = spotted.where(F.col("doc").isNotNull()).mapInArrow(run, "doc long, elements binary, weights binary")
+                each = np.repeat(element, weight)
+                ends = np.searchsorted(np.repeat(doc, weight), np.arange(b - a + 1))
+                packed = [pack(each[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc", "elements"])
+
+    cut_up = spotted.where(F.col("doc").isNotNull()).mapInArrow(run, "doc long, elements binary")
     return cut_up.join(wanted, "doc", "left_semi")
 
 
+def pack(elements: np.ndarray) -> bytes:
+    """44-bit elements, sorted and repeated as often as they occur, in 6 bytes each."""
+    return (elements >> U(12)).astype(np.uint32).tobytes() + (elements & U(0xFFF)).astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements and their numbers."""
+    n = len(packed) // 6
+    high, low = np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, 4 * n)
+    return np.unique((high.astype(np.uint64) << U(12)) | low, return_counts=True)
+
+
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Sum of minima over sum of maxima; both element arrays are sorted and distinct."""
+    if not len(a) or not len(b):
+        return 0.0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    same = b[at] == a if len(b) else np.zeros(len(a), bool)
-    shared = np.minimum(wa[same], wb[at[same]]).sum() if same.any() else 0
-    whole = wa.sum() + wb.sum() - shared
-    return float(shared) / float(whole) if whole else 0.0
+    same = b[at] == a
+    shared = int(np.minimum(wa[same], wb[at[same]]).sum())
+    return shared / (int(wa.sum()) + int(wb.sum()) - shared)
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, similarity) by the exact measure."""
-    left = sets.select(F.col("doc").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
+    left = sets.select(F.col("doc").alias("a"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("doc").alias("b"), F.col("elements").alias("eb"))
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ea", "wa", "eb", "wb")]
-            sims = [
-                weighted_jaccard(*(np.frombuffer(x, t).astype(t2) for x, t, t2 in zip(row, ("u8", "u4") * 2, ("u8", "i8") * 2)))
-                for row in zip(*cols)
-            ]
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "wa", "eb", "wb")
+            sims = [weighted_jaccard(*unpack(x), *unpack(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb")
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -194,8 +199,8 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, similarity: float)
     """Links (a, b) that join every two members of a bucket whose similarity reaches the bound,
     directly or through others. ``members``: (bucket, doc, size).
 
-    Members linked to a common centre form a group of the bucket. Round 1 compares each member
-    with the first of its bucket; later rounds take 16, 256, ... centres from outside the
+    Round 1 compares each member with the first of its bucket; members that its links connect,
+    through whatever buckets, are a group from then on. Later rounds take 16, 256, ... centres from outside the
     bucket's largest group ("home") and compare them with members of other groups that can be
     near: sizes within the bound, and (the distance is a metric) distances to the first member
     that differ by no more than the bound allows. A member that was a centre is settled; members
@@ -243,7 +248,13 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, similarity: float)
         )
         if centres_each == 1:
             first = seen.select("bucket", "doc", (1.0 - F.col("similarity")).alias("to_first"))
-            after = after.join(first, ["bucket", "doc"], "left").withColumn("d", F.when(F.col("was_centre"), 0.0).otherwise(F.col("to_first")))
+            classes = components(links[0]).select(F.col("node").alias("doc"), "class_id")
+            after = (
+                after.join(first, ["bucket", "doc"], "left")
+                .withColumn("d", F.when(F.col("was_centre"), 0.0).otherwise(F.col("to_first")))
+                .join(classes, "doc", "left")
+                .withColumn("grp", F.coalesce("class_id", "doc"))
+            )
         after = after.select("bucket", "doc", "size", "grp", "d", "settled")
         largest = (
             after.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
