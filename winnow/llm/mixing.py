@@ -95,6 +95,8 @@ def classify(docs: DataFrame, labelled: DataFrame, key: str, text: str, sample:
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("_domain")) - 1
     rows = docs.select(key, text).join(F.broadcast(chosen), key)  # at most about SAMPLE short rows
     train = cut(with_words(rows.select(F.col(text), place.cast("double").alias("_label")), text).select(_BAG, "_label"))
+    if train.isEmpty():  # no document carries a label
+        return Mixture([], None)
     lr = LogisticRegression(
         featuresCol=_BAG, labelCol="_label", probabilityCol=_P, rawPredictionCol="", predictionCol="",
         family="multinomial", maxIter=25, regParam=1e-3,

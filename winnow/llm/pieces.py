@@ -78,7 +78,7 @@ class Pieces:
                 table.append(bytes([value]))
             elif p.type == 1:
                 table.append(p.piece.replace(SPACE, " ").encode())
-                scores[i] = int(p.score)
+                scores[i] = normal[p.piece][1]
             else:
                 table.append(b"")
         self.scores = scores

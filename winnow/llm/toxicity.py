@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
             owner, at = owner[hit], at[hit]
             ends = np.searchsorted(owner, np.arange(len(lists) + 1)).astype(np.int32)
-            total = np.bincount(owner, weights=load[at], minlength=len(lists))
+            total = np.bincount(owner, weights=load[at], minlength=len(lists)).astype(float)
             columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), columns], names=[key, "toxic", "load", "columns"])
 
