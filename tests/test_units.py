@@ -610,3 +610,76 @@ def test_streamed_moments_give_the_same_projection(spark, tmp_path):
     fitted = features.pca_from_moments(spark.table("moments_out"), names, 2)
     want = matrix(features.fit_features(df, "pca").apply(df), ["0", "1"])
     assert np.allclose(matrix(fitted.apply(df), ["0", "1"]), want, atol=1e-6)
+
+
+# ---------------------------------------------------------------- rows and nulls are kept
+
+
+def test_knn_keeps_rows_without_any_value(spark):
+    from winnow.operators.knn import classify
+
+    train = spark.createDataFrame([(i, float(i), "a" if i < 7 else "b") for i in range(10)], "row_id long, f_x double, label string")
+    test = spark.createDataFrame([(1, 0.0, "a"), (2, 9.0, "b"), (3, None, "b")], "row_id long, f_x double, label string")
+    got = {r.row_id: r.prediction for r in classify(train, test, ["f_x"], 3).collect()}
+    assert got == {1: "a", 2: "b", 3: "a"}
+
+
+def test_null_keys_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+    from winnow.functions.ranks import bucket_ordinal, running_max_before
+
+    df = spark.createDataFrame([(None if i % 5 == 0 else "k", i, float(i % 7)) for i in range(40)], "g string, i long, v double")
+    numbered = bucket_ordinal(df.withColumn("b", F.when(F.col("i") > 30, 1)), ["g"], "b", ["i"], "n").collect()
+    assert sorted(r.n for r in numbered if r.g is None) == list(range(1, 9)) and len(numbered) == 40
+    assert running_max_before(df, ["g"], "i", F.col("v"), "m", 10).count() == 40
+
+
+def test_iterative_imputation_feeds_rounds(spark):
+    import numpy as np
+    from winnow.operators.impute import fit_imputer
+
+    rng = np.random.default_rng(0)
+    b = rng.normal(size=300)
+    table = np.column_stack([2 * b + 0.3 * rng.normal(size=300), b, -b + 0.3 * rng.normal(size=300)])
+    holes = table.copy()
+    holes[:40, :2] = np.nan  # two columns missing together
+    holes[40:60, 2] = np.nan
+    rows = [(i, *[None if np.isnan(x) else float(x) for x in r], "y") for i, r in enumerate(holes)]
+    df = spark.createDataFrame(rows, "row_id long, f_a double, f_b double, f_c double, label string")
+    imputer = fit_imputer(df, "iterative", rounds=10)
+    got = np.array([[r.f_a, r.f_b, r.f_c] for r in imputer.apply(df).orderBy("row_id").collect()])
+
+    state = np.where(np.isnan(holes), np.nanmean(holes, axis=0), holes)
+    order = sorted(range(3), key=lambda j: (np.isnan(holes[:, j]).sum()))
+    steps = len(imputer.coefficients) // 3
+    for _ in range(steps):
+        for j in order:
+            other, known = [x for x in range(3) if x != j], ~np.isnan(holes[:, j])
+            x = np.column_stack([np.ones(known.sum()), state[known][:, other]])
+            w = np.linalg.lstsq(x, state[known, j], rcond=None)[0]
+            state[~known, j] = np.column_stack([np.ones((~known).sum()), state[~known][:, other]]) @ w
+    assert np.abs(got - state).max() < 1e-5
+
+
+def test_csv_rows_are_numbered_by_place(spark, tmp_path):
+    from winnow.sources.tables import read_labelled_csv
+
+    for part in range(3):
+        (tmp_path / f"p{part}.csv").write_text("x,y\n" + "".join(f"{part * 500 + i},a\n" for i in range(500 - 100 * part)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for width in ("512", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+            df, _ = read_labelled_csv(spark, str(tmp_path), "y", schema="x int, y string")
+            rows = sorted((r[0], r[1]) for r in df.select("row_id", df.columns[1]).collect())
+            assert [i for i, _ in rows] == list(range(1200)) and [v for _, v in rows] == sorted(v for _, v in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_onehot_tells_null_from_the_word_null(spark):
+    from winnow.operators.encode import fit_encoder
+
+    df = spark.createDataFrame([(1, "null", "a"), (2, None, "b"), (3, "x", "a")], "row_id long, c_s string, label string")
+    out = fit_encoder(df, "onehot").apply(df)
+    assert len(set(out.columns)) == len(out.columns) and out.count() == 3

@@ -8,6 +8,8 @@ inside (group, bucket); the result is the same number a plain window would give.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,13 @@ def hash_ordinal(
     return bucket_ordinal(h, group, "_b", ["_h", key], out).drop("_h", "_b")
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the keys of ``other`` are dropped."""
+    named = other.select(*[F.col(c).alias(f"_ns_{c}") if c in keys else F.col(c) for c in other.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_ns_{c}")) for c in keys])
+    return df.join(named, same, how).drop(*[f"_ns_{c}" for c in keys])
+
+
 def bucket_ordinal(
     df: DataFrame, group: list[str], bucket: str, order: list, out: str
 ) -> DataFrame:
@@ -47,7 +56,7 @@ def bucket_ordinal(
         .drop("_n")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    joined = df.join(offsets, keys)
+    joined = join_null_safe(df, offsets, keys)
     return joined.withColumn(out, F.row_number().over(inside) + F.col("_off")).drop("_off").select(
         *df.columns, out
     )
@@ -74,7 +83,7 @@ def running_max_before(
     carry = F.col("_rm_c")
     # either side may be an empty prefix
     latest = F.when(carry.isNull() | (here > carry), F.coalesce(here, carry)).otherwise(carry)
-    return tagged.join(carried, keys).withColumn(out, latest).select(*df.columns, out)
+    return join_null_safe(tagged, carried, keys).withColumn(out, latest).select(*df.columns, out)
 
 
 def ordered_ordinal(df: DataFrame, order: list, out: str) -> DataFrame:

@@ -63,9 +63,11 @@ class Encoder:
 
     def _onehot(self, df: DataFrame, c: str) -> DataFrame:
         new = []
+        named_null = any(value == "null" for value, _ in self.states[c].rows)
         for value, _ in self.states[c].rows:
             hit = col(c).eqNullSafe(F.lit(value))
-            new.append(hit.cast("double").alias(f"{c}_{'null' if value is None else value}"))
+            name = ("null_value" if named_null else "null") if value is None else value
+            new.append(hit.cast("double").alias(f"{c}_{name}"))
         return self._replace(df, c, new)
 
     def _binary(self, df: DataFrame, c: str) -> DataFrame:

@@ -56,17 +56,25 @@ class Imputer:
         return neighbour_means(df, self.donors, dims, k=5, roles=self.roles)
 
     def _from_regressions(self, df: DataFrame) -> DataFrame:
-        dims = list(self.numeric)
-        for c in dims:
+        """Replays every round of the fit: later rounds start from what earlier ones filled in."""
+        filled = self.swept(self.flagged(df), self.coefficients)
+        return filled.drop(*["_na_" + c for c in self.numeric])
+
+    def flagged(self, df: DataFrame) -> DataFrame:
+        """The table with constants filled in and a flag for each hole."""
+        for c in self.numeric:
             df = df.withColumn("_na_" + c, col(c).isNull())
-        df = self._constants(df)
-        for target, weights in self.coefficients:
+        return self._constants(df)
+
+    def swept(self, df: DataFrame, steps: list[tuple[str, list[float]]]) -> DataFrame:
+        dims = list(self.numeric)
+        for target, weights in steps:
             others = [c for c in dims if c != target]
             guess = F.lit(weights[0])
             for c, w in zip(others, weights[1:]):
                 guess = guess + col(c) * F.lit(w)
             df = df.withColumn(target, F.when(F.col("_na_" + target), guess).otherwise(col(target)))
-        return df.drop(*["_na_" + c for c in dims])
+        return df
 
 
 def fit_imputer(
@@ -115,29 +123,29 @@ def _fit_rounds(df: DataFrame, out: Imputer, num: list[str], rounds: int) -> Non
     if not holes or len(live) < 2:
         return
     last: dict[str, np.ndarray] = {}
-    base = df.select(*[col(c) for c in live]).persist()
-    try:
-        for _ in range(rounds):
-            change = 0.0
-            for target in holes:
-                others = [c for c in live if c != target]
-                state = Imputer("iterative", {c: out.numeric[c] for c in live})
-                state.coefficients = out.coefficients[-len(holes):]
-                known = base.where(col(target).isNotNull())
-                seen = state.apply(known)
-                n, s, g = gram(seen, [*others, target])
-                mean = s / n
-                cov = g / n - np.outer(mean, mean)
-                a, b = cov[:-1, :-1], cov[:-1, -1]
-                ridge = 1e-8 * max(np.trace(a) / max(len(others), 1), 1e-12)
-                w = np.linalg.solve(a + ridge * np.eye(len(others)), b)
-                full = np.concatenate([[mean[-1] - w @ mean[:-1]], w])
-                scale = np.abs(full).max() or 1.0
-                change = max(change, np.abs(full - last.get(target, np.full_like(full, np.inf))).max() / scale)
-                last[target] = full
-                out.coefficients.append((target, [float(x) for x in full]))
-            out.coefficients = out.coefficients[-len(holes):]
-            if change < 1e-3:
-                break
-    finally:
-        base.unpersist()
+    state = Imputer("iterative", {c: out.numeric[c] for c in live})
+    current = state.flagged(df.select(*[col(c) for c in live])).persist()
+    for _ in range(rounds):
+        change, earlier, steps = 0.0, current, []
+        for target in holes:
+            others = [c for c in live if c != target]
+            n, s, g = gram(current.where(~F.col("_na_" + target)), [*others, target])
+            mean = s / n
+            cov = g / n - np.outer(mean, mean)
+            a, b = cov[:-1, :-1], cov[:-1, -1]
+            ridge = 1e-8 * max(np.trace(a) / max(len(others), 1), 1e-12)
+            w = np.linalg.solve(a + ridge * np.eye(len(others)), b)
+            full = np.concatenate([[mean[-1] - w @ mean[:-1]], w])
+            scale = np.abs(full).max() or 1.0
+            change = max(change, np.abs(full - last.get(target, np.full_like(full, np.inf))).max() / scale)
+            last[target] = full
+            steps.append((target, [float(x) for x in full]))
+            current = state.swept(current, steps[-1:])
+        out.coefficients += steps
+        current = current.persist()  # the table as this round leaves it
+        if change < 1e-6:
+            break
+        current.count()
+        earlier.unpersist()
+    earlier.unpersist()
+    current.unpersist()

@@ -390,7 +390,8 @@ def classify(
     train: DataFrame, test: DataFrame, dims: list[str], k: int = 5, roles: Roles = ROLES
 ) -> DataFrame:
     """Majority vote of the k nearest train rows; equal votes go to the smallest label.
-    Returns (row_id, label, prediction)."""
+    A test row without any value has no neighbours and takes the most frequent train label.
+    Returns (row_id, label, prediction), one row for each test row."""
     key, lab = roles.row_id, roles.label
     pts = train.select(col(key), *[col(c) for c in dims])
     distinct = test.groupBy(*[col(c) for c in dims]).agg(F.min(col(key)).alias("_q"))
@@ -407,4 +408,7 @@ def classify(
     for i, c in enumerate(dims):
         t = col(c).eqNullSafe(F.col(f"_a{i}"))
         same = t if same is None else same & t
-    return test.join(answers, same).select(col(key), col(lab), "prediction")
+    most = train.groupBy(col(lab).alias("_l")).count().orderBy(F.desc("count"), "_l").select("_l").first()
+    usual = F.lit(most["_l"] if most else None).cast(train.schema[lab].dataType)
+    told = F.coalesce("prediction", usual).alias("prediction")
+    return test.join(answers, same, "left").select(col(key), col(lab), told)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
 from winnow.functions.quantiles import exact_quantiles, grouped_quantiles
+from winnow.functions.ranks import join_null_safe
 from winnow.roles import ROLES, Roles, col
 
 PAIRWISE_LIMIT = 40
@@ -131,7 +132,7 @@ def table_measures(df: DataFrame, by: list[str] | None = None, roles: Roles = RO
     if wide:
         r = mean_abs_correlation_wide(feats, num)
         base = base.withColumn("mean_feature_correlation", F.lit(r).cast("double"))
-    return base.join(target_measures(df, by, roles), by, "left")
+    return join_null_safe(base, target_measures(df, by, roles), by, "left")
 
 
 def need_flags(df: DataFrame, roles: Roles = ROLES, outlier_rule: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +10,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it back.
 
     Used where a plan must see one fixed row order (a sort boundary, a random draw) twice.
-    The folder is the one named by ``spark.checkpoint.dir``; a private one is made only on
-    a local master where none is set.
+    The folder is the one named by ``spark.checkpoint.dir``; where none is set, one below the
+    warehouse, which driver and executors share too.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="winnow-checkpoint-")
-        sc.setCheckpointDir(shared)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints"))
     return df.checkpoint(eager=True)
 
 

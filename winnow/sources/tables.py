@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.roles import Roles, col, lay_out
-from winnow.session import spread
 
 
 def check_labelled(df: DataFrame, target: str | None) -> str:
@@ -23,7 +22,8 @@ def check_labelled(df: DataFrame, target: str | None) -> str:
 
 def as_labelled(df: DataFrame, target: str | None = None, row_id: str | None = None) -> tuple[DataFrame, Roles]:
     """Row key first, target last under the name ``label``, types laid out. Without a key
-    column rows are numbered in scan order; give one where reruns must line up."""
+    column rows are numbered as they come; give one where reruns must line up (a CSV file read
+    by ``read_labelled_csv`` is numbered by place in the file)."""
     target = check_labelled(df, target)
     if row_id is None:
         df, row_id = df.withColumn("row_id", F.monotonically_increasing_id()), "row_id"
@@ -39,7 +39,25 @@ def read_labelled_csv(
     """``schema`` avoids the extra pass that type inference costs on a large file."""
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return as_labelled(spread(reader.csv(path)), target, row_id)
+    scan = reader.csv(path)
+    return as_labelled(scan, target, row_id) if row_id else as_labelled(in_file_order(scan), target, "row_id")
+
+
+def in_file_order(scan: DataFrame, out: str = "row_id") -> DataFrame:
+    """Rows numbered 0, 1, ... by file and place in it, however many cores read the files.
+
+    Rows of one block of a file follow each other in the scan; the rows of earlier blocks are
+    counted first, one number for each block.
+    """
+    tagged = scan.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_m"),
+    )
+    blocks = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbered = tagged.join(F.broadcast(offsets), ["_file", "_block"])
+    return numbered.select((F.col("_off") + F.col("_m") - F.col("_m0")).alias(out), *[col(c) for c in scan.columns])
 
 
 def read_many(spark: SparkSession, roots: list[str], schema=None) -> DataFrame:
