@@ -165,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for c in cuts:
             grade = grade + (F.col("load") > F.lit(c)).cast("int")
         table = table.select(F.when(F.col("toxic") == 1, grade).otherwise(0).alias("g"), "columns")
-    table = table.select(F.col("g").cast("int").alias("g"), "columns").persist()
+    # the sample is bounded: as many gradients reach the driver, whatever the table has of partitions
+    table = table.select(F.col("g").cast("int").alias("g"), "columns").coalesce(16).persist()
     try:
         weights, thresholds = descend(table, len(words), n_toxic / (n_toxic + n_other))
         cutoff = best_cutoff(table, weights)
