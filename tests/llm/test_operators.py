@@ -177,6 +177,59 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(texts)
 
 
+def edited_copies(n, edits, seed=6):
+    """Texts that differ from one base in ``edits`` places of their own, and some chains of them."""
+    rng = random.Random(seed)
+    base, texts = [f"word{rng.randrange(500)}" for _ in range(120)], {}
+    for i in range(n):
+        t = list(base) if i % 3 else texts[i - 1].split() if i else list(base)
+        for _ in range(edits if i % 3 else 1):
+            t[rng.randrange(120)] = f"new{rng.randrange(1000)}"
+        texts[i] = " ".join(t)
+    return texts
+
+
+def test_near_duplicates_of_loosely_alike_texts(spark):
+    texts = edited_copies(150, 6)
+    classes = brute_classes(texts)
+    assert 20 < len(set(classes.values())) < 130
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == classes
+
+
+@pytest.mark.parametrize("part_docs", [2048, 16])
+def test_parts_compare_every_pair_of_groups(spark, part_docs):
+    texts = edited_copies(90, 5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = near_dedup.shingle_table(df, df.select(F.col("doc_id").alias("doc")), "text", "doc_id", 5)
+    size = F.size(F.split("text", " ")) - 4
+    home = F.col("doc_id") % 3 == 1  # told to be one group already
+    state = df.select(
+        F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("bucket"), F.col("doc_id").alias("doc"), size.cast("long").alias("size"),
+        F.when(home, F.lit(-1)).otherwise(F.col("doc_id")).cast("long").alias("grp"), home.alias("home"),
+    )
+    pairs = near_dedup.links_by_parts(state, sets, 0.8, part_docs=part_docs).collect()
+    sets_of = {i: shingle_counts(t) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    got = dict(want)
+
+    def join(classes, a, b):
+        x, y = classes[a], classes[b]
+        for k, v in classes.items():
+            classes[k] = min(x, y) if v in (x, y) else v
+
+    for one in (want, got):
+        for i in texts:
+            if i % 3 == 1:
+                join(one, 1, i)
+    for a, b in itertools.combinations(texts, 2):
+        if sum((sets_of[a] & sets_of[b]).values()) >= 0.8 * sum((sets_of[a] | sets_of[b]).values()):
+            join(want, a, b)
+    for r in pairs:
+        join(got, r.a, r.b)
+    assert got == want
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(awkward).collect()}
     assert got[2] == 1 and got[3] == 3 and got[4] == 4 and got[5] == 5

@@ -8,9 +8,10 @@ the earliest dart under the document's weights is kept. Two documents agree in a
 with a probability equal to their weighted Jaccard similarity.
 
 Signatures are cut into bands; documents that agree in a band meet in its bucket. Within a
-bucket documents are compared exactly (weighted Jaccard over all shingles) against a few
-members per round, until no two members of different groups are left uncompared. So a bucket
-of n near copies takes n comparisons, and no link between different groups is lost to a cap.
+bucket documents are compared exactly (weighted Jaccard over all shingles): first all with one
+member, then, by parts of bounded size, those outside the largest group with all members of
+other groups. So a bucket of n near copies of its first member takes n comparisons, and no link
+between different groups is lost to a cap.
 
 Defined cases: a null or wordless text has no shingles, is linked to nothing and stays; texts
 with the same words are copies whatever their length; a text under five words is one shingle;
@@ -20,11 +21,9 @@ and stays; other columns are never looked at.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import bits_at, cut, id_filter, in_chunks, map_texts, one_row_per_id, repeated_ids
@@ -35,6 +34,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: 25 bands of 5 coordinates: a pair at 0.8 meets in some band with probability 0.99995.
 BANDS, ROWS = 25, 5
+#: Shingles (6 bytes each) and documents of a bucket that are compared in one piece.
+PART_BYTES, PART_DOCS = 2_000_000, 2_048
 
 
 def dart_signatures(
@@ -195,78 +196,189 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def links_within_buckets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join every two members of a bucket whose similarity reaches the bound,
-    directly or through others. ``members``: (bucket, doc, size).
+def first_round(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Compare each member of a bucket with the first: (links, distances), where links (a, b) reach
+    the bound and distances are (bucket, doc, d). One row for each member."""
+    first = members.groupBy("bucket").agg(F.min(F.struct("doc", "size")).alias("first"))
+    met = cut(
+        members.join(first, "bucket")
+        .where((F.col("doc") != F.col("first.doc")) & (F.least("size", "first.size") >= similarity * F.greatest("size", "first.size")))
+        .select("bucket", F.col("first.doc").alias("a"), F.col("doc").alias("b"))
+    )
+    compared = cut(similarities(met.select("a", "b").distinct(), sets))
+    distances = met.join(compared, ["a", "b"]).select("bucket", F.col("b").alias("doc"), (1.0 - F.col("similarity")).alias("d"))
+    firsts = first.select("bucket", F.col("first.doc").alias("doc"), F.lit(0.0).alias("d"))
+    return compared.where(F.col("similarity") >= similarity).select("a", "b"), distances.unionByName(firsts)
+
+
+def open_buckets(members: DataFrame, links: DataFrame, distances: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, doc, size, grp, home) of the buckets whose members are not all one group yet.
 
-    Round 1 compares each member with the first of its bucket; members that its links connect,
-    through whatever buckets, are a group from then on. Later rounds take 16, 256, ... centres from outside the
-    bucket's largest group ("home") and compare them with members of other groups that can be
-    near: sizes within the bound, and (the distance is a metric) distances to the first member
-    that differ by no more than the bound allows. A member that was a centre is settled; members
-    of home need not be centres, as whatever they could still be linked to is one at some time.
-    It ends when all others are settled.
+    ``grp`` is the group by all links so far, through whatever buckets; ``home`` marks the
+    bucket's largest group. Members of home are known to be connected, so only the others have
+    to be compared; of home those stay that can be near any other by size and by distance to the
+    first member (the distance is a metric).
     """
     far = 1.0 - similarity + 1e-9
-    state = members.select(
-        "bucket", "doc", "size", F.col("doc").alias("grp"), F.lit(None).cast("double").alias("d"),
-        F.lit(False).alias("settled"), F.lit(False).alias("home"),
+    classes = components(links).select(F.col("node").alias("doc"), "class_id")
+    state = members.join(classes, "doc", "left").select("bucket", "doc", "size", F.coalesce("class_id", "doc").alias("grp"))
+    groups = state.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("bucket").agg(F.max_by("grp", F.struct("n", "grp")).alias("home_grp"), F.count("*").alias("groups"))
+    live = (
+        state.join(largest.where("groups > 1"), "bucket")
+        .join(distances, ["bucket", "doc"], "left")
+        .select("bucket", "doc", "size", "grp", (F.col("grp") == F.col("home_grp")).alias("home"), "d")
+    )
+    live = cut(live)
+    # a missing distance says nothing: the range is then open
+    d_range = [F.min(F.coalesce("d", F.lit(0.0))).alias("d_low"), F.max(F.coalesce("d", F.lit(1.0))).alias("d_high")]
+    others = live.where("not home").groupBy("bucket").agg(F.min("size").alias("least"), F.max("size").alias("most"), *d_range)
+    can_be_near = (
+        (F.col("size") >= similarity * F.col("least"))
+        & (similarity * F.col("size") <= F.col("most"))
+        & F.coalesce((F.col("d") >= F.col("d_low") - far) & (F.col("d") <= F.col("d_high") + far), F.lit(True))
+    )
+    return live.join(others, "bucket").where(~F.col("home") | can_be_near).select("bucket", "doc", "size", "grp", "home")
+
+
+def in_parts(state: DataFrame, part_bytes: int = PART_BYTES, part_docs: int = PART_DOCS) -> DataFrame:
+    """(bucket, i, j, part, doc, size, grp, home): every member once for each pair of parts it is in.
+
+    A bucket is cut by hash into parts of bounded expected size; a small one is a single part.
+    In a larger one the members outside home are parts 0 to p - 1 and those of home follow. Each
+    pair (i, j) with i < p and i <= j is work of its own.
+    """
+    size = F.sum("size") * 6
+    parts = lambda kept: F.ceil(F.greatest(F.sum(F.when(kept, F.col("size"))) * 6 / part_bytes, F.count(F.when(kept, 1)) / part_docs))
+    totals = state.groupBy("bucket").agg(
+        ((size <= part_bytes) & (F.count("*") <= part_docs)).alias("single"),
+        F.coalesce(parts(~F.col("home")), F.lit(0)).alias("p"),
+        F.coalesce(parts(F.col("home")), F.lit(0)).alias("q"),
     )
-    links, centres_each = [], 1
+    spot = F.xxhash64("doc")
+    part = (
+        F.when(F.col("single"), F.lit(0))
+        .when(F.col("home"), F.col("p") + F.pmod(spot, F.greatest("q", F.lit(1))))
+        .otherwise(F.pmod(spot, F.greatest("p", F.lit(1))))
+    )
+    placed = state.join(totals, "bucket").withColumn("part", part.cast("int"))
+    # pairs (i, part) with i below, and for the parts outside home (part, j) with j from there on
+    below = F.expr("transform(filter(sequence(0, cast(p as int)), i -> i < least(part, p)), i -> struct(i as i, part as j))")
+    onward = F.expr("transform(filter(sequence(0, cast(p + q as int)), j -> j >= part and j < p + q and part < p), j -> struct(part as i, j as j))")
+    pairs = F.when(F.col("single"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.concat(below, onward))
+    return placed.withColumn("pair", F.explode(pairs)).select("bucket", "pair.i", "pair.j", "part", "doc", "size", "grp", "home")
+
+
+def shared_counts(packed: list[bytes], left: np.ndarray, right: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """Sum of minima for every left and right position: the n-th occurrence of an element is an
+    element of its own, so sums of minima are products of 0/1 rows, taken some columns at a time."""
+    keys, rows = [], []
+    for k, one in enumerate(packed):
+        element, times = unpack(one)
+        at = np.repeat(np.cumsum(times) - times, times)
+        number = np.arange(len(at)) - at
+        with np.errstate(over="ignore"):
+            keys.append(mix(np.repeat(element, times) * U(0x9E3779B97F4A7C15) + number.astype(np.uint64)))
+        rows.append(np.full(len(at), k))
+    keys, rows = np.concatenate(keys), np.concatenate(rows)
+    _, ids, seen = np.unique(keys, return_inverse=True, return_counts=True)
+    common = seen > 1
+    new_id = np.cumsum(common) - 1
+    on = common[ids]
+    ids, rows = new_id[ids[on]], rows[on]
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    total = np.zeros((len(left), len(right)), dtype=np.float64)
+    for start in range(0, int(common.sum()), columns):
+        a, b = np.searchsorted(ids, [start, start + columns])
+        block = np.zeros((len(packed), columns), dtype=np.float32)
+        block[rows[a:b], ids[a:b] - start] = 1.0
+        total += block[left] @ block[right].T
+    return total
+
+
+def connected(near: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest position that each of n positions is connected to by ``near`` (left x right)."""
+    label = np.arange(n)
+    x, y = np.nonzero(near)
+    x, y = left[x], right[y]
     while True:
-        order = Window.partitionBy("bucket").orderBy("doc")
-        centres = (
-            state.where("not settled and not home")
-            .withColumn("n", F.row_number().over(order))
-            .where(F.col("n") <= centres_each)
-            .select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc", "size", "grp", "d")])
-        )
-        can_be_near = (
-            (F.col("grp") != F.col("c_grp"))
-            & (F.least("size", "c_size") >= similarity * F.greatest("size", "c_size"))
-            & F.coalesce(F.abs(F.col("d") - F.col("c_d")) <= far, F.lit(True))
-        )
-        met = cut(
-            state.join(centres, "bucket").where(can_be_near)
-            .select("bucket", "doc", "grp", "home", "c_doc", "c_grp", F.least("doc", "c_doc").alias("a"), F.greatest("doc", "c_doc").alias("b"))
-        )
-        compared = cut(similarities(met.select("a", "b").distinct(), sets))
-        links.append(compared.where(F.col("similarity") >= similarity).select("a", "b"))
-        seen = cut(met.join(compared, ["a", "b"]).select("bucket", "doc", "grp", "home", "c_doc", "c_grp", "similarity"))
-        near = seen.where(F.col("similarity") >= similarity)
-        # a centre and all it is linked to take the best group among them: home, else the smallest
-        joined = near.groupBy("bucket", "c_doc").agg(F.min(F.struct(~F.col("home"), F.least("grp", "c_grp"), "grp")).alias("g"))
-        joined = joined.select("bucket", "c_doc", F.when(~F.col("g.col1"), F.col("g.grp")).otherwise(F.col("g.col2")).alias("to"), F.col("g.col1").alias("away"))
-        moves = near.select("bucket", "c_doc", "doc").unionByName(joined.select("bucket", "c_doc", F.col("c_doc").alias("doc")))
-        moved = moves.join(joined, ["bucket", "c_doc"]).groupBy("bucket", "doc").agg(F.min(F.struct("away", "to"))["to"].alias("to"))
-        after = (
-            state.drop("home")
-            .join(moved, ["bucket", "doc"], "left")
-            .join(centres.select("bucket", F.col("c_doc").alias("doc"), F.lit(True).alias("was_centre")), ["bucket", "doc"], "left")
-            .withColumn("grp", F.coalesce("to", "grp"))
-            .withColumn("settled", F.col("settled") | F.col("was_centre").isNotNull())
-        )
-        if centres_each == 1:
-            first = seen.select("bucket", "doc", (1.0 - F.col("similarity")).alias("to_first"))
-            classes = components(links[0]).select(F.col("node").alias("doc"), "class_id")
-            after = (
-                after.join(first, ["bucket", "doc"], "left")
-                .withColumn("d", F.when(F.col("was_centre"), 0.0).otherwise(F.col("to_first")))
-                .join(classes, "doc", "left")
-                .withColumn("grp", F.coalesce("class_id", "doc"))
-            )
-        after = after.select("bucket", "doc", "size", "grp", "d", "settled")
-        largest = (
-            after.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
-            .groupBy("bucket").agg(F.max_by("grp", F.struct("n", "grp")).alias("home_grp"))
-        )
-        marked = after.join(largest, "bucket").withColumn("home", F.col("grp") == F.col("home_grp")).drop("home_grp")
-        still = marked.where("not settled and not home").select("bucket").distinct()
-        state = cut(marked.join(still, "bucket", "left_semi"))
-        if state.isEmpty():
-            break
-        centres_each *= 16
-    return reduce(DataFrame.union, links)
+        low = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, x, low)
+        np.minimum.at(after, y, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def connect_part(docs: np.ndarray, grp: np.ndarray, left: np.ndarray, right: np.ndarray, packed: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each document that the links found here connect to another, with the first of them."""
+    size = np.array([len(x) // 6 for x in packed], dtype=np.float64)
+    shared = shared_counts(packed, left, right)
+    union = size[left][:, None] + size[right][None, :] - shared
+    near = (shared / np.maximum(union, 1.0) >= similarity) & (grp[left][:, None] != grp[right][None, :])
+    label = connected(near, left, right, len(docs))
+    moved = np.flatnonzero(label != np.arange(len(docs)))
+    return docs[label[moved]], docs[moved]
+
+
+def links_by_parts(state: DataFrame, sets: DataFrame, similarity: float, **part_sizes: int) -> DataFrame:
+    """Pairs (a, b) that connect what the links of the open buckets connect.
+
+    All comparing happens inside a task on one pair of parts; of the links found there only a
+    tree leaves it, so no more rows come out than went in, however alike the members are.
+    """
+    work = in_parts(state, **part_sizes).join(sets, "doc").select("bucket", "i", "j", "part", "doc", "grp", "home", "elements")
+    dealt = work.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def solve(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        part, home = rows.column("part").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False)
+        left = np.flatnonzero((part == i) & ~home)
+        right = np.flatnonzero(part == j)
+        if not len(left) or not len(right):
+            return
+        a, b = connect_part(rows.column("doc").to_numpy(), rows.column("grp").to_numpy(), left, right, rows.column("elements").to_pylist(), similarity)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            edges = [0, *new.tolist(), batch.num_rows]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if x == y:
+                    continue
+                own = tuple(keys[:, x].tolist())
+                if held and own != last:
+                    yield from solve(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = own
+        if held:
+            yield from solve(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def links_within_buckets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that join every two members of a bucket whose similarity reaches the bound,
+    directly or through others. ``members``: (bucket, doc, size).
+
+    First each member is compared with the first of its bucket, which settles most buckets of
+    copies of one text. In those that are left every member outside the largest group is compared
+    with all members of other groups, by parts of bounded size. Copies of the shingles grow with
+    the number of parts, comparisons with (members outside the largest group) x (members).
+    """
+    links, distances = first_round(members, sets, similarity)
+    links = cut(links)
+    state = cut(open_buckets(members, links, distances, similarity))
+    return links.union(cut(links_by_parts(state, sets, similarity)))
 
 
 def near_duplicates(
