@@ -105,14 +105,19 @@ def classify(docs: DataFrame, labelled: DataFrame, key: str, text: str, sample:
 
 
 def rate_of(mixture: Mixture, posteriors: str = _P) -> Column:
-    """The rate as a projection: the rounds unrolled over the document's posteriors."""
-    rate = F.lit(max(1.0, mixture.floor))
-    for residual in mixture.rounds:
+    """The rate as one fold over the rounds' residuals, which are a constant of the plan: the
+    expression has the same size after any number of rounds."""
+    start, p = F.lit(max(1.0, mixture.floor)), F.col(posteriors)
+    if not mixture.rounds:
+        return start
+
+    def one_round(rate: Column, residual: Column) -> Column:
         pull = F.lit(0.0)
-        for d, x in enumerate(residual):
-            pull = pull + F.col(posteriors)[d] * F.lit(STEP * x)
-        rate = F.greatest(F.lit(float(mixture.floor)), rate * F.lit(1.0 - STEP * RIDGE) + F.lit(STEP * RIDGE) - pull)
-    return rate
+        for d in range(len(mixture.domains)):
+            pull = pull + p[d] * residual[d] * F.lit(STEP)
+        return F.greatest(F.lit(float(mixture.floor)), rate * F.lit(1.0 - STEP * RIDGE) + F.lit(STEP * RIDGE) - pull)
+
+    return F.aggregate(F.lit(mixture.rounds), start, one_round)
 
 
 def flattened(mass: list[float], power: float = POWER) -> list[float]:
@@ -138,7 +143,8 @@ def fit(
         return mixture, known
 
     def totals(rate: Column) -> list[float]:
-        row = known.agg(*[F.sum(rate * F.col("tokens") * F.col(_P)[d]).alias(f"d{d}") for d in range(n)]).first()
+        rated = known.select(_P, (rate * F.col("tokens")).alias("_mass"))
+        row = rated.agg(*[F.sum(F.col("_mass") * F.col(_P)[d]).alias(f"d{d}") for d in range(n)]).first()
         return [float(x or 0.0) for x in row]
 
     base = totals(F.lit(1.0))
@@ -184,7 +190,8 @@ def mix(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
 def resample(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with every row repeated as often as its rate says; columns unchanged, no shuffle."""
     mixture, _ = fit(docs, labelled, key, text, **settings)
-    rated = with_posteriors(docs, text, mixture)
-    times = copies_of(rate_of(mixture), F.col(f"`{key}`"))
+    rated = with_posteriors(docs, text, mixture).withColumn("_mix_rate", rate_of(mixture))
+    times = copies_of(F.col("_mix_rate"), F.col(f"`{key}`"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rated.select(*columns, times.alias("_mix_times")).where("_mix_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_n")).drop("_mix_n")
+    # no copies: an empty array, whose row explode leaves out
+    return rated.select(*columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_mix_n")).drop("_mix_n")
