@@ -363,7 +363,8 @@ def test_kernel_projection_follows_the_kernel(spark):
     out = matrix(features.fit_features(df, "kernel_pca").apply(df), ["0", "1"])
     inner, outer = out[np.arange(400) % 2 == 1], out[np.arange(400) % 2 == 0]
     assert np.linalg.norm(inner.mean(axis=0) - outer.mean(axis=0)) > 0.2
-    fitted = models.fit_model(df, "SVM")
+    fitted = models.fit_model(df, "SVM", kernel_features=96)
+    assert models.fit_model(df, "DecisionTree", max_depth=1).model.depth <= 1
     hit = fitted.predict(df).agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
     assert hit > 0.95  # a ring no plane can cut
 

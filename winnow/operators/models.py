@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators import knn
-from winnow.operators.features import assembled, draw_waves, waves
+from winnow.operators.features import KERNEL_FEATURES, assembled, draw_waves, waves
 from winnow.roles import ROLES, Roles, col
 
 MODELS = ("KNN", "LogisticRegression", "DecisionTree", "SVM")
@@ -65,7 +65,12 @@ def _vector(df: DataFrame, cols: list[str], wave: tuple | None) -> DataFrame:
     return df.withColumn("_vec", array_to_vector(waves(cols, *wave)))
 
 
-def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) -> Fitted:
+def fit_model(
+    df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0, max_depth: int = 20, max_bins: int = 64,
+    kernel_features: int = KERNEL_FEATURES,
+) -> Fitted:
+    """``max_depth`` and ``max_bins`` bound the tree, ``kernel_features`` the features that stand for
+    the radial kernel of the SVM: more are closer to the exact model and cost more."""
     known_model(name)
     cols = inputs_of(df, roles)
     if not cols:
@@ -81,11 +86,11 @@ def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) ->
     if len(classes) < 2:
         return out
     if name == "SVM":
-        out.wave = _kernel_waves(df, cols, seed)
+        out.wave = _kernel_waves(df, cols, seed, kernel_features)
     data = _vector(indexer.transform(df), cols, out.wave).select("_vec", "_y").persist()
     common = dict(featuresCol="_vec", labelCol="_y", predictionCol="_pred")
     if name == "DecisionTree":
-        est = DecisionTreeClassifier(maxDepth=20, maxBins=64, maxMemoryInMB=1024, seed=42, **common)
+        est = DecisionTreeClassifier(maxDepth=max_depth, maxBins=max_bins, maxMemoryInMB=1024, seed=42, **common)
     elif name == "LogisticRegression":
         n = max(data.count(), 1)
         est = LogisticRegression(
@@ -103,7 +108,7 @@ def fit_model(df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0) ->
     return out
 
 
-def _kernel_waves(df: DataFrame, cols: list[str], seed: int):
+def _kernel_waves(df: DataFrame, cols: list[str], seed: int, size: int):
     """Radial kernel width 1 / (d * variance over all cells), as the exact machine sets it."""
     if any(c not in df.columns for c in cols):
         raise ValueError("missing input columns")
@@ -113,4 +118,4 @@ def _kernel_waves(df: DataFrame, cols: list[str], seed: int):
     m = np.mean([stats[f"a{i}"][0] for i in range(len(cols))])
     var = np.mean([stats[f"a{i}"][1] for i in range(len(cols))]) - m * m
     gamma = 1.0 / (len(cols) * var) if var > 0 else 1.0
-    return draw_waves(len(cols), gamma, seed=seed)
+    return draw_waves(len(cols), gamma, size, seed)

@@ -144,8 +144,9 @@ def select_sequence(
     train: DataFrame, kb: DataFrame, recorded: DataFrame, model: str = "LogisticRegression",
     metric: str = "accuracy", max_iter: int = 30, batch: int = 4, sample_rows: int = 5000,
     orders: int = 3, folds: int = 4, history: DataFrame | None = None, dataset: str | None = None,
-    roles: Roles = ROLES, seed: int = 0, workers: int = 4,
+    roles: Roles = ROLES, seed: int = 0, workers: int = 4, sample_above: int = SAMPLE_ABOVE,
 ) -> Choice:
+    """A table of more than ``sample_above`` rows is tried on ``sample_rows`` of them, drawn by hash."""
     spark = train.sparkSession
     known_model(model)
     pairs, details = candidate_orders(train, kb, recorded, roles, dataset)
@@ -153,7 +154,7 @@ def select_sequence(
         raise ValueError("no recorded sequence fits this table")
     # trials run on a fixed-size sample of a large table, drawn by hash
     data = train
-    if train.count() > SAMPLE_ABOVE:
+    if train.count() > sample_above:
         data = split.sample_fixed(train, sample_rows, seed, roles)
     data = data.persist()
     space = K.allowed(model)
