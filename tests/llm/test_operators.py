@@ -362,6 +362,13 @@ def test_langid_held_out_and_awkward(docs, awkward, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_langid_learns_a_scarce_language(spark, docs):
+    """Two rows of a language, and a sample of about 20 rows: all languages are learned."""
+    rows = [(10**6 + i, "zo xu qi wa " * 40, "zz", "s", 480) for i in range(8)]
+    model = langid.fit(docs.unionByName(spark.createDataFrame(rows, docs.schema)), sample=1)
+    assert "zz" in model.languages and model.predict(["qi wa zo xu " * 30])[0] == ["zz"]
+
+
 # 7 personal data
 
 PATTERNS = {
@@ -434,6 +441,24 @@ def test_mixing_meets_targets(docs):
     assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == docs.count()
 
 
+def test_mixing_samples_a_scarce_domain(spark, docs):
+    """The domain last in order has few rows, none of which a uniform sample of one row takes."""
+    rows = [(10**6 + i, "zo xu qi wa " * 40, "zz", "s", 480) for i in range(3)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    labelled = more.select("doc_id", F.col("lang").alias("domain"))
+    out = mixing.mix(more, labelled, sample=1).collect()
+    found = {r.doc_id: r for r in out}
+    assert len(out) == more.count() and all(found[10**6 + i].domain == "zz" for i in range(3))
+    mixture, known = mixing.fit(more, labelled, sample=1)
+    assert mixture.domains[-1] == "zz" and known.where(F.size(mixing._P) != len(mixture.domains)).count() == 0
+    uneven = mixing.Mixture(mixture.domains, mixture.classifier, weights=[1.0] * 4 + [0.5])
+    sums = mixing.with_posteriors(more, "text", uneven).select(F.aggregate(mixing._P, F.lit(0.0), lambda a, p: a + p).alias("s"))
+    assert sums.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0
+    # a label without a document is no domain
+    apart = labelled.unionByName(spark.createDataFrame([(-5, "zzz")], labelled.schema))
+    assert mixing.mix(more, apart, sample=1).count() == more.count()
+
+
 def test_mixing_awkward(awkward, nothing):
     labelled = awkward.select("doc_id", F.col("lang").alias("domain"))
     rows = mixing.mix(awkward, labelled).collect()

@@ -59,6 +59,24 @@ def in_chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
+#: Hashes of rows that a sample is drawn by lie below this.
+SPOTS = 1 << 30
+
+
+def sample_shares(counts: dict[str, int], sample: int, least: int) -> dict[str, float]:
+    """The share of each class's rows to draw: that of ``sample`` rows in all, but such that
+    about ``least`` rows of every class are drawn, and all rows of a class with no more."""
+    whole = sum(counts.values())
+    return {c: min(1.0, max(sample / whole, least / n)) for c, n in counts.items()}
+
+
+def drawn(shares: dict[str, float], label: Column, spot: Column) -> Column:
+    """Whether a row with the hash ``spot`` (below ``SPOTS``) is in the sample of its class."""
+    place = F.array_position(F.array(*[F.lit(c) for c in shares]), label) - 1
+    limits = F.array(*[F.lit(int(s * SPOTS)) for s in shares.values()])
+    return spot < F.get(limits, place.cast("int"))
+
+
 def map_texts(df: DataFrame, text: str, fn: Callable[[list, pa.RecordBatch], list], schema: str) -> DataFrame:
     """``fn(texts, rows)`` on chunks of bounded size; it returns Arrow arrays in the order of ``schema``."""
     names = [part.split()[0] for part in schema.split(", ")]

@@ -10,8 +10,10 @@ A prediction is linear in the kernel values, and these are linear in the presenc
 landmarks and coefficients fold into one matrix (slots x languages) and a batch of texts is
 scored by one product of its presence matrix with it - the same numbers as through the kernel.
 
-The fit uses at most about ``SAMPLE`` labelled rows, chosen by a hash of doc_id among those with
-crc32(doc_id) mod 4 other than 2; the prediction reads nothing but the text.
+The fit uses about ``SAMPLE`` labelled rows, chosen by a hash of doc_id among those with
+crc32(doc_id) mod 4 other than 2, but of each language about ``LEAST`` at least and all rows where
+it has no more, so every labelled language is learned on a table of any size. The prediction
+reads nothing but the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text
 where no labelled row exists; an equal best score goes to the language first in order; a row
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, map_texts
+from winnow.llm.common import SPOTS, cut, drawn, map_texts, sample_shares
 
 LONGEST = 4
 FEATURES = 1 << 15
 LANDMARKS = 256
-#: Labelled rows used for the fit, at most about this many.
+#: Labelled rows used for the fit, about this many.
 SAMPLE = 8_000
+#: Labelled rows of each language used at least, where it has as many.
+LEAST = 200
 RIDGE = 1e-3
 #: Texts scored in one product.
 ROWS = 128
@@ -97,9 +101,12 @@ def held_out(key: str) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> LanguageModel:
     known = docs.where(F.col(key).isNotNull() & ~held_out(key) & F.col(label).isNotNull())
-    n = known.count()
-    spot = F.pmod(F.xxhash64(F.col(key), F.lit(6)), F.lit(1 << 30))
-    chosen = known.where(spot < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
+    lang = F.col(label).cast("string")
+    counts = {r["lang"]: r["count"] for r in known.groupBy(lang.alias("lang")).count().collect()}
+    if not counts:
+        return LanguageModel([], np.zeros((FEATURES, 0), np.float32))
+    spot = F.pmod(F.xxhash64(F.col(key), F.lit(6)), F.lit(SPOTS))
+    chosen = known.where(drawn(sample_shares(counts, sample, LEAST), lang, spot))
 
     def packed(batches):
         for batch in batches:
@@ -111,10 +118,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                     [part.column(0), part.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["spot", "lang", "bits"]
                 )
 
-    rows = cut(chosen.select(spot.cast("long").alias("spot"), F.col(label).cast("string").alias("lang"), text).mapInArrow(packed, "spot long, lang string, bits binary"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    if not languages:
-        return LanguageModel([], np.zeros((FEATURES, 0), np.float32))
+    rows = cut(chosen.select(spot.cast("long").alias("spot"), lang.alias("lang"), text).mapInArrow(packed, "spot long, lang string, bits binary"))
+    languages = sorted(counts)
     order = Window.partitionBy("lang").orderBy("spot", "bits")
     firsts = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= landmarks).orderBy("n", "lang").limit(landmarks)
     marks = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in firsts.collect()]), axis=1).astype(np.float32)

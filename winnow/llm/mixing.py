@@ -19,11 +19,13 @@ rounds' residuals, so no state per document is kept between rounds.
 the rest, by a hash of doc_id.
 
 The default targets flatten the domains' shares of tokens: share^POWER, normalised; the token
-budget defaults to that of the corpus. The classifier uses at most about ``SAMPLE`` labelled
-rows, chosen by a hash of doc_id.
+budget defaults to that of the corpus. The classifier uses about ``SAMPLE`` labelled
+rows, chosen by a hash of doc_id, but of each domain about ``LEAST`` at least and all rows where
+it has no more, so no domain is without rows on a table of any size. Posteriors are then weighted
+by the inverse of each domain's share in the sample, which gives back the domains' true shares.
 
 Defined cases: a null or empty text has 0 tokens and the posteriors of a text without known
-words; a null label is no label; without labels every rate is 1 (or the floor, if higher); a
+words; a null label is no label, nor is one without a document; without labels every rate is 1 (or the floor, if higher); a
 single domain takes all; a target domain without any mass is ignored; repeated rows are each a
 document; other columns pass through untouched, also those named like the results.
 """
@@ -38,18 +40,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut
+from winnow.llm.common import SPOTS, cut, drawn, sample_shares
 
 SLOTS = 1 << 13
-#: Labelled rows used for the classifier, at most about this many.
+#: Labelled rows used for the classifier, about this many.
 SAMPLE = 10_000
+#: Labelled rows of each domain used at least, where it has as many.
+LEAST = 200
 POWER = 0.7
 RIDGE = 1e-3
 STEP = 1.0 / (1.0 + RIDGE)
 ROUNDS, CLOSE = 40, 1e-3
 
 # column names inside this module, unlikely to clash with those of documents
-_TEXT, _WORDS, _BAG, _P, _T = "_mix_text", "_mix_words", "_mix_bag", "_mix_p", "_mix_t"
+_TEXT, _WORDS, _BAG, _P, _T, _SUM = "_mix_text", "_mix_words", "_mix_bag", "_mix_p", "_mix_t", "_mix_sum"
 
 
 @dataclass
@@ -60,6 +64,8 @@ class Mixture:
     classifier: LogisticRegressionModel | None
     rounds: list[list[float]] = field(default_factory=list)
     floor: float = 0.0
+    #: Inverse shares of the domains in the sample; empty where all are equal.
+    weights: list[float] = field(default_factory=list)
 
 
 def with_words(docs: DataFrame, text: str) -> DataFrame:
@@ -77,6 +83,11 @@ def with_posteriors(docs: DataFrame, text: str, mixture: Mixture) -> DataFrame:
         ready = ready.withColumn(_P, F.array(*[F.lit(1.0) for _ in mixture.domains]).cast("array<double>"))
     else:
         ready = mixture.classifier.transform(ready).withColumn(_P, vector_to_array(_P))
+        if mixture.weights:
+            weights = F.array(*[F.lit(w) for w in mixture.weights])
+            ready = ready.withColumn(_P, F.zip_with(_P, weights, lambda p, w: p * w))
+            ready = ready.withColumn(_SUM, F.aggregate(_P, F.lit(0.0), lambda a, p: a + p))
+            ready = ready.withColumn(_P, F.transform(_P, lambda p: p / F.col(_SUM))).drop(_SUM)
     return ready.drop(_TEXT, _WORDS, _BAG)
 
 
@@ -84,24 +95,25 @@ def classify(docs: DataFrame, labelled: DataFrame, key: str, text: str, sample:
     """``labelled``: (doc_id, domain); rows that share a doc_id count with their smallest domain."""
     known = labelled.where(F.col(key).isNotNull() & F.col("domain").isNotNull()).groupBy(key).agg(
         F.min(F.col("domain").cast("string")).alias("_domain")
-    )
+    ).join(docs.select(key), key, "left_semi")
     totals = known.groupBy("_domain").count().orderBy("_domain").collect()  # one row per domain
     domains = [r["_domain"] for r in totals]
     if len(domains) < 2:
         return Mixture(domains, None)
-    n = sum(r["count"] for r in totals)
-    spot = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 30))
-    chosen = known.where(spot < F.lit(int(min(1.0, sample / n) * (1 << 30))))
+    shares = sample_shares({r["_domain"]: r["count"] for r in totals}, sample, LEAST)
+    spot = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(SPOTS))
+    chosen = known.where(drawn(shares, F.col("_domain"), spot))
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("_domain")) - 1
-    rows = docs.select(key, text).join(F.broadcast(chosen), key)  # at most about SAMPLE short rows
+    rows = docs.select(key, text).join(F.broadcast(chosen), key)  # about SAMPLE short rows, LEAST a domain at least
     train = cut(with_words(rows.select(F.col(text), place.cast("double").alias("_label")), text).select(_BAG, "_label"))
-    if train.isEmpty():  # no document carries a label
-        return Mixture([], None)
+    # as many classes as domains, whatever the largest label of the sample is
+    train = train.withMetadata("_label", {"ml_attr": {"type": "nominal", "num_vals": len(domains)}})
     lr = LogisticRegression(
         featuresCol=_BAG, labelCol="_label", probabilityCol=_P, rawPredictionCol="", predictionCol="",
         family="multinomial", maxIter=25, regParam=1e-3,
     )
-    return Mixture(domains, lr.fit(train))
+    uneven = max(shares.values()) > min(shares.values())
+    return Mixture(domains, lr.fit(train), weights=[1.0 / shares[d] for d in domains] if uneven else [])
 
 
 def rate_of(mixture: Mixture, posteriors: str = _P) -> Column:
