@@ -459,6 +459,24 @@ def test_mixing_samples_a_scarce_domain(spark, docs):
     assert mixing.mix(more, apart, sample=1).count() == more.count()
 
 
+def test_mixing_meets_a_scarce_target(spark, docs):
+    """A target off by less than CLOSE of the corpus, but far off for its own domain."""
+    rows = [(10**6 + i, "zo xu qi wa " * 10, "zz", "s", 120) for i in range(3)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    labelled = more.select("doc_id", F.col("lang").alias("domain"))
+    mixture, known = mixing.fit(more, labelled)
+    masses = [F.sum(F.col("tokens") * F.col(mixing._P)[d]) / F.sum("tokens") for d in range(5)]
+    aims = dict(zip(mixture.domains, known.agg(*masses).first()))
+    aims["zz"] += 0.0008
+    assert 0.0008 > 2 * mixing.NEAR * aims["zz"]
+    mixture, known = mixing.fit(more, labelled, targets=aims)
+    got = known.agg(F.sum(mixing.rate_of(mixture) * F.col("tokens") * F.col(mixing._P)[4]) / F.sum("tokens")).first()[0]
+    assert got == pytest.approx(aims["zz"] / sum(aims.values()), rel=1.1 * mixing.NEAR) and mixture.converged
+    # nothing can be dropped, so these cannot be met: said, not hidden
+    mixture, _ = mixing.fit(more, labelled, targets={"en": 0.001, "de": 0.999}, floor=1.0, budget=1.0)
+    assert not mixture.converged and mixture.off["en"] > mixing.NEAR
+
+
 def test_mixing_awkward(awkward, nothing):
     labelled = awkward.select("doc_id", F.col("lang").alias("domain"))
     rows = mixing.mix(awkward, labelled).collect()

@@ -13,7 +13,10 @@ by projected gradient in the metric weighted by t, where a step is
 B_d is what every document gives at rate 1, so the scaled problem has curvature at most 1 +
 RIDGE whatever the number and size of the domains, and few rounds suffice. A round is one
 aggregate of one number per domain; a document's rate follows from its posteriors and the
-rounds' residuals, so no state per document is kept between rounds.
+rounds' residuals, so no state per document is kept between rounds. The rounds end once every
+domain is within ``CLOSE`` of the corpus's tokens and within ``NEAR`` of its own target; where
+``ROUNDS`` do not get there (a floor, or posteriors too mixed), ``Mixture.off`` has the errors
+left, ``Mixture.converged`` is false and a warning is logged.
 
 ``copies`` turns a rate into a whole number: its floor, and one more with the probability of
 the rest, by a hash of doc_id.
@@ -32,6 +35,7 @@ document; other columns pass through untouched, also those named like the result
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -51,6 +55,10 @@ POWER = 0.7
 RIDGE = 1e-3
 STEP = 1.0 / (1.0 + RIDGE)
 ROUNDS, CLOSE = 40, 1e-3
+#: Largest error of a domain's tokens as a share of its own target.
+NEAR = 1e-2
+
+log = logging.getLogger(__name__)
 
 # column names inside this module, unlikely to clash with those of documents
 _TEXT, _WORDS, _BAG, _P, _T, _SUM = "_mix_text", "_mix_words", "_mix_bag", "_mix_p", "_mix_t", "_mix_sum"
@@ -66,6 +74,9 @@ class Mixture:
     floor: float = 0.0
     #: Inverse shares of the domains in the sample; empty where all are equal.
     weights: list[float] = field(default_factory=list)
+    #: After the fit: each domain's error as a share of its target (of all tokens where that is 0).
+    off: dict[str, float] = field(default_factory=dict)
+    converged: bool = True
 
 
 def with_words(docs: DataFrame, text: str) -> DataFrame:
@@ -172,11 +183,20 @@ def fit(
         budget = max([1.0] + [base[d] / whole / weights[d] for d in range(n) if weights[d] > 0]) if floor >= 1.0 else 1.0
     aims = [w * whole * budget for w in weights]
     reached = totals(rate_of(mixture)) if floor > 1.0 else base
+    limits = [min(CLOSE * whole, NEAR * t) if t > 0 else CLOSE * whole for t in aims]
+
+    def met() -> bool:
+        return all(abs(e - t) <= limit for e, t, limit in zip(reached, aims, limits))
+
     for _ in range(ROUNDS):
-        if max(abs(e - t) for e, t in zip(reached, aims)) <= CLOSE * whole:
+        if met():
             break
         mixture.rounds.append([(e - t) / b if b > 0 else 0.0 for e, t, b in zip(reached, aims, base)])
         reached = totals(rate_of(mixture))
+    mixture.off = {d: abs(e - t) / (t if t > 0 else whole) for d, e, t in zip(mixture.domains, reached, aims)}
+    mixture.converged = met()
+    if not mixture.converged:
+        log.warning("mixing: targets not met after %d rounds; errors as shares of them: %s", ROUNDS, mixture.off)
     return mixture, known
 
 
