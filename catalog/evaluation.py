@@ -112,16 +112,11 @@ def _history(spark, sf):
 @query("select_sequence")
 def select_sequence(spark, sf):
     kb, rec = _history(spark, sf)
-    choice = search.select_sequence(
-        view(spark, sf, "ds"), kb, rec, model="DecisionTree", max_iter=2, batch=1, orders=2, folds=2
-    )
-    return choice.ledger
+    return search.select_sequence(view(spark, sf, "ds"), kb, rec, model="DecisionTree").ledger
 
 
 @query("run_report")
 def run_report(spark, sf):
     kb, rec = _history(spark, sf)
-    _, scores = search.run_report(
-        view(spark, sf, "ds"), kb, rec, model="DecisionTree", max_iter=2, batch=1, orders=1, folds=2
-    )
+    _, scores = search.run_report(view(spark, sf, "ds"), kb, rec, model="DecisionTree")
     return scores

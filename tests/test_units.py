@@ -13,7 +13,7 @@ from winnow.functions.ranks import hash_ordinal, ordered_ordinal, running_max_be
 from winnow.operators import (
     encode, features, impute, knn, metrics, models, mutual_info, outlier, profile, scale, select, split,
 )
-from winnow.plans import chain, evaluate, knowledge, ledger, trials
+from winnow.plans import chain, evaluate, knowledge, ledger, search, trials
 from winnow.roles import lay_out
 from winnow.sources import sinks, tables
 
@@ -684,3 +684,45 @@ def test_onehot_tells_null_from_the_word_null(spark):
     df = spark.createDataFrame([(1, "null", "a"), (2, None, "b"), (3, "x", "a")], "row_id long, c_s string, label string")
     out = fit_encoder(df, "onehot").apply(df)
     assert len(set(out.columns)) == len(out.columns) and out.count() == 3
+
+
+def test_search_tries_every_list_of_a_small_space(spark):
+    """With all but one list taken, 64 draws seldom hit the last: it is still proposed."""
+    space = {s: [f"{s}{i}" for i in range(12)] for s in "IENF"}
+    run = search.OrderSearch(0, list("IENF"), space, {}, 0)
+    for ops in (["I0", "E0", "N0", "F0"], ["I1", "E0", "N0", "F0"]):
+        run.record(evaluate.Trial(list("IENF"), ops, 0.5))
+    every = {(a, b, c, d) for a in space["I"] for b in space["E"] for c in space["N"] for d in space["F"]}
+    assert run.propose(1, every - {("I11", "E11", "N11", "F11")}) == ["I11", "E11", "N11", "F11"]
+    assert run.propose(1, every) is None
+    small = search.OrderSearch(0, ["I"], {"I": ["a", "b"]}, {}, 0)
+    small.record(evaluate.Trial(["I"], ["elsewhere"], 0.5))
+    small.record(evaluate.Trial(["I"], ["a"], 0.5))
+    assert small.open and small.propose(1, small.tried()) == ["b"]
+
+
+def test_search_state_equals_the_ledger_table(spark):
+    run = search.OrderSearch(7, ["I", "E"], {"I": ["a", "b"], "E": ["c", "d"]}, {}, 0)
+    for ops, score in ((["a", "c"], 0.4), (["a", "d"], 0.6), (["b", "c"], 0.5)):
+        run.record(evaluate.Trial(["I", "E"], ops, score))
+    table = evaluate.ledger_frame(spark, [(7, i + 1, "I_E", t.ops, t.score, None) for i, t in enumerate(run.log)])
+    rows = ledger.prefix_scores(table, search.SPREAD).collect()
+    assert len(rows) == 5
+    for r in rows:
+        prefix = tuple(r.prefix.split(">"))
+        assert run.visits[prefix] == r.visits and run._confidence(prefix) == pytest.approx(r.ucb)
+
+
+def test_registered_search_has_the_default_budget(monkeypatch):
+    from types import SimpleNamespace
+
+    from catalog import evaluation
+
+    asked = []
+    for name in ("select_sequence", "run_report"):
+        monkeypatch.setattr(search, name, lambda *a, **k: asked.append(k) or (SimpleNamespace(ledger=None) if len(asked) == 1 else (None, None)))
+    monkeypatch.setattr(evaluation, "view", lambda *a: None)
+    monkeypatch.setattr(evaluation, "_history", lambda *a: (None, None))
+    evaluation.select_sequence(None, None)
+    evaluation.run_report(None, None)
+    assert asked == [{"model": "DecisionTree"}] * 2

@@ -10,6 +10,7 @@ choices are hashes of (seed, order, round), so a rerun repeats the same trials.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -63,7 +64,11 @@ class OrderSearch:
 
     @property
     def open(self) -> bool:
-        return self.stale < PATIENCE and len(self.log) < math.prod(len(s) for s in self.slots)
+        inside = sum(all(o in s for o, s in zip(ops, self.slots)) for ops in self.tried())
+        return self.stale < PATIENCE and inside < math.prod(len(s) for s in self.slots)
+
+    def tried(self) -> set:
+        return {tuple(o or "none" for o in t.ops) for t in self.log}
 
     def record(self, trial: Trial) -> None:
         ops = tuple(o or "none" for o in trial.ops)
@@ -82,7 +87,8 @@ class OrderSearch:
     def propose(self, round_no: int, taken: set) -> list[str] | None:
         """An operator list not tried yet: walk down by upper confidence while every choice
         of a slot was visited, pick among the unvisited at the first slot where not, and
-        fill the rest by weight."""
+        fill the rest by weight. Where 64 draws only hit tried lists, the first untried one;
+        None once every list is tried."""
         for attempt in range(64):
             path: list[str] = []
             leaving = False
@@ -103,7 +109,8 @@ class OrderSearch:
                     path.append(max(slot, key=lambda o: self._confidence((*path, o))))
             if tuple(path) not in taken:
                 return path
-        return None
+        # at most len(taken) lists are passed over
+        return next((list(ops) for ops in itertools.product(*self.slots) if ops not in taken), None)
 
     def _confidence(self, prefix: tuple) -> float:
         n, up = self.visits[prefix], self.visits[prefix[:-1]]
@@ -177,7 +184,7 @@ def select_sequence(
                 round_no += 1
                 planned = []
                 for run in runs:
-                    taken = {tuple(o or "none" for o in t.ops) for t in run.log}
+                    taken = run.tried()
                     for j in range(min(batch, max_iter - len(run.log)) if run.open else 0):
                         ops = run.propose(round_no * 1000 + j, taken)
                         if ops is None:
