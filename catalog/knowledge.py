@@ -222,15 +222,15 @@ WHOLE = "whole AS (SELECT 'all' AS dataset, * FROM ds)"
 )
 def nearest_datasets(spark, sf):
     """The whole table against the 25 tables it is made of."""
-    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
-    me = profile.table_measures(view(spark, sf, "ds")).withColumn("dataset", F.lit("all"))
+    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
+    me = profile.table_measures(view(spark, sf, "ds"), mutual_info=False).withColumn("dataset", F.lit("all"))
     return rounded(K.nearest_datasets(kb, me))
 
 
 @query("nearest_datasets_leave_out", with_views(["kb"], _near_sql("kb_ms", True), measure_views("kb", "dataset", "kb")))
 def nearest_datasets_leave_out(spark, sf):
     """Every data set against all others."""
-    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
+    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
     return rounded(K.nearest_datasets(kb, kb))
 
 
@@ -247,8 +247,8 @@ def _renamed(df):
       WHOLE + ", " + measure_views("kb", "dataset", "kb") + ", " + measure_views("whole", "dataset", "all") + ", " + SEQ),
 )
 def recommend_sequences(spark, sf):
-    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
-    me = profile.table_measures(view(spark, sf, "ds")).withColumn("dataset", F.lit("all"))
+    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
+    me = profile.table_measures(view(spark, sf, "ds"), mutual_info=False).withColumn("dataset", F.lit("all"))
     out = K.recommend(K.nearest_datasets(kb, me), _renamed(recorded(spark, sf)))
     return text(out)
 

@@ -87,19 +87,19 @@ def mf_target_classes(spark, sf):
 
 @query("mf_mean_skew", with_views(["ds"], f"SELECT {r('avg(skew)')} AS feature_mean_skew FROM mom", MOMENTS))
 def mf_mean_skew(spark, sf):
-    return profile.table_measures(view(spark, sf, "ds")).select(rnd("feature_mean_skew").alias("feature_mean_skew"))
+    return profile.table_measures(view(spark, sf, "ds"), mutual_info=False).select(rnd("feature_mean_skew").alias("feature_mean_skew"))
 
 
 @query("mf_mean_kurtosis", with_views(["ds"], f"SELECT {r('avg(kurt)')} AS feature_mean_kurtosis FROM mom", MOMENTS))
 def mf_mean_kurtosis(spark, sf):
-    return profile.table_measures(view(spark, sf, "ds")).select(
+    return profile.table_measures(view(spark, sf, "ds"), mutual_info=False).select(
         rnd("feature_mean_kurtosis").alias("feature_mean_kurtosis")
     )
 
 
 @query("mf_mean_variance", with_views(["ds"], f"SELECT {g('avg(v)')} AS mean_feature_variance FROM mom", MOMENTS))
 def mf_mean_variance(spark, sf):
-    return profile.table_measures(view(spark, sf, "ds")).select(
+    return profile.table_measures(view(spark, sf, "ds"), mutual_info=False).select(
         sig("mean_feature_variance").alias("mean_feature_variance")
     )
 
@@ -109,7 +109,7 @@ def mf_mean_variance(spark, sf):
     with_views(["ds"], f"SELECT {r('avg(r)')} AS mean_feature_correlation FROM cors", f"cors AS ({corr_sql('ds')})"),
 )
 def mf_mean_abs_corr(spark, sf):
-    return profile.table_measures(view(spark, sf, "ds")).select(
+    return profile.table_measures(view(spark, sf, "ds"), mutual_info=False).select(
         rnd("mean_feature_correlation").alias("mean_feature_correlation")
     )
 
@@ -139,7 +139,7 @@ def mf_target_entropy(spark, sf):
     MOMENTS + f", cors AS ({corr_sql('ds')})"),
 )
 def mf_all(spark, sf):
-    out = profile.table_measures(view(spark, sf, "ds"))
+    out = profile.table_measures(view(spark, sf, "ds"), mutual_info=False)
     return rounded(out.withColumn("mean_feature_variance", sig("mean_feature_variance")),
                    ["missing_ratio", "feature_mean_skew", "feature_mean_kurtosis", "mean_feature_correlation", "target_entropy"])
 
@@ -165,7 +165,7 @@ BY_MOMENTS = "num AS (" + " UNION ALL ".join(
     BY_MOMENTS + f", cors AS ({corr_sql('kb', 'dataset')})"),
 )
 def mf_by_dataset(spark, sf):
-    out = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
+    out = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
     return rounded(out.withColumn("mean_feature_variance", sig("mean_feature_variance")),
                    ["missing_ratio", "feature_mean_skew", "feature_mean_kurtosis", "mean_feature_correlation", "target_entropy"])
 

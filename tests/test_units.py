@@ -726,3 +726,25 @@ def test_registered_search_has_the_default_budget(monkeypatch):
     evaluation.select_sequence(None, None)
     evaluation.run_report(None, None)
     assert asked == [{"model": "DecisionTree"}] * 2
+
+
+def test_table_measures_have_mutual_information(spark):
+    rows = [(i, "a" if i % 3 else "b", float(i % 7) if i % 5 else None, float(i % 2), "xyz"[i % 2 + (i % 4 == 0)]) for i in range(60)]
+    rows += [(100, None, 1.0, 2.0, "x"), (101, None, 5.0, 2.0, "y"), (102, "n", 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "row_id long, dataset string, f_p double, f_q double, label string")
+    got = {r.dataset: r for r in profile.table_measures(df, ["dataset"]).collect()}
+    for name, part in (("a", df.where("dataset = 'a'")), ("b", df.where("dataset = 'b'")), (None, df.where("dataset is null"))):
+        one = [r.mutual_info for r in profile.binned_mutual_information(part.drop("dataset")).collect()]
+        assert len(one) == 2 and got[name].mean_mutual_info == pytest.approx(sum(one) / 2)
+        assert got[name].max_mutual_info == pytest.approx(max(one))
+        whole = profile.table_measures(part.drop("dataset")).first()
+        assert whole.max_mutual_info == pytest.approx(max(one))
+    assert got[None].max_mutual_info == pytest.approx(math.log(2)) and got["n"].mean_mutual_info == 0.0
+    few = profile.table_measures(df.drop("f_p", "f_q").withColumn("c_k", F.lit("k")), ["dataset"])
+    assert few.where("max_mutual_info <> 0 or mean_mutual_info is null").count() == 0
+
+
+def test_nearest_datasets_asks_for_every_measure(spark):
+    kb = spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.1)], "dataset string, n_instances double, max_mutual_info double")
+    with pytest.raises(ValueError, match="max_mutual_info"):
+        knowledge.nearest_datasets(kb, kb.drop("max_mutual_info"))

@@ -116,13 +116,16 @@ def target_measures(df: DataFrame, by: list[str] | None = None, roles: Roles = R
     )
 
 
-def table_measures(df: DataFrame, by: list[str] | None = None, roles: Roles = ROLES) -> DataFrame:
-    """All moment-based measures, for the table or for every table of a ``by`` grouping.
+def table_measures(
+    df: DataFrame, by: list[str] | None = None, roles: Roles = ROLES, mutual_info: bool = True
+) -> DataFrame:
+    """All measures, for the table or for every table of a ``by`` grouping.
 
-    One pass with map-side partial sums; a group of any size costs one buffer per task.
+    The moments are one pass with map-side partial sums; a group of any size costs one buffer
+    per task. ``mutual_info`` adds the mean and maximum of the binned mutual information.
     """
     if not by:
-        return table_measures(df.withColumn("_t", F.lit(0)), ["_t"], roles).drop("_t")
+        return table_measures(df.withColumn("_t", F.lit(0)), ["_t"], roles, mutual_info).drop("_t")
     feats = df.drop(*by)
     num = roles.numeric(feats)
     wide = len(num) > PAIRWISE_LIMIT
@@ -132,7 +135,17 @@ def table_measures(df: DataFrame, by: list[str] | None = None, roles: Roles = RO
     if wide:
         r = mean_abs_correlation_wide(feats, num)
         base = base.withColumn("mean_feature_correlation", F.lit(r).cast("double"))
-    return join_null_safe(base, target_measures(df, by, roles), by, "left")
+    out = join_null_safe(base, target_measures(df, by, roles), by, "left")
+    if not mutual_info:
+        return out
+    names = ["mean_mutual_info", "max_mutual_info"]
+    if num:
+        each = grouped_mutual_information(df, by, roles).groupBy(*by).agg(
+            F.avg("mutual_info").alias(names[0]), F.max("mutual_info").alias(names[1])
+        )
+        out = join_null_safe(out, each, by, "left")
+    # 0 for a table without numeric columns or labels
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) if num else F.lit(0.0) for c in names})
 
 
 def need_flags(df: DataFrame, roles: Roles = ROLES, outlier_rule: bool = False) -> DataFrame:
@@ -193,6 +206,29 @@ def binned_mutual_information(df: DataFrame, roles: Roles = ROLES, bins: int = B
     return shares.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
+def grouped_mutual_information(df: DataFrame, by: list[str], roles: Roles = ROLES, bins: int = BINS) -> DataFrame:
+    """(by..., feature, mutual_info): ``binned_mutual_information`` of every table of a grouping."""
+    num = roles.numeric(df.drop(*by))
+    filled = [F.coalesce(col(c), F.lit(0.0)).cast("double") for c in num]
+    limits = df.groupBy(*by).agg(
+        F.array(*[F.min(v) for v in filled]).alias("_lo"), F.array(*[F.max(v) for v in filled]).alias("_hi")
+    )
+    cells = []
+    for i, (c, v) in enumerate(zip(num, filled)):
+        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+        b = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins).cast("int"), F.lit(bins - 1))).otherwise(0)
+        cells.append(F.struct(F.lit(c).alias("feature"), b.alias("bin")))
+    labelled = df.where(col(roles.label).isNotNull())
+    long = join_null_safe(labelled, limits, by).select(
+        *by, col(roles.label).alias("_l"), F.explode(F.array(*cells)).alias("_e")
+    ).select(*by, "_l", "_e.feature", "_e.bin")
+    joint = long.groupBy(*by, "feature", "bin", "_l").agg(F.count(F.lit(1)).cast("double").alias("nxy"))
+    over = lambda *keys: F.sum("nxy").over(Window.partitionBy(*by, "feature", *keys))
+    shares = joint.select(*by, "feature", "nxy", over("bin").alias("nx"), over("_l").alias("ny"), over().alias("n"))
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    return shares.groupBy(*by, "feature").agg(F.sum(term).alias("mutual_info"))
+
+
 # ---------------------------------------------------------------- column profiles
 
 

@@ -109,7 +109,10 @@ def nearest_datasets(
     spreads it is standardised with. Queries are few (one table is prepared at a time), so
     each pass reads ``kb`` once and scores every row against up to 32 of them.
     """
-    measures = [c for c in kb.columns if c not in NOT_MEASURES and c in queries.columns]
+    measures = [c for c in kb.columns if c not in NOT_MEASURES]
+    lacking = [c for c in measures if c not in queries.columns]
+    if lacking:
+        raise ValueError(f"the queries lack measures of the knowledge base: {lacking}")
     # measures may still be a plan over raw tables: compute them once
     flat = cut_lineage(
         kb.select(
