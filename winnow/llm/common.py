@@ -25,11 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", os.path.join(warehouse, "_checkpoints")))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one below the
+    warehouse where the session names none (tests)."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return spark.conf.get("spark.checkpoint.dir", os.path.join(warehouse, "_checkpoints"))
+
+
 def repeated_ids(df: DataFrame, key: str) -> bool:
     """Whether a key occurs on more than one row; reads the key column only."""
     return bool(df.groupBy(key).count().where("count > 1").limit(1).count())

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import langid, mixing, near_dedup, pieces, pii, quality, spotsigs, topk, toxicity, urlfilter
+from winnow.llm import (
+    hardneg, langid, mixing, near_dedup, packing, pieces, pii, quality, spotsigs, topk, toxicity, urlfilter, whitening,
+)
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +129,55 @@ def op10(spark, sf_dir):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+#: The vocabulary file of the packing query; every operator takes its path as a parameter.
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+@query("op12_packing")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    pieces_ = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return pieces_.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
+
+
+MINED = """
+WITH ok AS (
+  SELECT vec_id AS id, min({
+           'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END,
+           'v': list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS INTEGER))}) AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT a.id AS anchor_id, c.id, a.r.label = c.r.label AS same,
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(a.r.v), len(c.r.v)) + 1), lambda i: a.r.v[i] * c.r.v[i])), 0) AS BIGINT) AS score
+  FROM ok a JOIN ok c ON a.id <> c.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE place <= 5
+"""
+
+
+@query("op13_hard_negatives", MINED)
+def op13(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=shifted)
