@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a task; bounds the memory of the array work.
 CHUNK_CHARS = 2_000_000
+#: The same where each character takes some hundred bytes of arrays.
+DENSE_CHARS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,17 @@ def in_chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes of text in column ``at``, one row at least;
+    nothing is turned into Python strings for it."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin, before = 0, 0
+    while begin < batch.num_rows:
+        stop = max(int(np.searchsorted(ends, before + limit, side="right")), begin + 1)
+        yield batch.slice(begin, stop - begin)
+        begin, before = stop, int(ends[stop - 1])
+
+
 #: Hashes of rows that a sample is drawn by lie below this.
 SPOTS = 1 << 30
 
@@ -83,28 +97,29 @@ def drawn(shares: dict[str, float], label: Column, spot: Column) -> Column:
     return spot < F.get(limits, place.cast("int"))
 
 
-def map_texts(df: DataFrame, text: str, fn: Callable[[list, pa.RecordBatch], list], schema: str) -> DataFrame:
+def map_texts(
+    df: DataFrame, text: str, fn: Callable[[list, pa.RecordBatch], list], schema: str, limit: int = CHUNK_CHARS
+) -> DataFrame:
     """``fn(texts, rows)`` on chunks of bounded size; it returns Arrow arrays in the order of ``schema``."""
     names = [part.split()[0] for part in schema.split(", ")]
+    at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in in_chunks(texts):
-                yield pa.RecordBatch.from_arrays(fn(texts[a:b], batch.slice(a, b - a)), names=names)
+            for part in text_slices(batch, at, limit):
+                yield pa.RecordBatch.from_arrays(fn(part.column(at).to_pylist(), part), names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def keep_texts(df: DataFrame, text: str, keep: Callable[[list], np.ndarray]) -> DataFrame:
+def keep_texts(df: DataFrame, text: str, keep: Callable[[list], np.ndarray], limit: int = CHUNK_CHARS) -> DataFrame:
     """The rows of ``df`` (all columns as they are) whose text ``keep`` accepts."""
     at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in in_chunks(texts):
-                yield batch.slice(a, b - a).filter(pa.array(keep(texts[a:b])))
+            for part in text_slices(batch, at, limit):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist())))
 
     return df.mapInArrow(run, df.schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import bits_at, cut, id_filter, in_chunks, map_texts, one_row_per_id, repeated_ids
+from winnow.llm.common import DENSE_CHARS, bits_at, cut, id_filter, map_texts, one_row_per_id, repeated_ids, text_slices
 from winnow.llm.graph import components
 from winnow.llm.words import U, constants, counted, mix, shingles, text_digest, unit, words_of
 
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
             pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
         ]
 
-    return map_texts(docs.select(key, text), text, fn, f"{key} long, w0 long, w1 long, n_shingles long, keys array<long>")
+    return map_texts(docs.select(key, text), text, fn, f"{key} long, w0 long, w1 long, n_shingles long, keys array<long>", DENSE_CHARS)
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -146,14 +146,12 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, text: str, key: str, width
     def run(batches):
         for batch in batches:
             on = bits_at(keep, batch.column(2).to_numpy())
-            batch = batch.filter(pa.array(on))
-            texts = batch.column(1).to_pylist()
-            for a, b in in_chunks(texts):
-                element, doc, weight, *_ = weighted_shingles(texts[a:b], width)
+            for part in text_slices(batch.filter(pa.array(on)), 1, DENSE_CHARS):
+                element, doc, weight, *_ = weighted_shingles(part.column(1).to_pylist(), width)
                 each = np.repeat(element, weight)
-                ends = np.searchsorted(np.repeat(doc, weight), np.arange(b - a + 1))
+                ends = np.searchsorted(np.repeat(doc, weight), np.arange(part.num_rows + 1))
                 packed = [pack(each[i:j]) for i, j in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc", "elements"])
 
     cut_up = spotted.where(F.col("doc").isNotNull()).mapInArrow(run, "doc long, elements binary")
     return cut_up.join(wanted, "doc", "left_semi")

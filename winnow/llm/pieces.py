@@ -299,10 +299,10 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MO
     small = docs.where(~big).mapInArrow(run, schema)
     if not docs.where(big).limit(1).count():
         return small
-    rows = cut(docs.where(big).withColumn("_rid", F.monotonically_increasing_id()))
-    cut_up = encode_giants(rows.select("_rid", text), text, blob, chunk)
+    rows = cut(docs.where(big).select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid")))
+    cut_up = encode_giants(rows.select("_rid", F.col(f"_row.`{text}`").alias("_body")), "_body", blob, chunk)
     each = cut_up.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("_parts"))
-    whole = rows.join(each, "_rid").select(*[F.col(f"`{c}`") for c in docs.columns], F.flatten(F.col("_parts.ids")).alias(ids))
+    whole = rows.join(each, "_rid").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.flatten(F.col("_parts.ids")).alias(ids))
     return small.unionByName(whole)
 
 
@@ -310,19 +310,34 @@ def encode_giants(rows: DataFrame, text: str, blob: bytes, chunk: int) -> DataFr
     """(_rid, i, ids): the ids of each chunk of each text."""
 
     def chop(batches):
-        p = pieces(blob)
+        longest = pieces(blob).longest
         for batch in batches:
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = prepare(t)
+            for n in range(batch.num_rows):
+                rid, whole = batch.column(0)[n].as_py(), prepare(batch.column(1)[n].as_py())
                 for i, a in enumerate(range(0, len(whole), chunk)):
                     size = min(chunk, len(whole) - a)
-                    body = whole[a : a + size + p.longest]
-                    m = p.matrix(body, size)
-                    if a + size == len(whole):
-                        m[:, 1:] = NEVER  # nothing is left to reach into
-                    yield pa.RecordBatch.from_pydict({"_rid": [rid], "i": pa.array([i], pa.int64()), "body": [body], "size": pa.array([size], pa.int32()), "m": [m.tobytes()]})
+                    # the size is negative where nothing is left to reach into
+                    signed = -size if a + size == len(whole) else size
+                    yield pa.RecordBatch.from_pydict(
+                        {"_rid": [rid], "i": pa.array([i], pa.int64()), "body": [whole[a : a + size + longest]], "size": pa.array([signed], pa.int32())}
+                    )
 
-    chunks = cut(rows.select("_rid", text).mapInArrow(chop, "_rid long, i long, body string, size int, m binary"))
+    def matrices(batches):
+        p = pieces(blob)
+        for batch in batches:
+            for n in range(batch.num_rows):
+                body, signed = batch.column(2)[n].as_py(), batch.column(3)[n].as_py()
+                m = p.matrix(body, abs(signed))
+                if signed < 0:
+                    m[:, 1:] = NEVER
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(n, 1).columns[:3], pa.array([abs(signed)], pa.int32()), pa.array([m.tobytes()])],
+                    names=["_rid", "i", "body", "size", "m"],
+                )
+
+    # a text is cut where it is read; its chunks are dealt out, so its matrices are made side by side
+    chopped = rows.select("_rid", text).mapInArrow(chop, "_rid long, i long, body string, size int")
+    chunks = cut(chopped.repartition("_rid", "i").mapInArrow(matrices, "_rid long, i long, body string, size int, m binary"))
     levels = [chunks.select("_rid", "i", "m")]
     while (levels[-1].agg(F.max("i").alias("n")).first()["n"] or 0) > 0:
         groups = levels[-1].withColumn("g", F.expr(f"i div {GROUP}")).groupBy("_rid", "g")

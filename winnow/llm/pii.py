@@ -33,10 +33,12 @@ from winnow.llm.common import cut
 
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns (possessive forms of the same languages).
+#: The base patterns (possessive forms of the same languages). A run that holds no
+#: match from its start holds none further on, so it is tried from there (or from where the last
+#: match ended) only, which keeps long runs linear.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -50,10 +52,10 @@ HINT = {
 #: Generators: pattern and hint. A digit group proposes a phone and a card.
 GENERATORS = {
     "email": (
-        r"[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
+        r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
         lambda t: t.contains("@") | t.contains("(at)") | t.contains("[at]"),
     ),
-    "ip": (r"[0-9]++(?:\.[0-9]++){2,}+", lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]")),
+    "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){2,}+", lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]")),
     "digits": (r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+", lambda t: t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}")),
 }
 SAMPLE = 20_000
@@ -262,9 +264,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; other columns unchanged."""
-    slim = docs.select(key, text)
-    model = fit(cut(candidates(slim, key, text)), key)
-    ready = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    slim = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_body"))
+    model = fit(cut(candidates(slim, "_key", "_body")), "_key")
+    # the caller's columns ride in one struct, so that no name of theirs meets one of the work columns
+    ready = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     ready = with_spans(with_candidates(with_base(ready, "_text"), "_text"), model)
     by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     ready = ready.withColumn("_spans", by_start)
@@ -273,5 +276,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     piece = f"""transform(_spans, (s, i) -> CASE WHEN s.start >= {seen}
         THEN concat(substring(_text, {seen} + 1, s.start - {seen}), {tags}[s.kind]) ELSE '' END)"""
     tail = "substring(_text, coalesce(array_max(transform(_spans, o -> o.stop)), 0) + 1)"
-    clean = F.when(F.size("_spans") == 0, F.col(f"`{text}`")).otherwise(F.concat(F.array_join(F.expr(piece), ""), F.expr(tail)))
-    return ready.select(*[clean.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("_spans") == 0, F.col(f"_row.`{text}`")).otherwise(F.concat(F.array_join(F.expr(piece), ""), F.expr(tail)))
+    return ready.select(*[clean.alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -9,17 +9,18 @@ are graded 1 to 3 by the terciles of their lexical load: the summed log odds of
 toxic against other labelled documents. A caller with graded labels passes those instead.
 
 The vocabulary and the fit use a bounded sample of the labelled rows (``SAMPLE``, chosen by a
-hash of doc_id); scoring reads every whole text. The sample stays on the executors: counts are
+hash of doc_id by label, so scarce toxic rows are all seen); scoring reads every whole text. The sample stays on the executors: counts are
 aggregated by Spark, and each step of the fit sums gradients of the partitions.
 
 Defined cases: a null, empty or wordless text has expected severity from the thresholds alone
 and is never rejected; labels that are null or name no document are ignored; a doc_id labelled
 more than once counts as toxic if any of its labels is; without both toxic and other labels
-nothing is rejected and every severity is 0; other columns pass through untouched.
+nothing is rejected, every severity is 0 and a warning is logged; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, keep_texts, map_texts
+from winnow.llm.common import DENSE_CHARS, SPOTS, cut, drawn, keep_texts, map_texts, sample_shares
 from winnow.llm.words import WORD, counted, hash_spans, runs, to_bytes
 
-#: Labelled rows used for the fit, at most about this many.
+log = logging.getLogger(__name__)
+
+#: Labelled rows used for the fit, about this many, and about LEAST of either label at least.
 SAMPLE = 20_000
+LEAST = 1_000
 #: Words of the vocabulary, at most; a word needs MIN_DOCS labelled documents and a chi-square
 #: above CHI_SQUARE (p < 0.001) against the toxic label.
 VOCABULARY, MIN_DOCS, CHI_SQUARE = 4096, 5, 10.83
@@ -54,23 +58,25 @@ class OrdinalModel:
     thresholds: np.ndarray
     cutoff: float = np.inf
 
-    def margins(self, texts: list) -> np.ndarray:
+    def margins(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The margin of each text, and whether it has a word at all."""
         element, doc, n = present_words(texts)
+        worded = np.bincount(doc, minlength=n) > 0
         if not len(self.words) or not len(element):
-            return np.zeros(n)
+            return np.zeros(n), worded
         at = np.searchsorted(self.words, element)
         at[at == len(self.words)] = 0
         hit = self.words[at] == element
-        return np.bincount(doc[hit], weights=self.weights[at[hit]], minlength=n)
+        return np.bincount(doc[hit], weights=self.weights[at[hit]], minlength=n), worded
 
     def judge(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity (the sum over k of P(grade >= k)) and grade of each text."""
-        margin = self.margins(texts)
+        margin, worded = self.margins(texts)
         if not len(self.thresholds):
             return np.zeros(len(texts)), np.zeros(len(texts), np.int32)
         at_least = sigmoid(margin[:, None] - self.thresholds[None, :])
         likely = np.maximum((at_least >= 0.5).sum(axis=1), 1)
-        toxic = (margin >= self.cutoff) & np.array([bool(t) for t in texts])
+        toxic = (margin >= self.cutoff) & worded
         return at_least.sum(axis=1), np.where(toxic, likely, 0).astype(np.int32)
 
 
@@ -88,15 +94,16 @@ def present_words(texts: list) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int) -> DataFrame:
-    """(doc_id, toxic, words) for at most about ``sample`` labelled documents, cut from lineage."""
+    """(doc_id, toxic, words) for about ``sample`` labelled documents, but about ``LEAST`` of each
+    label at least (all where there are no more), cut from lineage."""
     known = (
         labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull())
         .groupBy(key)
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
-    n = max(known.count(), 1)
-    share = F.lit(int(min(1.0, sample / n) * (1 << 30)))
-    chosen = known.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < share)
+    counts = {str(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}  # two numbers
+    shares = sample_shares(counts or {"0": 1}, sample, LEAST)
+    chosen = known.where(drawn(shares, F.col("toxic").cast("string"), F.pmod(F.xxhash64(F.col(key)), F.lit(SPOTS)).cast("long")))
 
     def fn(texts, batch):
         element, doc, n_texts = present_words(texts)
@@ -137,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     n_toxic, n_other = totals["t"], totals["n"] - totals["t"]
     if not n_toxic or not n_other:
+        log.warning("labels of one kind only (%s toxic, %s others): no document will be graded", n_toxic, n_other)
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     odds = vocabulary(rows, n_toxic, n_other)
     words = np.array(sorted(odds), dtype=np.int64)
@@ -269,9 +277,9 @@ def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str =
         severity, grade = model.judge(texts)
         return [batch.column(0), pa.array(severity), pa.array(grade), pa.array((grade > 0).astype(np.int32))]
 
-    return map_texts(docs.select(key, text), text, fn, f"{key} long, severity double, grade int, toxic int")
+    return map_texts(docs.select(key, text), text, fn, f"{key} long, severity double, grade int, toxic int", DENSE_CHARS)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose grade is 0, as they are."""
-    return keep_texts(docs, text, lambda texts: model.judge(texts)[1] == 0)
+    return keep_texts(docs, text, lambda texts: model.judge(texts)[1] == 0, DENSE_CHARS)
