@@ -42,9 +42,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and whether they decode to its text."""
-    back = pieces.decode(pieces.encode(docs))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = pieces.encode(docs, same="round_trip")
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

@@ -334,7 +334,8 @@ def test_redact_and_encode_keep_the_callers_columns(spark):
     clean = {r.doc_id: r.asDict() for r in pii.redact(df).collect()}
     assert clean[1]["text"] == "mail <EMAIL> now"
     assert all(clean[d][n] == f"{n} {d}" for d in (1, 2) for n in names)
-    coded = {r.doc_id: r.asDict() for r in pieces.encode(df, giant=1000, chunk=4000).collect()}
+    coded = {r.doc_id: r.asDict() for r in pieces.encode(df, giant=1000, chunk=4000, same="back").collect()}
+    assert coded[1]["back"] and coded[2]["back"]
     assert all(coded[d][n] == f"{n} {d}" for d in (1, 2) for n in names) and all(coded[d]["ids"] for d in (1, 2))
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, in_chunks
+from winnow.llm.common import cut, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -44,8 +44,8 @@ SPAN, CACHED = 256, 100_000
 #: Dearer than SPAN characters one by one; 32-bit sums of a span stay exact (under 2^24).
 AVOIDED = -8_200_000.0
 GIANT, CHUNK, GROUP = 65_536, 16_384, 64
-#: Characters encoded at once; their ids are held as Python numbers for a moment.
-AT_ONCE = 400_000
+#: Bytes of text encoded at once; their ids are held as Python numbers for a moment.
+AT_ONCE = 250_000
 NEVER = -(1 << 60)
 
 
@@ -278,31 +278,41 @@ def packed_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat.astype(np.int32)))
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with a column ``ids`` (array of int, never null) added; it replaces one of that name."""
+def encode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, same: str | None = None
+) -> DataFrame:
+    """``docs`` with a column ``ids`` (array of int, never null) added; it replaces one of that name.
+    ``same`` names a further column: whether the ids decode to the text (a null text is an empty
+    one), found beside the encoding, without a second Python worker."""
     blob = model_bytes(path)
-    docs = docs.drop(ids)
-    at, names = docs.columns.index(text), [*docs.columns, ids]
+    docs = docs.drop(ids, *([same] if same else []))
+    at, names = docs.columns.index(text), [*docs.columns, ids, *([same] if same else [])]
     big = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)) > giant
 
     def run(batches):
         p = pieces(blob)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in in_chunks(texts, AT_ONCE):
-                flat, starts = p.encode([prepare(t) for t in texts[a:b]])
+            for part in text_slices(batch, at, AT_ONCE):
+                texts = part.column(at).to_pylist()
+                flat, starts = p.encode([prepare(t) for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
+                back = [pa.array([a == (b or "") for a, b in zip(p.decode(flat, starts), texts)])] if same else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], names=names)
 
-    schema = docs.select("*", F.array(F.lit(0)).alias(ids)).schema
+    flag = [F.lit(True).alias(same)] if same else []
+    schema = docs.select("*", F.array(F.lit(0)).alias(ids), *flag).schema
     small = docs.where(~big).mapInArrow(run, schema)
     if not docs.where(big).limit(1).count():
         return small
     rows = cut(docs.where(big).select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid")))
     cut_up = encode_giants(rows.select("_rid", F.col(f"_row.`{text}`").alias("_body")), "_body", blob, chunk)
     each = cut_up.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("_parts"))
-    whole = rows.join(each, "_rid").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.flatten(F.col("_parts.ids")).alias(ids))
+    joined = rows.join(each, "_rid").select("_row", F.flatten(F.col("_parts.ids")).alias("_ids"))
+    found = [F.col("_ids").alias(ids)]
+    if same:
+        joined = decode(joined, "_ids", "_back", path)
+        found.append((F.col("_back") == F.col(f"_row.`{text}`")).alias(same))
+    whole = joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], *found)
     return small.unionByName(whole)
 
 
