@@ -1,5 +1,7 @@
 """Hand-computed tables, brute-force comparisons and edge cases."""
 
+import itertools
+import json
 import math
 import random
 
@@ -13,7 +15,7 @@ from winnow.functions.ranks import hash_ordinal, ordered_ordinal, running_max_be
 from winnow.operators import (
     encode, features, impute, knn, metrics, models, mutual_info, outlier, profile, scale, select, split,
 )
-from winnow.plans import chain, evaluate, knowledge, ledger, search, trials
+from winnow.plans import chain, evaluate, knowledge, ledger, proposals, search, trials
 from winnow.roles import lay_out
 from winnow.sources import sinks, tables
 
@@ -491,14 +493,6 @@ def test_plan_of_apply_is_plain(spark):
     assert "Python" not in text and "ArrowEval" not in text and "Exchange hashpartitioning" not in text
 
 
-def test_shared_prefixes_are_fitted_once(spark):
-    df, reuse = mixed(spark), {}
-    chain.fit_chain(df, chain.steps_of(["I", "E", "N"], ["mean", "label", "standard"]), reuse=reuse)
-    before = set(reuse)
-    chain.fit_chain(df, chain.steps_of(["I", "E", "N"], ["mean", "label", "minmax"]), reuse=reuse)
-    assert len(set(reuse) - before) == 1  # only the scaler
-
-
 def test_failures_are_reported(spark):
     df = mixed(spark, 80)
     t = evaluate.evaluate_holdout(df, ["I", "N"], ["mean", "no such scaler"], "DecisionTree")
@@ -686,31 +680,114 @@ def test_onehot_tells_null_from_the_word_null(spark):
     assert len(set(out.columns)) == len(out.columns) and out.count() == 3
 
 
-def test_search_tries_every_list_of_a_small_space(spark):
-    """With all but one list taken, 64 draws seldom hit the last: it is still proposed."""
-    space = {s: [f"{s}{i}" for i in range(12)] for s in "IENF"}
-    run = search.OrderSearch(0, list("IENF"), space, {}, 0)
-    for ops in (["I0", "E0", "N0", "F0"], ["I1", "E0", "N0", "F0"]):
-        run.record(evaluate.Trial(list("IENF"), ops, 0.5))
-    every = {(a, b, c, d) for a in space["I"] for b in space["E"] for c in space["N"] for d in space["F"]}
-    assert run.propose(1, every - {("I11", "E11", "N11", "F11")}) == ["I11", "E11", "N11", "F11"]
-    assert run.propose(1, every) is None
-    small = search.OrderSearch(0, ["I"], {"I": ["a", "b"]}, {}, 0)
-    small.record(evaluate.Trial(["I"], ["elsewhere"], 0.5))
-    small.record(evaluate.Trial(["I"], ["a"], 0.5))
-    assert small.open and small.propose(1, small.tried()) == ["b"]
-
-
-def test_search_state_equals_the_ledger_table(spark):
-    run = search.OrderSearch(7, ["I", "E"], {"I": ["a", "b"], "E": ["c", "d"]}, {}, 0)
-    for ops, score in ((["a", "c"], 0.4), (["a", "d"], 0.6), (["b", "c"], 0.5)):
-        run.record(evaluate.Trial(["I", "E"], ops, score))
-    table = evaluate.ledger_frame(spark, [(7, i + 1, "I_E", t.ops, t.score, None) for i, t in enumerate(run.log)])
-    rows = ledger.prefix_scores(table, search.SPREAD).collect()
-    assert len(rows) == 5
-    for r in rows:
-        prefix = tuple(r.prefix.split(">"))
-        assert run.visits[prefix] == r.visits and run._confidence(prefix) == pytest.approx(r.ucb)
+def proposed(spark, log, lists, round_no=1, batch=4, max_iter=30, **options):
+    rows = [(run, i, "_".join("IENF"[: len(ops)]), list(ops), score, None) for run, i, ops, score in log]
+    table = evaluate.ledger_frame(spark, rows)
+    edges = search.starting_edges(spark, None, [], {})
+    got = proposals.next_lists(table, lists, edges, round_no, batch, max_iter, **options).orderBy("run_id", "place").collect()
+    return [(r.run_id, tuple(r.ops)) for r in got]
+
+
+def test_search_tries_every_list(spark):
+    """Each round proposes untried lists only, and all of them in the end; a list from outside the
+    space closes nothing."""
+    space = {"I": ["a", "b", "c"], "E": ["d", "e"], "N": ["f", "g"]}
+    lists = proposals.operator_lists(spark, [list("IEN"), ["I"]], space).persist()
+    assert lists.count() == 12 + 3
+    every = {0: set(itertools.product(*space.values())), 1: {("a",), ("b",), ("c",)}}
+    log, done = [(0, 1, ("z", "d", "f"), 0.5), (1, 1, ("z",), 0.5)], {0: 1, 1: 1}
+    assert proposed(spark, log, lists, 0) == proposed(spark, log, lists, 0)
+    for round_no in range(20):
+        got = proposed(spark, log, lists, round_no, batch=7)
+        assert len(set(got)) == len(got)
+        if not got:
+            break
+        for run, ops in got:
+            assert (run, ops) not in {(r, o) for r, _, o, _ in log} and ops in every[run]
+            done[run] += 1
+            log.append((run, done[run], ops, random.Random(str(ops)).random()))
+    assert {run: {o for r, _, o, _ in log if r == run} - {("z", "d", "f"), ("z",)} for run in (0, 1)} == every
+    assert proposed(spark, log[:3], lists, 1, max_iter=2) and not proposed(spark, log[:2], lists, 1, max_iter=1)
+    stale = [(1, i, ("z",), 0.5) for i in range(1, proposals.PATIENCE + 2)]
+    assert not proposed(spark, stale, lists, 1, max_iter=500)
+    lists.unpersist()
+
+
+def test_search_walks_by_upper_confidence_and_weight(spark):
+    space = {"I": ["a", "b"], "E": ["d", "e"]}
+    lists = proposals.operator_lists(spark, [list("IE")], space)
+    # both choices of I were tried: the walk goes to the one with the higher upper confidence value
+    log = [(0, 1, ("a", "d"), 0.2), (0, 2, ("b", "d"), 0.9)]
+    ucb = {r.prefix: r.ucb for r in ledger.prefix_scores(evaluate.ledger_frame(spark, [(r, i, "I_E", list(o), s, None) for r, i, o, s in log]), 2.0).collect()}
+    assert ucb["b"] > ucb["a"]
+    assert proposed(spark, log, lists, batch=1) == [(0, ("b", "e"))]
+    # fresh choices of a slot are drawn in proportion to exp(score / temperature)
+    wide = proposals.operator_lists(spark, [["I"]], {"I": ["p", "q", "r"]})
+    edges = spark.createDataFrame([(0, trials.START, "p", 1.0), (0, trials.START, "q", 0.5)], "run_id long, prev string, next string, score double")
+    log = evaluate.ledger_frame(spark, [(n, 1, "I", ["z"], 0.5, None) for n in range(200)])
+    runs = spark.range(200).select(F.col("id").alias("run_id"))
+    every = proposals.next_lists(log, wide.drop("run_id").crossJoin(runs), edges.drop("run_id").crossJoin(runs), 1, 1, 30, explore=0.0)
+    seen = {r.op: r["count"] / 200 for r in every.groupBy(F.col("ops")[0].alias("op")).count().collect()}
+    weight = {"p": math.e**2, "q": math.e, "r": 1.0}
+    for op, w in weight.items():
+        assert abs(seen.get(op, 0.0) - w / sum(weight.values())) < 0.12
+
+
+def test_prefixes_are_shared_by_trials_at_the_same_time(spark):
+    df = mixed(spark)
+    with evaluate.HoldOut(df, "DecisionTree") as split:
+        split.run_many([(list("IEN"), ["mean", "label", n]) for n in ("standard", "minmax", "maxabs", "robust")])
+        fitted = [k for k in split.shared._steps if k[-1] != "keep"]
+        assert sum(len(k) and k[-1] == ("I", "mean") for k in fitted) == 1
+        assert sorted(k[-1][1] for k in fitted if k[-1][0] == "N") == ["maxabs", "minmax", "robust", "standard"]
+        chained = chain.fit_chain(split.train, chain.steps_of(list("IEN"), ["mean", "label", "minmax"]), shared=split.shared)
+        alone = chain.fit_chain(split.train, chain.steps_of(list("IEN"), ["mean", "label", "minmax"]))
+        for ready, part in zip(chained.ready, (split.train, split.test)):
+            assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, alone.apply(part).collect()))
+
+
+def test_batch_run_writes_all_outputs_once(spark, tmp_path):
+    from catalog.evaluation import _history
+
+    rng = random.Random(4)
+    files = {}
+    for name, n in (("first", 90), ("second", 80)):
+        rows = [(rng.gauss(0, 1), rng.random(), rng.choice("uv")) for _ in range(n)]
+        lines = [f"{a:.4f},{b if b > 0.1 else ''},{c},{'yes' if a + (c == 'u') > 0.5 else 'no'}" for a, b, c in rows]
+        (tmp_path / f"{name}.csv").write_text("a,b,c,y\n" + "\n".join(lines) + "\n")
+        files[name] = str(tmp_path / f"{name}.csv")
+    kb, rec = _history(spark, "/root/testdata/sf0.001")
+    kb, out = kb.persist(), str(tmp_path / "out")
+    options = dict(target="y", model="DecisionTree", max_iter=2, batch=1, orders=1, folds=2)
+    records = {r.dataset: r for r in search.run_batch(spark, files, kb, rec, out, **options).collect()}
+    assert set(records) == set(files)
+    for r in records.values():
+        assert r.seconds > 0 and 0 <= r.best_score <= 1 and 0 <= r.test_accuracy <= 1 and ":" in r.best_sequence
+    log = spark.read.parquet(f"{out}/search_log")
+    assert {r.dataset: r["count"] for r in log.groupBy("dataset").count().collect()} == {n: 2 for n in files}
+    curve = spark.read.parquet(f"{out}/global_curve")
+    assert curve.count() == 4 and curve.where("dataset = 'first'").agg(F.max("global_best_score")).first()[0] == log.where("dataset = 'first'").agg(F.max("score")).first()[0]
+    best = json.loads(spark.read.text(f"{out}/first/best_sequence").first()[0])
+    report = json.loads(spark.read.text(f"{out}/first/run_report").first()[0])
+    assert report["best"] == best and records["first"].best_sequence.startswith("_".join(best["order"]))
+    prepared = spark.read.option("header", True).csv(f"{out}/first/processed_test")
+    assert prepared.count() > 10 and "label" in prepared.columns
+    # again over one file: its rows are replaced, the others stay
+    before = sorted(map(str, log.drop("reason").collect()))
+    key = {"dataset": "second", "model": "DecisionTree"}
+    rows = log.where("dataset = 'second'").drop("dataset", "model").collect()
+    sinks.write_keyed(spark.createDataFrame(rows, log.drop("dataset", "model").schema), f"{out}/search_log", key)
+    again = spark.read.parquet(f"{out}/search_log")
+    assert sorted(map(str, again.drop("reason").collect())) == before
+    kb.unpersist()
+
+
+def test_scores_of_a_prepared_table(spark):
+    rows = [(i, float(i % 10), "yes" if i % 10 > 4 else "no") for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a double, label string")
+    assert evaluate.score_prepared(df, "DecisionTree") == 1.0
+    assert evaluate.score_prepared(df, "DecisionTree", rows=100) == 1.0
+    assert evaluate.evaluate_cv(df, ["N"], ["standard"], "DecisionTree", k=2).score == 1.0
 
 
 def test_registered_search_has_the_default_budget(monkeypatch):

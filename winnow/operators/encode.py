@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.constants import sql_value
 from winnow.functions.ranks import ordered_ordinal
 from winnow.operators.profile import stacked
-from winnow.roles import ROLES, Roles, col
+from winnow.roles import ROLES, Roles, col, ident
 from winnow.session import bounded, small_table
 
 STATE_ROWS = 20_000
@@ -65,9 +66,8 @@ class Encoder:
         new = []
         named_null = any(value == "null" for value, _ in self.states[c].rows)
         for value, _ in self.states[c].rows:
-            hit = col(c).eqNullSafe(F.lit(value))
             name = ("null_value" if named_null else "null") if value is None else value
-            new.append(hit.cast("double").alias(f"{c}_{name}"))
+            new.append(F.expr(f"cast({ident(c)} <=> {sql_value(value)} as double)").alias(f"{c}_{name}"))
         return self._replace(df, c, new)
 
     def _binary(self, df: DataFrame, c: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
-from winnow.functions.constants import constant_array
-from winnow.roles import ROLES, Roles, col
+from winnow.functions.constants import constant_array, sql_value
+from winnow.roles import ROLES, Roles, col, ident
 
 # Spellings accepted for the kernel projection.
 ALIASES = {"kernalPCA": "kernelPCA", "kernel_pca": "kernelPCA"}
@@ -24,13 +24,6 @@ TREES = 100
 TREE_DEPTH = 5
 
 
-def weighted_sum(terms: list[tuple[Column, float]]) -> Column:
-    out = F.lit(0.0)
-    for c, w in terms:
-        out = out + c * F.lit(float(w))
-    return out
-
-
 @dataclass
 class FeatureMap:
     method: str
@@ -44,14 +37,15 @@ class FeatureMap:
     leaves: object | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        df = df.select(
-            *[c for c in df.columns if c not in self.columns],
-            *[col(c) if c in df.columns else F.lit(0.0).alias(c) for c in self.columns],
+        have = set(df.columns)
+        df = df.selectExpr(
+            *[ident(c) for c in df.columns if c not in self.columns],
+            *[ident(c) if c in have else f"0D AS {ident(c)}" for c in self.columns],
         )
         if self.method == "RandomTrees":
             return self._leaves(df)
         if self.method in ("polynomial", "InteractionFeatures"):
-            new = [self._product(t).alias(str(i)) for i, t in enumerate(self.terms)]
+            new = [F.expr(" * ".join(map(ident, t))).alias(str(i)) for i, t in enumerate(self.terms)]
             return self._shape(df, new)
         if self.wave is not None:
             df = df.withColumn("_w", waves(self.columns, *self.wave))
@@ -59,22 +53,16 @@ class FeatureMap:
         new = []
         for k in range(self.weights.shape[1]):
             parts = [
-                (col(c) - F.lit(float(self.centre[i])), self.weights[i, k])
+                f"({ident(c)} - {sql_value(self.centre[i])}) * {sql_value(self.weights[i, k])}"
                 for i, c in enumerate(self.columns)
             ]
-            new.append(weighted_sum(parts).alias(str(k)))
+            new.append(F.expr(" + ".join(["0D", *parts])).alias(str(k)))
         return self._shape(df, new)
 
     def _turned(self, k: int) -> Column:
         v = self.weights[:, k]
         return dot(F.col("_w"), F.array(*[F.lit(float(x)) for x in v])) - F.lit(float(self.centre @ v))
 
-    def _product(self, term: tuple[str, ...]) -> Column:
-        out = col(term[0])
-        for c in term[1:]:
-            out = out * col(c)
-        return out
-
     def _shape(self, df: DataFrame, new: list[Column]) -> DataFrame:
         r = self.roles
         kept = [c for c in r.features(df) if c not in self.columns and c != "_w"]

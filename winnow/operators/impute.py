@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.constants import sql_value
 from winnow.functions.moments import gram
 from winnow.functions.quantiles import exact_quantiles
 from winnow.operators.profile import stacked
-from winnow.roles import ROLES, Roles, col
+from winnow.roles import ROLES, Roles, col, ident
 
 
 def modes(df: DataFrame, cols: list[str], as_type: str) -> dict:
@@ -42,12 +43,11 @@ class Imputer:
 
     def _constants(self, df: DataFrame) -> DataFrame:
         fills = {**self.numeric, **self.categorical}
-        return df.select(
-            *[
-                F.coalesce(col(c), F.lit(fills[c])).alias(c) if fills.get(c) is not None else col(c)
-                for c in df.columns
-            ]
-        )
+        cells = [
+            f"coalesce({ident(c)}, {sql_value(fills[c])}) AS {ident(c)}" if fills.get(c) is not None else ident(c)
+            for c in df.columns
+        ]
+        return df.selectExpr(*cells)
 
     def _from_neighbours(self, df: DataFrame) -> DataFrame:
         from winnow.operators.knn import neighbour_means

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators import knn
 from winnow.operators.features import KERNEL_FEATURES, assembled, draw_waves, waves
-from winnow.roles import ROLES, Roles, col
+from winnow.roles import ROLES, Roles, col, ident
 
 MODELS = ("KNN", "LogisticRegression", "DecisionTree", "SVM")
 
@@ -46,9 +46,10 @@ class Fitted:
         r = self.roles
         if self.classes is not None and len(self.classes) == 1:
             return df.select(*r.ids(df), *r.labels(df), F.lit(self.classes[0]).alias("prediction"))
-        df = df.select(
-            *r.ids(df), *r.labels(df),
-            *[col(c) if c in df.columns else F.lit(0.0).alias(c) for c in self.columns],
+        have = set(df.columns)
+        df = df.selectExpr(
+            *map(ident, r.ids(df)), *map(ident, r.labels(df)),
+            *[ident(c) if c in have else f"0D AS {ident(c)}" for c in self.columns],
         )
         if self.name == "KNN":
             return knn.classify(self.train, df, self.columns, 5, r)
@@ -80,14 +81,22 @@ def fit_model(
         if roles.vectors(df):
             raise ValueError("the neighbour model needs scalar columns")
         return Fitted(name, cols, roles, train=df)
-    indexer = StringIndexer(inputCol=roles.label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)
-    classes = list(indexer.labelsArray[0])
-    out = Fitted(name, cols, roles, classes=classes)
-    if len(classes) < 2:
-        return out
+    out = Fitted(name, cols, roles)
     if name == "SVM":
         out.wave = _kernel_waves(df, cols, seed, kernel_features)
-    data = _vector(indexer.transform(df), cols, out.wave).select("_vec", "_y").persist()
+    # cached before anything is counted, so that the preparation runs once
+    ready = _vector(df, cols, out.wave).select("_vec", col(roles.label).cast("string").alias("_label")).persist()
+    try:
+        indexer = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(ready)
+        out.classes = list(indexer.labelsArray[0])
+        if len(out.classes) > 1:
+            out.model = _fitted(indexer.transform(ready).select("_vec", "_y"), name, len(out.classes), max_depth, max_bins)
+    finally:
+        ready.unpersist()
+    return out
+
+
+def _fitted(data: DataFrame, name: str, n_classes: int, max_depth: int, max_bins: int):
     common = dict(featuresCol="_vec", labelCol="_y", predictionCol="_pred")
     if name == "DecisionTree":
         est = DecisionTreeClassifier(maxDepth=max_depth, maxBins=max_bins, maxMemoryInMB=1024, seed=42, **common)
@@ -96,16 +105,12 @@ def fit_model(
         est = LogisticRegression(
             regParam=1.0 / n, standardization=False, maxIter=100, family="auto", **common
         )
-        if len(classes) > 2:
+        if n_classes > 2:
             est = OneVsRest(classifier=est, parallelism=4, **common)
     else:
         base = LinearSVC(regParam=1e-4, maxIter=40, tol=1e-3, standardization=False, **common)
-        est = base if len(classes) == 2 else OneVsRest(classifier=base, parallelism=4, **common)
-    try:
-        out.model = est.fit(data)
-    finally:
-        data.unpersist()
-    return out
+        est = base if n_classes == 2 else OneVsRest(classifier=base, parallelism=4, **common)
+    return est.fit(data)
 
 
 def _kernel_waves(df: DataFrame, cols: list[str], seed: int, size: int):

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
+from winnow.functions.constants import sql_value
 from winnow.functions.quantiles import exact_quantiles
 from winnow.operators.impute import Imputer
-from winnow.roles import ROLES, Roles, col
+from winnow.roles import ROLES, Roles, col, ident
 
 
 @dataclass
@@ -21,16 +22,16 @@ class OutlierMask:
     imputer: Imputer | None = None
 
     def mask(self, df: DataFrame) -> DataFrame:
-        return df.select(*[self._cell(c) if c in self.params else col(c) for c in df.columns])
+        return df.selectExpr(*[self._cell(c) if c in self.params else ident(c) for c in df.columns])
 
-    def _cell(self, c):
-        a, b = self.params[c]
-        x = col(c)
+    def _cell(self, c: str) -> str:
+        a, b = map(sql_value, self.params[c])
+        x = ident(c)
         if self.method == "zscore":
-            out = F.abs((x - a) / b) > self.threshold
+            out = f"abs(({x} - {a}) / {b}) > {sql_value(self.threshold)}"
         else:
-            out = (x < a) | (x > b)
-        return F.when(~out, x).alias(c)
+            out = f"{x} < {a} OR {x} > {b}"
+        return f"CASE WHEN NOT ({out}) THEN {x} END AS {x}"
 
     def apply(self, df: DataFrame) -> DataFrame:
         masked = self.mask(df)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.constants import constant_array
+from winnow.functions.constants import constant_array, sql_value
 from winnow.functions.quantiles import exact_quantiles, with_buckets
 from winnow.operators.select import column_stats
 from winnow.roles import ROLES, Roles, col, ident
@@ -49,6 +49,10 @@ class Scaler:
             new = [
                 F.coalesce(col(c) / F.nullif(norm, F.lit(0.0)), col(c)).alias(c) for c in self.columns
             ]
+        elif self.method in ("standard", "minmax", "maxabs", "robust"):
+            cells = [f"({ident(c)} - {sql_value(m)}) / {sql_value(w)} AS {ident(c)}" for c, (m, w) in ((c, self.params[c]) for c in self.columns)]
+            r = self.roles
+            return df.selectExpr(*map(ident, r.ids(df)), *cells, *map(ident, tail), *map(ident, r.labels(df)))
         else:
             new = [self._cell(c).alias(c) for c in self.columns]
         return self._shape(df, new, tail)
@@ -65,8 +69,7 @@ class Scaler:
         if self.method == "power":
             lam, mean, std = p
             return (yeo_johnson(x, lam) - mean) / std
-        centre, width = p
-        return (x - centre) / width
+        raise ValueError(f"not a cell by cell method: {self.method}")
 
     def _quantile(self, df: DataFrame, tail: list[str]) -> DataFrame:
         names = {c: f"_x{i}" for i, c in enumerate(self.columns) if len(self.params[c][0]) > 1}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
 from winnow.operators.profile import stacked
-from winnow.roles import ROLES, Roles, col
+from winnow.roles import ROLES, Roles, col, ident
 
 METHODS = ("variance", "univariate", "pearson")
 
@@ -16,9 +16,8 @@ METHODS = ("variance", "univariate", "pearson")
 def keep_columns(df: DataFrame, kept: list[str], roles: Roles = ROLES) -> DataFrame:
     """Project to the kept features that exist here, in this table's column order."""
     wanted = set(kept)
-    return df.select(
-        *roles.ids(df), *[col(c) for c in roles.features(df) if c in wanted], *roles.labels(df)
-    )
+    kept = [*roles.ids(df), *[c for c in roles.features(df) if c in wanted], *roles.labels(df)]
+    return df.selectExpr(*[ident(c) for c in kept])
 
 
 def column_stats(df: DataFrame, roles: Roles = ROLES) -> dict:
@@ -26,16 +25,16 @@ def column_stats(df: DataFrame, roles: Roles = ROLES) -> dict:
     cols = roles.numeric(df)
     if not cols:
         return {}
-    cells = [
-        F.struct(
-            F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi"), F.avg(col(c)).alias("avg"),
-            M.when_varies(col(c), F.stddev_pop(col(c))).alias("std"),
-            M.when_varies(col(c), F.var_pop(col(c))).alias("var"),
-        ).alias(f"a{i}")
-        for i, c in enumerate(cols)
-    ]
-    r = df.agg(*cells).first()
-    return {c: r[f"a{i}"] for i, c in enumerate(cols)}
+    # one expression as text: a chain takes these statistics many times, and building them
+    # column by column costs more than a small table's job
+    spread = "CASE WHEN min({x}) = max({x}) THEN 0D ELSE {f}({x}) END"
+    cells = ", ".join(
+        "named_struct('lo', min({x}), 'hi', max({x}), 'avg', avg({x}), 'std', {std}, 'var', {var})".format(
+            x=x, std=spread.format(x=x, f="stddev_pop"), var=spread.format(x=x, f="var_pop")
+        )
+        for x in (f"cast({ident(c)} as double)" for c in cols)
+    )
+    return dict(zip(cols, df.agg(F.expr(f"array({cells})").alias("cells")).first()["cells"]))
 
 
 def by_variance(

@@ -7,7 +7,10 @@ columns kept at each point are part of the fitted chain and are replayed on new
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -50,20 +53,64 @@ def steps_of(order: list[str], ops: list[str | None]) -> list[Step]:
 
 
 class Keep:
-    def __init__(self, columns: list[str], roles: Roles):
-        self.columns, self.roles = columns, roles
+    """Columns kept; ``stats`` are the statistics that the choice was made by."""
+
+    def __init__(self, columns: list[str], roles: Roles, stats: dict | None = None):
+        self.columns, self.roles, self.stats = columns, roles, stats
 
     def apply(self, df: DataFrame) -> DataFrame:
         return keep_columns(df, self.columns, self.roles)
 
 
+class SharedPrefixes:
+    """Fitted prefixes of many chains over one split: the parts, and both tables with the parts
+    applied. Chains that start alike, also at the same time, fit and apply the start once: the
+    first to come works, the others wait for its result (or its failure). With ``keep`` every
+    prepared train table is cached until ``close``; meant for samples of bounded size."""
+
+    def __init__(self, train: DataFrame, test: DataFrame, roles: Roles = ROLES, keep: bool = False):
+        self.train, self.test = lay_out(train, roles), lay_out(test, roles)
+        self.keep, self._kept = keep, []
+        self._lock = Lock()
+        self._steps: dict[tuple, Future] = {}
+
+    def after(self, key: tuple, make: Callable) -> Future:
+        with self._lock:
+            step, mine = self._steps.get(key), key not in self._steps
+            if mine:
+                step = self._steps[key] = Future()
+        if mine:
+            try:
+                step.set_result(make())
+            except BaseException as e:  # noqa: BLE001 - handed to every chain that waits
+                step.set_exception(e)
+        return step
+
+    def held(self, df: DataFrame) -> DataFrame:
+        if self.keep:
+            df = df.persist()
+            self._kept.append(df)
+        return df
+
+    def close(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+        self._kept = []
+
+    def n_rows(self) -> int:
+        return self.after(("count",), self.train.count).result()
+
+
 @dataclass
 class FittedChain:
+    """``ready`` holds the prepared (train, test) of a chain fitted over shared prefixes."""
+
     parts: list = field(default_factory=list)
     roles: Roles = ROLES
+    ready: tuple | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Lazy; one projection per step plus lookups, valid on a stream."""
+        """Lazy; one projection per step plus lookups, valid on a stream (but for the knn imputer)."""
         out = lay_out(df, self.roles)
         for p in self.parts:
             out = p.apply(out)
@@ -75,45 +122,49 @@ def fit_chain(
     steps: list[Step],
     roles: Roles = ROLES,
     explicit_selection: bool = False,
-    reuse: dict | None = None,
+    shared: SharedPrefixes | None = None,
     keep_cached: bool = True,
 ) -> FittedChain:
-    """Fit every step on ``df``. ``reuse`` caches fitted parts by step prefix, so chains
-    that start the same way fit the shared part once."""
+    """Fit every step on ``df``, or on the train side of ``shared``, where chains that start the
+    same way fit the shared part once."""
     chain = FittedChain(roles=roles)
-    base = lay_out(df, roles)
+    base = lay_out(df, roles) if shared is None else shared.train
+    keep_cached = keep_cached and shared is None
     if keep_cached:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         given = {s.step: s.method for s in steps if s.method}
         # only rank-based fits need the row count
-        n_rows = base.count() if set(given.values()) & RANKED else None
+        n_rows = None
+        if set(given.values()) & RANKED:
+            n_rows = base.count() if shared is None else shared.n_rows()
         done: tuple = ()
-        current, stats, settled = base, None, False
+        current, test, stats, settled = base, shared and shared.test, None, False
 
         def add(key, make):
-            nonlocal done, current
+            nonlocal done, current, test
             done = done + (key,)
-            part = reuse.get(done) if reuse is not None else None
-            if part is None:
-                part = make(current)
-                if reuse is not None:
-                    reuse[done] = part
+            before, other = current, test
+
+            def work():
+                part = make(before)
+                ready = part.apply(before)
+                return part, shared.held(ready) if shared else ready, other and part.apply(other)
+
+            part, current, test = work() if shared is None else shared.after(done, work).result()
             chain.parts.append(part)
-            current = part.apply(current)
 
         def trim():
             nonlocal stats
 
             def keep(d):
-                nonlocal stats
-                stats = column_stats(d, roles)
-                varying = set(by_variance(d, 0.0, roles, stats))
+                found = column_stats(d, roles)
+                varying = set(by_variance(d, 0.0, roles, found))
                 num = set(roles.numeric(d))
-                return Keep([c for c in roles.features(d) if c not in num or c in varying], roles)
+                return Keep([c for c in roles.features(d) if c not in num or c in varying], roles, found)
 
-            stats = None
             add("keep", keep)
+            stats = chain.parts[-1].stats
 
         imputer = None
         if "I" in given:
@@ -150,6 +201,8 @@ def fit_chain(
                 add(("FS", s.method), lambda d, s=s: Keep(select_features(d, s.method, roles=roles), roles))
         if not settled:
             trim()
+        if shared is not None:
+            chain.ready = (current, test)
         return chain
     finally:
         if keep_cached:

@@ -1,20 +1,20 @@
 """Choose a step sequence for a table from past results and a bounded number of trials.
 
 Similar data sets give candidate orders with default operators; all are scored once and the
-best few are searched further. Each round proposes a batch of untried operator lists per
-order, scores them as concurrent Spark jobs, and feeds the scores back. Finalists close to
-the best are compared by cross-validation. The driver only holds the trial log; random
-choices are hashes of (seed, order, round), so a rerun repeats the same trials.
+best few are searched further. The search log is a table in the shared folder: each round one
+query over it proposes untried operator lists for every order (``plans.proposals``), they are
+scored as concurrent Spark jobs over shared prefixes, and their rows are appended. Finalists
+close to the best are compared by cross-validation. Random choices are hashes of (seed, round,
+order, prefix), so a rerun repeats the same trials.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
-import math
+import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.operators import profile, split
@@ -22,16 +22,15 @@ from winnow.operators.metrics import classification_metrics
 from winnow.operators.models import fit_model, known_model
 from winnow.plans import knowledge as K
 from winnow.plans import ledger as L
+from winnow.plans import proposals
 from winnow.plans import trials as TR
 from winnow.plans.chain import fit_chain, steps_of
-from winnow.plans.evaluate import HoldOut, Trial, evaluate_cv, ledger_frame
+from winnow.plans.evaluate import HoldOut, Trial, cross_validate, ledger_frame
 from winnow.roles import ROLES, Roles
+from winnow.session import cut_lineage, shared_folder
 from winnow.sources import sinks
+from winnow.sources.tables import read_labelled_csv
 
-EXPLORE = 0.2
-PATIENCE = 50
-TEMPERATURE = 0.5
-SPREAD = 2.0
 SAMPLE_ABOVE = 10_000
 
 
@@ -44,89 +43,21 @@ class Choice:
     details: dict = field(default_factory=dict)
 
 
-def uniform(*key) -> float:
-    digest = hashlib.md5("|".join(map(str, key)).encode()).hexdigest()
-    return int(digest[:13], 16) / float(16**13)
-
-
-class OrderSearch:
-    """Trial log of one step order with what is needed to propose the next operators."""
-
-    def __init__(self, run_id: int, order: list[str], space: dict, edges: dict, seed: int):
-        self.run_id, self.order, self.seed = run_id, order, seed
-        self.slots = [list(space[s]) for s in order]
-        self.edges = dict(edges)
-        self.log: list[Trial] = []
-        self.stale = 0
-        self.best = float("-inf")
-        self.visits: dict[tuple, int] = {}
-        self.tops: dict[tuple, float] = {}
-
-    @property
-    def open(self) -> bool:
-        inside = sum(all(o in s for o, s in zip(ops, self.slots)) for ops in self.tried())
-        return self.stale < PATIENCE and inside < math.prod(len(s) for s in self.slots)
-
-    def tried(self) -> set:
-        return {tuple(o or "none" for o in t.ops) for t in self.log}
-
-    def record(self, trial: Trial) -> None:
-        ops = tuple(o or "none" for o in trial.ops)
-        if self.log:
-            gain = trial.score - self.best
-            for prev, nxt in zip((TR.START, *ops[:-1]), ops):
-                if prev != TR.START or gain > 0:
-                    self.edges[(prev, nxt)] = self.edges.get((prev, nxt), 0.0) + gain
-        for d in range(len(ops) + 1):
-            self.visits[ops[:d]] = self.visits.get(ops[:d], 0) + 1
-            self.tops[ops[:d]] = max(self.tops.get(ops[:d], 0.0), trial.score)
-        self.stale = 0 if trial.score > self.best else self.stale + 1
-        self.best = max(self.best, trial.score)
-        self.log.append(trial)
-
-    def propose(self, round_no: int, taken: set) -> list[str] | None:
-        """An operator list not tried yet: walk down by upper confidence while every choice
-        of a slot was visited, pick among the unvisited at the first slot where not, and
-        fill the rest by weight. Where 64 draws only hit tried lists, the first untried one;
-        None once every list is tried."""
-        for attempt in range(64):
-            path: list[str] = []
-            leaving = False
-            for depth, slot in enumerate(self.slots):
-                fresh = [o for o in slot if (*path, o) not in self.visits]
-                key = (self.seed, "_".join(self.order), round_no, attempt, depth)
-                if leaving:
-                    path.append(self._by_weight(slot, path, key))
-                elif fresh:
-                    leaving = True
-                    if uniform(*key, "explore") < EXPLORE:
-                        path.append(fresh[int(uniform(*key, "pick") * len(fresh))])
-                    else:
-                        path.append(self._by_weight(fresh, path, key))
-                elif attempt:
-                    path.append(slot[int(uniform(*key, "walk") * len(slot))])
-                else:
-                    path.append(max(slot, key=lambda o: self._confidence((*path, o))))
-            if tuple(path) not in taken:
-                return path
-        # at most len(taken) lists are passed over
-        return next((list(ops) for ops in itertools.product(*self.slots) if ops not in taken), None)
-
-    def _confidence(self, prefix: tuple) -> float:
-        n, up = self.visits[prefix], self.visits[prefix[:-1]]
-        return self.tops[prefix] + SPREAD * math.sqrt(math.log(up) / n)
-
-    def _by_weight(self, options: list[str], path: list[str], key: tuple) -> str:
-        prev = path[-1] if path else TR.START
-        raw = [self.edges.get((prev, o), 0.0) for o in options]
-        peak = max(raw)
-        weights = [math.exp((r - peak) / TEMPERATURE) for r in raw]
-        mark, run = uniform(*key, "weight") * sum(weights), 0.0
-        for o, w in zip(options, weights):
-            run += w
-            if run > mark:
-                return o
-        return options[-1]
+class SearchLog:
+    """The rows (run_id, iteration, step_order, ops, score, reason) of a search, as Parquet."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+
+    def add(self, trials: list[tuple[int, int, Trial]]) -> DataFrame:
+        """Append (run_id, iteration, trial) rows; returns the whole log."""
+        rows = [(run, i, "_".join(t.order), [o or "none" for o in t.ops], t.score, t.reason) for run, i, t in trials]
+        ledger_frame(self.spark, rows).coalesce(1).write.mode("append").parquet(self.path)
+        return self.table()
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
 
 def candidate_orders(
@@ -151,61 +82,43 @@ def select_sequence(
     train: DataFrame, kb: DataFrame, recorded: DataFrame, model: str = "LogisticRegression",
     metric: str = "accuracy", max_iter: int = 30, batch: int = 4, sample_rows: int = 5000,
     orders: int = 3, folds: int = 4, history: DataFrame | None = None, dataset: str | None = None,
-    roles: Roles = ROLES, seed: int = 0, workers: int = 4, sample_above: int = SAMPLE_ABOVE,
+    roles: Roles = ROLES, seed: int = 0, workers: int = 8, sample_above: int = SAMPLE_ABOVE,
 ) -> Choice:
-    """A table of more than ``sample_above`` rows is tried on ``sample_rows`` of them, drawn by hash."""
+    """A table of more than ``sample_above`` rows is tried (and its finalists cross-validated) on
+    ``sample_rows`` of them, drawn by hash."""
     spark = train.sparkSession
     known_model(model)
     pairs, details = candidate_orders(train, kb, recorded, roles, dataset)
     if not pairs:
         raise ValueError("no recorded sequence fits this table")
-    # trials run on a fixed-size sample of a large table, drawn by hash
-    data = train
     if train.count() > sample_above:
-        data = split.sample_fixed(train, sample_rows, seed, roles)
-    data = data.persist()
-    space = K.allowed(model)
+        train = split.sample_fixed(train, sample_rows, seed, roles)
+    # at most ``sample_above`` rows: one task each for the many small jobs of the trials
+    data = cut_lineage(train.coalesce(1)).persist()
+    log = SearchLog(spark)
     try:
-        with HoldOut(data, model, metric, roles, seed) as holdout:
+        with HoldOut(data, model, metric, roles, seed, bounded=True) as holdout:
             first = holdout.run_many(pairs, workers)
-            ranked = sorted(first, key=lambda t: -t.score)[:orders]
-            runs = []
-            for i, t in enumerate(ranked):
-                edges = {}
-                if history is not None:
-                    names = details["sources"].get(tuple(t.order), [])
-                    table = TR.transition_table(history, names, t.order, top_k=500)
-                    edges = {(r["prev"], r["next"]): r["score"] for r in table.collect()}
-                run = OrderSearch(i, t.order, space, edges, seed)
-                run.record(t)
-                runs.append(run)
-            round_no = 0
-            while any(r.open and len(r.log) < max_iter for r in runs):
+            best = sorted(first, key=lambda t: -t.score)[:orders]
+            ledger = log.add([(i, 1, t) for i, t in enumerate(best)])
+            lists = proposals.operator_lists(spark, [t.order for t in best], K.allowed(model)).persist()
+            edges = starting_edges(spark, history, [t.order for t in best], details["sources"])
+            done, round_no = {i: 1 for i in range(len(best))}, 0
+            while True:
                 round_no += 1
-                planned = []
-                for run in runs:
-                    taken = run.tried()
-                    for j in range(min(batch, max_iter - len(run.log)) if run.open else 0):
-                        ops = run.propose(round_no * 1000 + j, taken)
-                        if ops is None:
-                            run.stale = PATIENCE
-                            break
-                        taken.add(tuple(ops))
-                        planned.append((run, ops))
-                scored = holdout.run_many([(run.order, ops) for run, ops in planned], workers)
-                for (run, _), trial in zip(planned, scored):
-                    run.record(trial)
-        rows = [
-            (r.run_id, i + 1, "_".join(t.order), [o or "none" for o in t.ops], t.score, t.reason)
-            for r in runs
-            for i, t in enumerate(r.log)
-        ]
-        ledger = ledger_frame(spark, rows)
-        final = [
-            (r["step_order"].split("_"), list(r["ops"]))
-            for r in L.finalists(ledger).orderBy(F.desc("best_score"), "step_order", "ops").collect()
-        ]
-        checked = [evaluate_cv(data, o, p, model, folds, metric, roles, seed, workers) for o, p in final]
+                planned = proposals.next_lists(ledger, lists, edges, round_no, batch, max_iter, seed).orderBy("run_id", "place").collect()
+                if not planned:
+                    break
+                scored = holdout.run_many([(r["step_order"].split("_"), list(r["ops"])) for r in planned], workers)
+                rows = []
+                for r, trial in zip(planned, scored):
+                    done[r["run_id"]] += 1
+                    rows.append((r["run_id"], done[r["run_id"]], trial))
+                ledger = log.add(rows)
+            lists.unpersist()
+        finalists = L.finalists(ledger).orderBy(F.desc("best_score"), "step_order", "ops").collect()
+        final = [(r["step_order"].split("_"), list(r["ops"])) for r in finalists]
+        checked = cross_validate(data, final, model, folds, metric, roles, seed, workers, bounded=True)
         best = max(checked, key=lambda t: t.score)
     finally:
         data.unpersist()
@@ -214,14 +127,27 @@ def select_sequence(
     return Choice(best.order, best.ops, best.score, ledger, details)
 
 
+def starting_edges(spark: SparkSession, history: DataFrame | None, orders: list[list[str]], sources: dict) -> DataFrame:
+    """(run_id, prev, next, score): transitions of past trials for each order; none without history."""
+    schema = "run_id long, prev string, next string, score double"
+    out = spark.createDataFrame([], schema)
+    for i, order in enumerate(orders if history is not None else []):
+        table = TR.transition_table(history, sources.get(tuple(order), []), order, top_k=500)
+        out = out.unionByName(table.select(F.lit(i).cast("long").alias("run_id"), "prev", "next", F.col("score").cast("double").alias("score")))
+    return cut_lineage(out) if history is not None else out
+
+
 def run_report(
     df: DataFrame, kb: DataFrame, recorded: DataFrame, out_dir: str | None = None,
     model: str = "LogisticRegression", metric: str = "accuracy", roles: Roles = ROLES, fmt: str = "csv",
-    name: str = "dataset", **search,
+    name: str = "dataset", test_part: int = 5, split_seed: int | None = None, log_dir: str | None = None, **search,
 ) -> tuple[Choice, DataFrame]:
-    """Split 4:1, choose, refit on all train rows, predict the test rows, write and score."""
+    """Split (one part in ``test_part`` is held out), choose, refit on all train rows, predict the
+    test rows, write and score. Without ``out_dir`` nothing is written; the tables that runs share
+    (search log, global curve, records) go to ``log_dir``, or else to ``out_dir``."""
+    begin = time.time()
     spark = df.sparkSession
-    data = split.stratified_split(df, 5, roles=roles).persist()
+    data = split.stratified_split(df, test_part, split_seed, roles=roles).persist()
     try:
         train, test = split.divide(data)
         choice = select_sequence(train, kb, recorded, model, metric, roles=roles, **search)
@@ -234,11 +160,13 @@ def run_report(
             paths = sinks.write_prepared(ready_train, ready_test, out_dir, fmt)
             best = {"order": choice.order, "ops": choice.ops}
             sinks.write_record(spark, best, f"{out_dir}/best_sequence")
-            sinks.write_batch_result(metrics, f"{out_dir}/metrics")
-            sinks.append_ledger(
-                choice.ledger.withColumn("dataset", F.lit(name)).withColumn("model", F.lit(model)),
-                f"{out_dir}/search_log",
+            key, shared = {"dataset": name, "model": model}, log_dir or out_dir
+            sinks.write_batch_result(
+                metrics, f"{shared}/metrics", key, metric=metric, seconds=time.time() - begin,
+                best_sequence="_".join(choice.order) + ":" + ">".join(o or "none" for o in choice.ops), best_score=choice.score,
             )
+            sinks.write_keyed(choice.ledger, f"{shared}/search_log", key)
+            sinks.write_keyed(L.global_curve(choice.ledger), f"{shared}/global_curve", key)
             report = {
                 "dataset": name, "model": model, "metric": metric, "best": best, "search_score": choice.score,
                 "test_metrics": row, "similar": choice.details["similar"], "flags": choice.details["flags"],
@@ -248,3 +176,15 @@ def run_report(
         return choice, metrics
     finally:
         data.unpersist()
+
+
+def run_batch(
+    spark: SparkSession, files: dict[str, str], kb: DataFrame, recorded: DataFrame, out_dir: str, target: str | None = None, **options
+) -> DataFrame:
+    """One run for each labelled CSV file ({name: path}); the records of all runs. The search logs,
+    curves and records of all files share tables below ``out_dir``, one partition for each data
+    set and model, so a rerun replaces its rows; prepared tables and reports go to ``out_dir``/name."""
+    for name, path in files.items():
+        df, roles = read_labelled_csv(spark, path, target=target)
+        run_report(df, kb, recorded, f"{out_dir}/{name}", roles=roles, name=name, log_dir=out_dir, **options)
+    return spark.read.parquet(f"{out_dir}/metrics")

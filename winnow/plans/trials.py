@@ -139,17 +139,20 @@ def transition_update(
     alpha: float = 1.0,
     allow_start_negative: bool = False,
     allow_negative: bool = True,
+    by: tuple = (),
 ) -> DataFrame:
     """Add alpha * (score - best earlier score of the run) to every edge a trial used. The
-    first trial of a run has nothing to compare with and adds nothing."""
+    first trial of a run has nothing to compare with and adds nothing. ``by`` names columns of
+    both tables (the run) that keep tables of their own."""
     seen = running_max_before(ledger, ["run_id"], "iteration", F.col("score"), "_best")
-    gains = seen.where("_best is not null").select((F.col("score") - F.col("_best")).alias("d"), "ops")
-    used = gains.select("d", F.explode(edges(F.col("ops"))).alias("e")).select("d", "e.prev", "e.next")
+    gains = seen.where("_best is not null").select((F.col("score") - F.col("_best")).alias("d"), "ops", *by)
+    used = gains.select("d", *by, F.explode(edges(F.col("ops"))).alias("e")).select("d", *by, "e.prev", "e.next")
     start_ok = F.lit(True) if allow_start_negative else F.col("d") > 0
     rest_ok = F.lit(True) if allow_negative else F.col("d") > 0
     counted = used.where(F.when(F.col("prev") == START, start_ok).otherwise(rest_ok))
-    added = counted.groupBy("prev", "next").agg((F.lit(alpha) * F.sum("d")).alias("score"))
-    return base.select("prev", "next", "score").unionAll(added).groupBy("prev", "next").agg(F.sum("score").alias("score"))
+    added = counted.groupBy(*by, "prev", "next").agg((F.lit(alpha) * F.sum("d")).alias("score"))
+    both = base.select(*by, "prev", "next", "score").unionAll(added)
+    return both.groupBy(*by, "prev", "next").agg(F.sum("score").alias("score"))
 
 
 def choice_weights(scores: DataFrame, temperature: float | None = 0.5) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named by ``spark.checkpoint.dir``, or one
+    below the warehouse where none is set."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it back.
 
@@ -16,8 +23,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
