@@ -4,7 +4,7 @@ Every document becomes token ids and an end id; the ids of a source form a queue
 tokens in proportion to their targets (the sources' own totals by default) and pay for what they
 send: a source sends its next ``cell`` of tokens as soon as its deficit reaches half a cell, and
 what is still owed is carried into the next window. So up to any window a source with the share p
-of S sources has sent its target to within about (1 + S p) / 2 cells (a test holds it to that),
+of S sources has sent its target to within (3 + S p) / 2 cells (a test holds it to that and a token),
 and a source that has run out leaves its place to the others in their proportions. A document is cut wherever a window ends; nothing is padded but by the
 caller: what is left after the last full window goes into windows of powers of two.
 

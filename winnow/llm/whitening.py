@@ -3,8 +3,8 @@
 The centred rows A (n x d, never gathered) are made orthogonal by passes over the table: a pass
 sums the Gram matrix of Q = A / R, R being the product of the factors so far (a triangular solve
 per batch of rows); its Cholesky factor is the next factor. The first Gram matrix is shifted, so
-the factor exists however ill-conditioned A is; every pass then squares the distance of Q from
-orthogonal, and passes repeat until Q is orthogonal to rounding. R is d x d and small: its
+the factor exists however ill-conditioned A is; every pass then brings Q closer to
+orthogonal, and passes repeat until it is so to rounding. R is d x d and small: its
 singular values and right vectors are those of A, so the components have the accuracy of an SVD
 of A itself, not of its covariance.
 
