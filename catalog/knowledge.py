@@ -172,20 +172,22 @@ def sequence_config(spark, sf):
 MEASURES = (
     "n_instances", "n_features", "n_num_features", "n_cat_features", "missing_ratio", "feature_mean_skew",
     "feature_mean_kurtosis", "mean_feature_variance", "mean_feature_correlation", "target_num_classes", "target_entropy",
+    "mean_mutual_info", "max_mutual_info",
 )
 
 
 def measure_views(source: str, by: str, tag: str) -> str:
     """Views that end in <tag>_ms: one row of measures per data set."""
-    from catalog.profiles import CENTRED, NUM
+    from catalog.profiles import CENTRED, NUM, mutual_sql
 
     num = "num AS (" + " UNION ALL ".join(f"SELECT {by} || '|{c}' AS feature, {c} AS value FROM {source}" for c in NUM) + ")"
     text_ = num + "," + CENTRED + f", cors AS ({corr_sql(source, by)})"
     for n in ("num", "mid", "pow", "mom", "cors"):
         text_ = text_.replace(f"{n} AS (", f"{tag}_{n} AS (").replace(f"FROM {n} ", f"FROM {tag}_{n} ").replace(
             f"JOIN {n} ", f"JOIN {tag}_{n} ").replace(f"FROM {n})", f"FROM {tag}_{n})")
-    return text_ + f""", {tag}_ms AS (SELECT s.*, m.sk AS feature_mean_skew, m.ku AS feature_mean_kurtosis,
-      m.va AS mean_feature_variance, c.co AS mean_feature_correlation, e.target_num_classes, e.te AS target_entropy
+    return text_ + ", " + mutual_sql(source, by, tag) + f""", {tag}_ms AS (SELECT s.*, m.sk AS feature_mean_skew, m.ku AS feature_mean_kurtosis,
+      m.va AS mean_feature_variance, c.co AS mean_feature_correlation, e.target_num_classes, e.te AS target_entropy,
+      i.mean_mutual_info, i.max_mutual_info
     FROM (SELECT {by} AS dataset, count(*) AS n_instances, 7 AS n_features, 5 AS n_num_features,
                  2 AS n_cat_features, {MISSING} AS missing_ratio FROM {source} GROUP BY {by}) s
     JOIN (SELECT split_part(feature, '|', 1) AS dataset, avg(skew) AS sk, avg(kurt) AS ku, avg(v) AS va FROM {tag}_mom GROUP BY 1) m
@@ -193,7 +195,7 @@ def measure_views(source: str, by: str, tag: str) -> str:
     JOIN (SELECT {by} AS dataset, avg(r) AS co FROM {tag}_cors GROUP BY {by}) c ON s.dataset = c.dataset
     JOIN (SELECT {by} AS dataset, count(*) AS target_num_classes, {ENTROPY} AS te FROM (
             SELECT {by}, count(*) / sum(count(*)) OVER (PARTITION BY {by}) AS p FROM {source} GROUP BY {by}, label) w
-          GROUP BY {by}) e ON s.dataset = e.dataset)"""
+          GROUP BY {by}) e ON s.dataset = e.dataset JOIN {tag}_mi i ON s.dataset = i.dataset)"""
 
 
 def _near_sql(queries: str, leave_out: bool) -> str:
@@ -222,15 +224,15 @@ WHOLE = "whole AS (SELECT 'all' AS dataset, * FROM ds)"
 )
 def nearest_datasets(spark, sf):
     """The whole table against the 25 tables it is made of."""
-    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
-    me = profile.table_measures(view(spark, sf, "ds"), mutual_info=False).withColumn("dataset", F.lit("all"))
+    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
+    me = profile.table_measures(view(spark, sf, "ds")).withColumn("dataset", F.lit("all"))
     return rounded(K.nearest_datasets(kb, me))
 
 
 @query("nearest_datasets_leave_out", with_views(["kb"], _near_sql("kb_ms", True), measure_views("kb", "dataset", "kb")))
 def nearest_datasets_leave_out(spark, sf):
     """Every data set against all others."""
-    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
+    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
     return rounded(K.nearest_datasets(kb, kb))
 
 
@@ -247,8 +249,8 @@ def _renamed(df):
       WHOLE + ", " + measure_views("kb", "dataset", "kb") + ", " + measure_views("whole", "dataset", "all") + ", " + SEQ),
 )
 def recommend_sequences(spark, sf):
-    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
-    me = profile.table_measures(view(spark, sf, "ds"), mutual_info=False).withColumn("dataset", F.lit("all"))
+    kb = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
+    me = profile.table_measures(view(spark, sf, "ds")).withColumn("dataset", F.lit("all"))
     out = K.recommend(K.nearest_datasets(kb, me), _renamed(recorded(spark, sf)))
     return text(out)
 

@@ -55,6 +55,32 @@ def corr_sql(source: str, by: str = "") -> str:
     return " UNION ALL ".join(one)
 
 
+def mutual_sql(source: str, by: str, tag: str) -> str:
+    """Views that end in <tag>_mi: mean and largest binned mutual information of each data set."""
+    long = " UNION ALL ".join(
+        f"SELECT {by} AS dataset, label, '{c}' AS feature, coalesce({c}, 0.0) AS v FROM {source}" for c in NUM
+    )
+    return f"""{tag}_mv AS ({long}),
+{tag}_ml AS (SELECT dataset, feature, min(v) AS lo, max(v) AS hi FROM {tag}_mv GROUP BY dataset, feature),
+{tag}_mj AS (SELECT dataset, feature, bin, label, CAST(count(*) AS DOUBLE) AS nxy FROM (
+  SELECT f.dataset, f.feature, f.label, CASE WHEN l.hi > l.lo
+    THEN least(CAST(floor((f.v - l.lo) / (l.hi - l.lo) * 10) AS INT), 9) ELSE 0 END AS bin
+  FROM {tag}_mv f JOIN {tag}_ml l ON f.dataset = l.dataset AND f.feature = l.feature
+  WHERE f.label IS NOT NULL) b GROUP BY dataset, feature, bin, label),
+{tag}_mp AS (SELECT dataset, feature, nxy, sum(nxy) OVER (PARTITION BY dataset, feature, bin) AS nx,
+  sum(nxy) OVER (PARTITION BY dataset, feature, label) AS ny, sum(nxy) OVER (PARTITION BY dataset, feature) AS n FROM {tag}_mj),
+{tag}_mi AS (SELECT dataset, avg(mi) AS mean_mutual_info, max(mi) AS max_mutual_info FROM (
+  SELECT dataset, feature, sum(nxy / n * ln(nxy * n / (nx * ny))) AS mi FROM {tag}_mp GROUP BY dataset, feature) m
+  GROUP BY dataset)"""
+
+
+MUTUAL_OUT = f"{r('i.mean_mutual_info')} AS mean_mutual_info, {r('i.max_mutual_info')} AS max_mutual_info"
+SHARES = (
+    "missing_ratio", "feature_mean_skew", "feature_mean_kurtosis", "mean_feature_correlation", "target_entropy",
+    "mean_mutual_info", "max_mutual_info",
+)
+
+
 @query(
     "scan_dataset",
     with_views(["ds"], f"""SELECT row_id, {g('f_price')} AS f_price, {g('f_acctbal')} AS f_acctbal, f_month, f_tier,
@@ -129,19 +155,19 @@ def mf_target_entropy(spark, sf):
     "mf_all",
     with_views(["ds"], f"""SELECT s.*, {r('m.sk')} AS feature_mean_skew, {r('m.ku')} AS feature_mean_kurtosis,
       {g('m.va')} AS mean_feature_variance, {r('c.co')} AS mean_feature_correlation, e.target_num_classes,
-      {r('e.te')} AS target_entropy
+      {r('e.te')} AS target_entropy, {MUTUAL_OUT}
     FROM (SELECT count(*) AS n_instances, CAST(7 AS BIGINT) AS n_features, CAST(5 AS BIGINT) AS n_num_features,
                  CAST(2 AS BIGINT) AS n_cat_features, {r(MISSING)} AS missing_ratio FROM ds) s,
          (SELECT avg(skew) AS sk, avg(kurt) AS ku, avg(v) AS va FROM mom) m,
          (SELECT avg(r) AS co FROM cors) c,
          (SELECT count(*) AS target_num_classes, {ENTROPY} AS te
-          FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM ds GROUP BY label)) e""",
-    MOMENTS + f", cors AS ({corr_sql('ds')})"),
+          FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM ds GROUP BY label)) e, all_mi i""",
+    MOMENTS + f", cors AS ({corr_sql('ds')}), " + mutual_sql("ds", "'all'", "all")),
 )
 def mf_all(spark, sf):
-    out = profile.table_measures(view(spark, sf, "ds"), mutual_info=False)
+    out = profile.table_measures(view(spark, sf, "ds"))
     return rounded(out.withColumn("mean_feature_variance", sig("mean_feature_variance")),
-                   ["missing_ratio", "feature_mean_skew", "feature_mean_kurtosis", "mean_feature_correlation", "target_entropy"])
+                   list(SHARES))
 
 
 BY_MOMENTS = "num AS (" + " UNION ALL ".join(
@@ -153,7 +179,7 @@ BY_MOMENTS = "num AS (" + " UNION ALL ".join(
     "mf_by_dataset",
     with_views(["kb"], f"""SELECT s.dataset, s.n_instances, s.n_features, s.n_num_features, s.n_cat_features, s.missing_ratio,
       {r('m.sk')} AS feature_mean_skew, {r('m.ku')} AS feature_mean_kurtosis, {g('m.va')} AS mean_feature_variance,
-      {r('c.co')} AS mean_feature_correlation, e.target_num_classes, {r('e.te')} AS target_entropy
+      {r('c.co')} AS mean_feature_correlation, e.target_num_classes, {r('e.te')} AS target_entropy, {MUTUAL_OUT}
     FROM (SELECT dataset, count(*) AS n_instances, CAST(7 AS BIGINT) AS n_features, CAST(5 AS BIGINT) AS n_num_features,
                  CAST(2 AS BIGINT) AS n_cat_features, {r(MISSING)} AS missing_ratio FROM kb GROUP BY dataset) s
     JOIN (SELECT split_part(feature, '|', 1) AS dataset, avg(skew) AS sk, avg(kurt) AS ku, avg(v) AS va FROM mom GROUP BY 1) m
@@ -161,13 +187,13 @@ BY_MOMENTS = "num AS (" + " UNION ALL ".join(
     JOIN (SELECT dataset, avg(r) AS co FROM cors GROUP BY dataset) c ON s.dataset = c.dataset
     JOIN (SELECT dataset, count(*) AS target_num_classes, {ENTROPY} AS te FROM (
             SELECT dataset, count(*) / sum(count(*)) OVER (PARTITION BY dataset) AS p FROM kb GROUP BY dataset, label)
-          GROUP BY dataset) e ON s.dataset = e.dataset""",
-    BY_MOMENTS + f", cors AS ({corr_sql('kb', 'dataset')})"),
+          GROUP BY dataset) e ON s.dataset = e.dataset JOIN kb_mi i ON s.dataset = i.dataset""",
+    BY_MOMENTS + f", cors AS ({corr_sql('kb', 'dataset')}), " + mutual_sql("kb", "dataset", "kb")),
 )
 def mf_by_dataset(spark, sf):
-    out = profile.table_measures(view(spark, sf, "kb"), ["dataset"], mutual_info=False)
+    out = profile.table_measures(view(spark, sf, "kb"), ["dataset"])
     return rounded(out.withColumn("mean_feature_variance", sig("mean_feature_variance")),
-                   ["missing_ratio", "feature_mean_skew", "feature_mean_kurtosis", "mean_feature_correlation", "target_entropy"])
+                   list(SHARES))
 
 
 BINNED = LONG + """,

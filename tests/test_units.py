@@ -805,7 +805,9 @@ def test_registered_search_has_the_default_budget(monkeypatch):
     assert asked == [{"model": "DecisionTree"}] * 2
 
 
-def test_table_measures_have_mutual_information(spark):
+@pytest.mark.parametrize("cells", [profile.BROADCAST_CELLS, 0])
+def test_table_measures_have_mutual_information(spark, monkeypatch, cells):
+    monkeypatch.setattr(profile, "BROADCAST_CELLS", cells)  # 0: rows of a table dealt over salts
     rows = [(i, "a" if i % 3 else "b", float(i % 7) if i % 5 else None, float(i % 2), "xyz"[i % 2 + (i % 4 == 0)]) for i in range(60)]
     rows += [(100, None, 1.0, 2.0, "x"), (101, None, 5.0, 2.0, "y"), (102, "n", 1.0, 2.0, None)]
     df = spark.createDataFrame(rows, "row_id long, dataset string, f_p double, f_q double, label string")

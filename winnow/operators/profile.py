@@ -10,9 +10,11 @@ from winnow.functions import moments as M
 from winnow.functions.quantiles import exact_quantiles, grouped_quantiles
 from winnow.functions.ranks import join_null_safe
 from winnow.roles import ROLES, Roles, col
+from winnow.session import cut_lineage, shuffle_width
 
 PAIRWISE_LIMIT = 40
 BINS = 10
+BROADCAST_CELLS = 1_000_000
 
 
 # ---------------------------------------------------------------- table measures
@@ -206,6 +208,17 @@ def binned_mutual_information(df: DataFrame, roles: Roles = ROLES, bins: int = B
     return shares.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
+def _with_limits(df: DataFrame, limits: DataFrame, by: list[str], n_cols: int) -> DataFrame:
+    """Every row with the limits of its table. Up to ``BROADCAST_CELLS`` limits are broadcast;
+    beyond that the rows of a table are dealt over salts, so that a large one is many tasks."""
+    if limits.count() * n_cols <= BROADCAST_CELLS:
+        return join_null_safe(df, F.broadcast(limits), by)
+    salts = shuffle_width(df.sparkSession)
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(salts)).cast("int"))
+    copies = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return join_null_safe(dealt, copies, [*by, "_salt"]).drop("_salt")
+
+
 def grouped_mutual_information(df: DataFrame, by: list[str], roles: Roles = ROLES, bins: int = BINS) -> DataFrame:
     """(by..., feature, mutual_info): ``binned_mutual_information`` of every table of a grouping."""
     num = roles.numeric(df.drop(*by))
@@ -219,7 +232,7 @@ def grouped_mutual_information(df: DataFrame, by: list[str], roles: Roles = ROLE
         b = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins).cast("int"), F.lit(bins - 1))).otherwise(0)
         cells.append(F.struct(F.lit(c).alias("feature"), b.alias("bin")))
     labelled = df.where(col(roles.label).isNotNull())
-    long = join_null_safe(labelled, limits, by).select(
+    long = _with_limits(labelled, cut_lineage(limits), by, len(num)).select(
         *by, col(roles.label).alias("_l"), F.explode(F.array(*cells)).alias("_e")
     ).select(*by, "_l", "_e.feature", "_e.bin")
     joint = long.groupBy(*by, "feature", "bin", "_l").agg(F.count(F.lit(1)).cast("double").alias("nxy"))
