@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -500,7 +501,38 @@ def test_quality_weights_and_sample(docs, texts, labels):
     assert sum(r.keep for r in got) == round(share * len(got))
     r = next(r for r in got if texts[r.doc_id])
     bucket, _ = quality.grams([texts[r.doc_id]])
-    assert r.log_weight == pytest.approx(quality.EFFECTIVE * ratio[bucket].mean())
+    assert r.log_weight == pytest.approx(ratio[bucket].sum())
+    mean = quality.weigh(docs.where(F.col("doc_id") == r.doc_id), ratio, effective=50).first()
+    assert mean.log_weight == pytest.approx(50 * ratio[bucket].mean())
+
+
+def test_quality_equals_brute_force(spark):
+    """Counts, ratios, weights and kept rows, computed anew with dictionaries."""
+    rng = random.Random(4)
+    said = [" ".join(rng.choice("alpha beta gamma delta eps , .".split()) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int("alpha beta" in t)) for i, t in enumerate(said) if i % 2], "doc_id long, quality int")
+    noise = {r.doc_id: r.noisy - r.log_weight for r in quality.weigh(docs, np.zeros(quality.BUCKETS)).where("log_weight = 0").collect()}
+    got = {r.doc_id: r for r in quality.resample(docs, marks, keep=0.3).collect()}
+
+    split = [t.split() for t in said]
+    bags = [[(w,) for w in ws] + list(zip(ws, ws[1:])) for ws in split]
+    slot = {}  # the bucket of an n-gram is the operator's own hash; everything else is counted here
+    for bag in bags:
+        for g in bag:
+            slot.setdefault(g, int(quality.grams([" ".join(g)])[0][-1]))
+    raw, target = Counter(), Counter()
+    for i, bag in enumerate(bags):
+        raw.update(slot[g] for g in bag)
+        if i % 2 and "alpha beta" in said[i]:
+            target.update(slot[g] for g in bag)
+    p = lambda c, b: (c[b] + 1) / (sum(c.values()) + quality.BUCKETS)
+    ratio = {b: math.log(p(target, b) / p(raw, b)) for b in raw}
+    weight = {i: sum(ratio[slot[g]] for g in bag) if bag else quality.LOWEST for i, bag in enumerate(bags)}
+    for i, w in weight.items():
+        assert got[i].log_weight == pytest.approx(w, abs=1e-9)
+    order = sorted(weight, key=lambda i: (-(weight[i] + noise.get(i, 0.0)), i))
+    assert {i for i in got if got[i].keep} == set(order[: round(0.3 * len(said))])
 
 
 def test_quality_kth_and_awkward(spark, awkward, nothing, labels):

@@ -2,10 +2,10 @@
 
 Tokens are runs of word characters and runs of other visible ones; unigrams and bigrams are
 hashed to ``BUCKETS`` counters. The raw model counts every text of the corpus, the target model
-the labelled good ones. A document's weight is the mean log ratio of the two models over its
-n-grams, as if it had ``EFFECTIVE`` of them, so that long and short texts compete alike. Adding
-Gumbel noise (a hash of doc_id) and keeping the k largest samples k documents without
-replacement in proportion to exp(weight).
+the labelled good ones. A document's weight is the log of p_target(text) / p_raw(text): the sum of
+the log ratios of its n-grams. Adding Gumbel noise (a hash of doc_id) and keeping the k largest
+samples k documents without replacement in proportion to that ratio. ``effective`` replaces the
+sum by the mean times that number, for callers who want long and short texts to compete alike.
 
 The target model is fitted on at most about ``SAMPLE`` labelled rows of quality 1,
 chosen by a hash of doc_id; k is ``keep`` of all rows, by default the share of such rows among
@@ -27,11 +27,10 @@ from winnow.llm.common import cut, in_chunks, map_texts
 from winnow.llm.words import SPACE, WORD, U, constants, hash_spans, mix, to_bytes
 
 BUCKETS = 10_000
-EFFECTIVE = 50
 #: Labelled rows used for the target model, at most about this many.
 SAMPLE = 20_000
-#: The weight of a text without n-grams.
-LOWEST = -1e9
+#: The weight of a text without n-grams, below any sum of log ratios.
+LOWEST = -1e15
 
 _CLASS = np.where(WORD, 1, np.where(SPACE, 0, 2)).astype(np.int8)
 
@@ -92,15 +91,18 @@ def log_ratios(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return ratio, good / n
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", seed: int = 9) -> DataFrame:
+def weigh(
+    docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", seed: int = 9, effective: int | None = None
+) -> DataFrame:
     """(doc_id, log_weight, noisy): the importance weight and that plus Gumbel noise."""
 
     def fn(texts, batch):
         bucket, doc = grams(texts)
         n = np.bincount(doc, minlength=len(texts))
         total = np.bincount(doc, weights=ratio[bucket], minlength=len(texts))
-        weight = np.where(n > 0, EFFECTIVE * total / np.maximum(n, 1), LOWEST)
-        return [batch.column(0), pa.array(weight)]
+        if effective is not None:
+            total = effective * total / np.maximum(n, 1)
+        return [batch.column(0), pa.array(np.where(n > 0, total, LOWEST))]
 
     kind = dict(docs.dtypes)[key]
     weights = map_texts(docs.select(key, text), text, fn, f"{key} {kind}, log_weight double")
@@ -126,10 +128,13 @@ def kth_largest(df: DataFrame, column: str, key: str, k: int, bins: int = 1024)
             want -= counts[b]
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: float | None = None, seed: int = 9) -> DataFrame:
+def resample(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: float | None = None, seed: int = 9,
+    effective: int | None = None,
+) -> DataFrame:
     """(doc_id, log_weight, keep) for every row of ``docs``; ``keep`` marks the sample."""
     ratio, share = log_ratios(docs, labels, key, text)
-    weighed = cut(weigh(docs, ratio, key, text, seed))
+    weighed = cut(weigh(docs, ratio, key, text, seed, effective))
     k = round((share if keep is None else keep) * weighed.count())
     if not k:
         return weighed.select(key, "log_weight", F.lit(False).alias("keep"))
