@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,35 @@ def test_wide_correlation_equals_pairwise(spark):
     assert profile.mean_abs_correlation_wide(df, list("abcdef"), block=2) == pytest.approx(narrow, rel=1e-9)
 
 
+@pytest.mark.parametrize("cells", [profile.BROADCAST_CELLS, 0])
+def test_wide_measures_by_table_equal_narrow(spark, monkeypatch, cells):
+    """45 columns in three tables, one of them without a name, against every pair by itself."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 45)) + 1e6 * (np.arange(240) % 3)[:, None]
+    x[:, 7] = x[:, 2] + rng.normal(size=240) * 0.1
+    x[np.arange(240) % 3 == 1, 9] = 0.1
+    names = [f"f{i}" for i in range(45)]
+    rows = [
+        [k, [None, "a", "b"][k % 3], "xyz"[k % 2], *[None if rng.random() < 0.1 and j > 5 else float(v) for j, v in enumerate(r)]]
+        for k, r in enumerate(x)
+    ]
+    df = frame(spark, rows, "row_id long, dataset string, label string, " + ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(profile, "BROADCAST_CELLS", cells)
+    got = {r.dataset: r for r in profile.table_measures(df, ["dataset"]).collect()}
+    assert set(got) == {None, "a", "b"}
+    for name in got:
+        part = pd.DataFrame([r[3:] for r in rows if r[1] == name], columns=names).astype(float)
+        r = part.corr().abs().to_numpy()[np.triu_indices(45, 1)]
+        varies = [part[b].notna().any() and part.loc[part[b].notna(), a].nunique() > 1 and part.loc[part[a].notna(), b].nunique() > 1
+                  for i, a in enumerate(names) for b in names[i + 1:]]
+        assert got[name].mean_feature_correlation == pytest.approx(r[varies].mean(), rel=1e-9)
+        assert got[name].n_num_features == 45 and got[name].max_mutual_info is not None
+    few = profile.grouped_correlation(df, ["dataset"], names[:7], block=3)
+    for r in few.collect():
+        want = df.where(F.col("dataset").eqNullSafe(r.dataset)).agg(profile.mean_abs_correlation(names[:7])).first()[0]
+        assert r.mean_feature_correlation == pytest.approx(want, rel=1e-6)
+
+
 def test_gram_of_wide_table_equals_narrow(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 50))
@@ -109,6 +139,12 @@ def test_gram_of_wide_table_equals_narrow(spark):
     n, s, g = M.gram(frame(spark, x.tolist(), ", ".join(f"{c} double" for c in names)), names)
     assert n == 60
     assert np.allclose(s, x.sum(axis=0)) and np.allclose(g, x.T @ x)
+    rows = [[None if (i + j) % 9 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(x)]
+    holes = frame(spark, rows, ", ".join(f"{c} double" for c in names))
+    y = np.where((np.arange(60)[:, None] + np.arange(50)) % 9 == 0, 0.0, x)
+    for k in (50, 10):  # one null rule on both routes
+        n, s, g = M.gram(holes, names[:k])
+        assert n == 60 and np.allclose(s, y[:, :k].sum(axis=0)) and np.allclose(g, y[:, :k].T @ y[:, :k])
 
 
 # ---------------------------------------------------------------- ranks

@@ -79,7 +79,8 @@ def gram(df: DataFrame, cols: list[str]) -> tuple[float, np.ndarray, np.ndarray]
     """(n, column sums, X'X) over the rows given; the driver receives d + d*d numbers.
 
     Up to ``WIDE_LIMIT`` columns it is one aggregate of generated sums with map-side
-    partials; wider tables use RowMatrix, which tree-aggregates packed matrices.
+    partials; wider tables use RowMatrix, which tree-aggregates packed matrices. A null counts
+    as 0 either way, which is the mean where the values were centred first.
     """
     d = len(cols)
     if d <= WIDE_LIMIT:
@@ -96,7 +97,8 @@ def gram(df: DataFrame, cols: list[str]) -> tuple[float, np.ndarray, np.ndarray]
             for j in range(i, d):
                 g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
         return n, s, g
-    return gram_of_array(df.select(F.array(*[col(c) for c in cols]).alias("_a")), "_a")
+    filled = F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in cols])
+    return gram_of_array(df.select(filled.alias("_a")), "_a")
 
 
 def gram_of_array(df: DataFrame, name: str) -> tuple[float, np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,40 +61,70 @@ def mean_abs_correlation(cols: list[str]) -> Column:
 
 
 def mean_abs_correlation_wide(df: DataFrame, cols: list[str], block: int = 400) -> float | None:
-    """The same measure for very many columns, pairwise complete, two column blocks at a
-    time: the cross products of (present, value, value^2) give every pair's moments, and
-    only one block pair's matrix is on the driver at once."""
-    first = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    shift = {c: first[f"m{i}"] or 0.0 for i, c in enumerate(cols)}
-    groups = [cols[i : i + block] for i in range(0, len(cols), block)]
-    total, n_pairs = 0.0, 0
-    for gi, left in enumerate(groups):
-        for right in groups[gi:]:
-            names = left if right is left else left + right
-            d = len(names)
-            x = {c: col(c) - float(shift[c]) for c in names}
-            parts = (
-                [col(c).isNotNull().cast("double").alias(f"p{i}") for i, c in enumerate(names)]
-                + [F.coalesce(x[c], F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)]
-                + [F.coalesce(x[c] * x[c], F.lit(0.0)).alias(f"y{i}") for i, c in enumerate(names)]
-            )
-            wide = df.select(*parts)
-            _, _, g = M.gram(wide, wide.columns)
-            n, sx, sxx, sxy = g[:d, :d], g[d : 2 * d, :d], g[2 * d :, :d], g[d : 2 * d, d : 2 * d]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cov = sxy / n - (sx / n) * (sx.T / n)
-                var = sxx / n - (sx / n) ** 2
-                flat = var <= 1e-12 * np.maximum(sxx / n, 1e-300)
-                r = np.abs(cov) / np.sqrt(var * var.T)
-            ok = np.isfinite(r) & ~flat & ~flat.T & (n > 0)
-            if right is left:
-                ok &= np.triu(np.ones((d, d), dtype=bool), 1)
-            else:
-                ok[:, : len(left)] = False
-                ok[len(left) :, :] = False
-            total += float(r[ok].sum())
-            n_pairs += int(ok.sum())
-    return total / n_pairs if n_pairs else None
+    """The same measure for very many columns."""
+    return grouped_correlation(df.withColumn("_t", F.lit(0)), ["_t"], cols, block).first()["mean_feature_correlation"]
+
+
+def _pair_sums(x: np.ndarray, left: slice, right: slice) -> list[np.ndarray]:
+    """Matrices over (left, right) column pairs, of the rows where both are present: count, sums,
+    squares and products, and the range of either side. ``x`` holds NaN for a missing value."""
+    here = ~np.isnan(x)
+    z = np.where(here, x, 0.0)
+    a, b, pa, pb = z[:, left], z[:, right], here[:, left].astype(float), here[:, right].astype(float)
+
+    def limits(values: slice, partner: slice) -> tuple[np.ndarray, np.ndarray]:
+        # columns that miss the same rows share one range
+        masks, which = np.unique(here[:, partner], axis=1, return_inverse=True)
+        held = [np.where(m[:, None] & here[:, values], x[:, values], np.nan) for m in masks.T]
+        low = np.stack([np.fmin.reduce(h, axis=0) for h in held])
+        high = np.stack([np.fmax.reduce(h, axis=0) for h in held])
+        return low[which.ravel()].T, high[which.ravel()].T
+
+    (lo, hi), (lo2, hi2) = limits(left, right), limits(right, left)
+    return [pa.T @ pb, a.T @ pb, pa.T @ b, (a * a).T @ pb, pa.T @ (b * b), a.T @ b, lo, hi, lo2.T, hi2.T]
+
+
+def grouped_correlation(df: DataFrame, by: list[str], cols: list[str], block: int = 400) -> DataFrame:
+    """(by..., mean_feature_correlation): ``mean_abs_correlation`` of every table of a grouping, for
+    any number of columns.
+
+    Values are moved by the means of their table, so that large offsets do not cancel. Each batch
+    of rows adds up the products of two column blocks at a time; the rows that leave a task are one
+    for each table of a batch and column pair, summed on the map side before the shuffle. Rows are
+    sorted by table inside a partition, which moves nothing and keeps the tables of a batch few.
+    A pair counts where both columns vary over the rows that have both, judged on the range.
+    """
+    key = F.to_json(F.struct(*[col(c) for c in by]), {"ignoreNullFields": "false"})
+    tables = cut_lineage(df.groupBy(*by).agg(F.array(*[F.avg(col(c)) for c in cols]).alias("_m")).withColumn("_k", key))
+    values = F.array(*[col(c).cast("double") for c in cols])
+    moved = _with_limits(df.select(*by, values.alias("_x")), tables, by, len(cols)).select(
+        "_k", F.zip_with("_x", "_m", lambda v, m: v - m).alias("_x")
+    )
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy", "lx", "hx", "ly", "hy"]
+    d = len(cols)
+    blocks = [slice(i, min(i + block, d)) for i in range(0, d, block)]
+
+    def sums(batches):
+        for batch in batches:
+            for table, rows in batch.groupby("_k", sort=False):
+                x = np.array(rows["_x"].tolist(), dtype=float)
+                for at, left in enumerate(blocks):
+                    for right in blocks[at:]:
+                        i, j = np.meshgrid(np.arange(left.start, left.stop), np.arange(right.start, right.stop), indexing="ij")
+                        pick = (i < j).ravel()
+                        parts = {c: m.ravel()[pick] for c, m in zip(names, _pair_sums(x, left, right))}
+                        yield pd.DataFrame({"_k": table, "i": i.ravel()[pick], "j": j.ravel()[pick], **parts})
+
+    schema = "_k string, i int, j int, " + ", ".join(f"{c} double" for c in names)
+    partial = moved.sortWithinPartitions("_k").mapInPandas(sums, schema)
+    least = [F.min(F.nanvl(c, F.lit(None))).alias(c) for c in ("lx", "ly")]
+    most = [F.max(F.nanvl(c, F.lit(None))).alias(c) for c in ("hx", "hy")]
+    pair = partial.groupBy("_k", "i", "j").agg(*[F.sum(c).alias(c) for c in names[:6]], *least, *most)
+    cov = F.expr("sxy - sx * sy / nullif(n, 0)")
+    spread = F.expr("sqrt((sxx - sx * sx / nullif(n, 0)) * (syy - sy * sy / nullif(n, 0)))")
+    r = F.when(F.expr("hx > lx AND hy > ly"), F.abs(cov) / F.nullif(spread, F.lit(0.0)))
+    mean = pair.select("_k", r.alias("r")).groupBy("_k").agg(F.avg("r").alias("mean_feature_correlation"))
+    return tables.select(*by, "_k").join(mean, "_k", "left").drop("_k")
 
 
 def class_counts(df: DataFrame, by: list[str], roles: Roles = ROLES) -> DataFrame:
@@ -131,12 +162,9 @@ def table_measures(
     feats = df.drop(*by)
     num = roles.numeric(feats)
     wide = len(num) > PAIRWISE_LIMIT
-    if wide and by != ["_t"]:
-        raise ValueError("grouped measures support up to %d numeric columns" % PAIRWISE_LIMIT)
     base = df.groupBy(*by).agg(*_table_aggs(feats, roles, with_correlation=not wide))
     if wide:
-        r = mean_abs_correlation_wide(feats, num)
-        base = base.withColumn("mean_feature_correlation", F.lit(r).cast("double"))
+        base = join_null_safe(base, grouped_correlation(df, by, num), by, "left")
     out = join_null_safe(base, target_measures(df, by, roles), by, "left")
     if not mutual_info:
         return out
