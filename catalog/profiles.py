@@ -196,6 +196,32 @@ def mf_by_dataset(spark, sf):
                    list(SHARES))
 
 
+# 44 numeric columns, more than are compared by an aggregate for each pair
+WIDE = [f"w{k}" for k in range(42)]
+WIDE_KB = "SELECT row_id, dataset, label, f_price, f_acctbal, " + ", ".join(
+    f"CASE WHEN row_id % {50 + k} <> 0 THEN CAST((row_id * {k + 3}) % {97 + k} AS DOUBLE) END AS {c}" for k, c in enumerate(WIDE)
+) + " FROM kb"
+
+
+WIDE_LONG = f"wide AS MATERIALIZED ({WIDE_KB}), cells AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT row_id, dataset, {k} AS k, {c} AS v FROM wide WHERE {c} IS NOT NULL" for k, c in enumerate(["f_price", "f_acctbal", *WIDE])
+) + """), paired AS (
+  SELECT a.dataset, CASE WHEN min(a.v) < max(a.v) AND min(b.v) < max(b.v) THEN abs(corr(a.v, b.v)) END AS r
+  FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.k < b.k GROUP BY a.dataset, a.k, b.k)"""
+
+
+@query(
+    "mf_wide_by_dataset",
+    with_views(["kb"], f"""SELECT s.dataset, s.n_instances, CAST(44 AS BIGINT) AS n_num_features, {r('c.co')} AS mean_feature_correlation
+    FROM (SELECT dataset, count(*) AS n_instances FROM wide GROUP BY dataset) s
+    JOIN (SELECT dataset, avg(r) AS co FROM paired GROUP BY dataset) c ON s.dataset = c.dataset""", WIDE_LONG),
+)
+def mf_wide_by_dataset(spark, sf):
+    view(spark, sf, "kb").createOrReplaceTempView("kb")
+    out = profile.table_measures(spark.sql(WIDE_KB), ["dataset"], mutual_info=False)
+    return rounded(out.select("dataset", "n_instances", "n_num_features", "mean_feature_correlation"))
+
+
 BINNED = LONG + """,
 filled AS (SELECT feature, label, coalesce(value, 0.0) AS v FROM num),
 lim AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM filled GROUP BY feature),
