@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions import moments as M
-from winnow.functions.constants import constant_array, sql_value
+from winnow.functions.constants import sql_value
+from winnow.operators import landmarks, linear
 from winnow.roles import ROLES, Roles, col, ident
 
 # Spellings accepted for the kernel projection.
@@ -19,7 +20,6 @@ METHODS = (
     "pca", "IncrementalPCA", "TruncatedSVD", "kernelPCA", "lda",
     "polynomial", "InteractionFeatures", "RandomTrees",
 )
-KERNEL_FEATURES = 64
 TREES = 100
 TREE_DEPTH = 5
 
@@ -31,7 +31,7 @@ class FeatureMap:
     roles: Roles = ROLES
     centre: np.ndarray | None = None
     weights: np.ndarray | None = None
-    wave: tuple | None = None
+    land: landmarks.Landmarks | None = None
     terms: list[tuple[str, ...]] = field(default_factory=list)
     trees: object | None = None
     leaves: object | None = None
@@ -47,9 +47,10 @@ class FeatureMap:
         if self.method in ("polynomial", "InteractionFeatures"):
             new = [F.expr(" * ".join(map(ident, t))).alias(str(i)) for i, t in enumerate(self.terms)]
             return self._shape(df, new)
-        if self.wave is not None:
-            df = df.withColumn("_w", waves(self.columns, *self.wave))
-            return self._shape(df, [self._turned(k).alias(str(k)) for k in range(self.weights.shape[1])])
+        if self.land is not None:
+            x = F.array(*[col(c).cast("double") for c in self.columns])
+            turned = self.land.linear(x, self.weights, -(self.centre @ self.weights))
+            return self._shape(df, [F.get(turned, F.lit(k)).alias(str(k)) for k in range(self.weights.shape[1])])
         new = []
         for k in range(self.weights.shape[1]):
             parts = [
@@ -59,13 +60,9 @@ class FeatureMap:
             new.append(F.expr(" + ".join(["0D", *parts])).alias(str(k)))
         return self._shape(df, new)
 
-    def _turned(self, k: int) -> Column:
-        v = self.weights[:, k]
-        return dot(F.col("_w"), F.array(*[F.lit(float(x)) for x in v])) - F.lit(float(self.centre @ v))
-
     def _shape(self, df: DataFrame, new: list[Column]) -> DataFrame:
         r = self.roles
-        kept = [c for c in r.features(df) if c not in self.columns and c != "_w"]
+        kept = [c for c in r.features(df) if c not in self.columns]
         return df.select(*r.ids(df), *new, *[col(c) for c in kept], *r.labels(df))
 
     def _leaves(self, df: DataFrame) -> DataFrame:
@@ -86,25 +83,10 @@ def assembled(df: DataFrame, cols: list[str], out: str) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df)
 
 
-def waves(cols: list[str], w: np.ndarray, b: np.ndarray) -> Column:
-    """Random cosine features sqrt(2/D)*cos(w.x + b) as one array: their inner product
-    approximates the radial kernel, so nothing of size n x n is formed."""
-    scale = float(np.sqrt(2.0 / w.shape[1]))
-    rows = [([float(v) for v in w[:, k]], float(b[k])) for k in range(w.shape[1])]
-    table = constant_array(rows, "w array<double>, b double")
-    x = F.array(*[col(c) for c in cols])
-    return F.transform(table, lambda g: F.cos(dot(x, g["w"]) + g["b"]) * scale)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
 
 
-def draw_waves(d: int, gamma: float, size: int = KERNEL_FEATURES, seed: int = 0):
-    rng = np.random.default_rng(seed)
-    return rng.normal(scale=np.sqrt(2.0 * gamma), size=(d, size)), rng.uniform(0, 2 * np.pi, size)
-
-
 def fix_signs(v: np.ndarray) -> np.ndarray:
     """Make the entry of largest size in each column positive."""
     top = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
@@ -190,8 +172,11 @@ def _discriminant(df: DataFrame, cols: list[str], k: int, roles: Roles) -> tuple
 
 
 def fit_features(
-    df: DataFrame, method: str = "pca", n_components: int = 2, roles: Roles = ROLES, seed: int = 0
+    df: DataFrame, method: str = "pca", n_components: int = 2, roles: Roles = ROLES, seed: int = 0,
+    kernel_error: float = landmarks.ERROR, kernel_features: int = landmarks.LIMIT,
 ) -> FeatureMap:
+    """The kernel projection uses landmark rows, as many as leave out at most ``kernel_error`` of
+    k(x, x) on average, ``kernel_features`` at most; ``land.error`` is the part measured."""
     method = ALIASES.get(method, method)
     cols = roles.numeric(df)
     if not cols:
@@ -207,9 +192,7 @@ def fit_features(
         _, _, g = M.gram(df, cols)
         out.centre, out.weights = np.zeros(d), top_eigen(g, min(n_components, d))
     elif method == "kernelPCA":
-        out.wave = draw_waves(d, 1.0 / d, seed=seed)
-        n, s, g = M.gram_of_array(df.select(waves(cols, *out.wave).alias("_w")), "_w")
-        out.centre, out.weights = s / n, top_eigen(M.covariance(n, s, g), min(n_components, d))
+        _kernel_projection(df, out, n_components, kernel_error, kernel_features, seed)
     elif method == "lda":
         out.centre, out.weights = _discriminant(df, cols, n_components, roles)
     elif method in ("polynomial", "InteractionFeatures"):
@@ -221,6 +204,22 @@ def fit_features(
     return out
 
 
+def _kernel_projection(df: DataFrame, out: FeatureMap, k: int, error: float, size: int, seed: int) -> None:
+    """Principal directions of the centred landmark features: those of the centred kernel matrix
+    restricted to the landmarks' span."""
+    x = F.array(*[col(c).cast("double") for c in out.columns])
+    rows = df.select(x.alias("_x"), F.lit(0).alias("_y")).persist()
+    try:
+        out.land = landmarks.choose(rows, "_x", 1.0 / len(out.columns), error, size, seed)
+        blocks = linear.pack(rows, "_x", "_y")
+        m = linear.second_moments(blocks, len(out.columns), out.land.basis)
+    finally:
+        rows.unpersist()
+    n, s = m[-1, -1], m[-1, :-1]
+    out.centre = s / n
+    out.weights = top_eigen(M.covariance(n, s, m[:-1, :-1]), min(k, out.land.size))
+
+
 def _fit_trees(df: DataFrame, out: FeatureMap, seed: int) -> None:
     """Random trees grown on a keyed random target, one random column per split; each row
     becomes the sparse one-hot vector of the leaves it falls in."""

@@ -5,21 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-)
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.operators import knn
-from winnow.operators.features import KERNEL_FEATURES, assembled, draw_waves, waves
+from winnow.functions.constants import constant_array
+from winnow.operators import knn, landmarks, linear
+from winnow.operators.features import assembled, dot
 from winnow.roles import ROLES, Roles, col, ident
 
 MODELS = ("KNN", "LogisticRegression", "DecisionTree", "SVM")
+# The SVM's hinge with its corner rounded, and how far each fit goes.
+CORNERS = ((1.0, 1e-2), (0.2, 1e-2), (0.05, 1e-4))
 
 
 def known_model(name: str) -> str:
@@ -40,7 +39,8 @@ class Fitted:
     model: object = None
     classes: list[str] | None = None
     train: DataFrame | None = None
-    wave: tuple | None = None
+    solved: linear.Solved | None = None
+    land: landmarks.Landmarks | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         r = self.roles
@@ -53,25 +53,45 @@ class Fitted:
         )
         if self.name == "KNN":
             return knn.classify(self.train, df, self.columns, 5, r)
-        scored = self.model.transform(_vector(df, self.columns, self.wave))
-        back = IndexToString(inputCol="_pred", outputCol="prediction", labels=self.classes)
-        return back.transform(scored).select(*r.ids(df), *r.labels(df), "prediction")
-
+        ready = assembled(df, self.columns, "_vec")
+        if self.name == "DecisionTree":
+            back = IndexToString(inputCol="_pred", outputCol="prediction", labels=self.classes)
+            return back.transform(self.model.transform(ready)).select(*r.ids(df), *r.labels(df), "prediction")
+        scored = ready.withColumn("_x", vector_to_array("_vec")).withColumn("_s", self._scores())
+        best = F.array_position("_s", F.array_max("_s")) - 1
+        names = F.array(*[F.lit(c) for c in self.classes])
+        return scored.select(*r.ids(df), *r.labels(df), F.get(names, best.cast("int")).alias("prediction"))
+
+    def _scores(self):
+        """One number per class; the largest wins, and of equal ones the first class."""
+        w, b = self.solved.weights, self.solved.offsets
+        if self.land is not None:
+            signs = linear.one_against_one(len(self.classes))
+            return self.land.linear(F.col("_x"), w.T, b, lambda d: votes(d, signs))
+        if len(self.classes) == 2:
+            w, b = np.vstack([np.zeros_like(w), w]), np.append(0.0, b)
+        rows = [([float(v) for v in w[k]], float(b[k])) for k in range(len(w))]
+        return F.transform(
+            constant_array(rows, "w array<double>, b double"), lambda g: dot(F.col("_x"), g["w"]) + g["b"]
+        )
 
-def _vector(df: DataFrame, cols: list[str], wave: tuple | None) -> DataFrame:
-    if wave is None:
-        return assembled(df, cols, "_vec")
-    from pyspark.ml.functions import array_to_vector
 
-    return df.withColumn("_vec", array_to_vector(waves(cols, *wave)))
+def votes(decisions: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Votes for each class from the decisions of the problems between pairs."""
+    won = (decisions > 0).astype(np.float64)
+    return won @ (signs > 0).T + (1.0 - won) @ (signs < 0).T
 
 
 def fit_model(
     df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0, max_depth: int = 20, max_bins: int = 64,
-    kernel_features: int = KERNEL_FEATURES,
+    kernel_features: int = landmarks.LIMIT, kernel_error: float = landmarks.ERROR, cost: float = 1.0,
+    offset_ridge: float | None = None,
 ) -> Fitted:
-    """``max_depth`` and ``max_bins`` bound the tree, ``kernel_features`` the features that stand for
-    the radial kernel of the SVM: more are closer to the exact model and cost more."""
+    """``max_depth`` and ``max_bins`` bound the tree. The SVM's radial kernel is replaced by its
+    restriction to landmark rows, as many as leave out at most ``kernel_error`` of k(x, x) on
+    average, ``kernel_features`` at most. ``cost`` weighs the rows' losses against the weights' size;
+    ``offset_ridge`` is the penalty on the offset (by default 1 for the logistic regression, 0 for
+    the SVM)."""
     known_model(name)
     cols = inputs_of(df, roles)
     if not cols:
@@ -82,45 +102,56 @@ def fit_model(
             raise ValueError("the neighbour model needs scalar columns")
         return Fitted(name, cols, roles, train=df)
     out = Fitted(name, cols, roles)
-    if name == "SVM":
-        out.wave = _kernel_waves(df, cols, seed, kernel_features)
     # cached before anything is counted, so that the preparation runs once
-    ready = _vector(df, cols, out.wave).select("_vec", col(roles.label).cast("string").alias("_label")).persist()
+    ready = assembled(df, cols, "_vec").select("_vec", col(roles.label).cast("string").alias("_label")).persist()
     try:
         indexer = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(ready)
         out.classes = list(indexer.labelsArray[0])
-        if len(out.classes) > 1:
-            out.model = _fitted(indexer.transform(ready).select("_vec", "_y"), name, len(out.classes), max_depth, max_bins)
+        coded = indexer.transform(ready)
+        if len(out.classes) < 2:
+            return out
+        if name == "DecisionTree":
+            tree = DecisionTreeClassifier(
+                featuresCol="_vec", labelCol="_y", predictionCol="_pred", maxDepth=max_depth, maxBins=max_bins,
+                maxMemoryInMB=1024, seed=42,
+            )
+            out.model = tree.fit(coded.select("_vec", "_y"))
+        else:
+            _linear(coded.select(vector_to_array("_vec").alias("_x"), "_y"), out, seed, kernel_features,
+                    kernel_error, cost, offset_ridge)
     finally:
         ready.unpersist()
     return out
 
 
-def _fitted(data: DataFrame, name: str, n_classes: int, max_depth: int, max_bins: int):
-    common = dict(featuresCol="_vec", labelCol="_y", predictionCol="_pred")
-    if name == "DecisionTree":
-        est = DecisionTreeClassifier(maxDepth=max_depth, maxBins=max_bins, maxMemoryInMB=1024, seed=42, **common)
-    elif name == "LogisticRegression":
-        n = max(data.count(), 1)
-        est = LogisticRegression(
-            regParam=1.0 / n, standardization=False, maxIter=100, family="auto", **common
-        )
-        if n_classes > 2:
-            est = OneVsRest(classifier=est, parallelism=4, **common)
-    else:
-        base = LinearSVC(regParam=1e-4, maxIter=40, tol=1e-3, standardization=False, **common)
-        est = base if n_classes == 2 else OneVsRest(classifier=base, parallelism=4, **common)
-    return est.fit(data)
+def _linear(data: DataFrame, out: Fitted, seed: int, size: int, error: float, cost: float, ridge: float | None) -> None:
+    width = len(data.select("_x").first()[0])
+    classes = len(out.classes)
+    blocks = linear.pack(data, "_x", "_y").persist()
+    try:
+        if out.name == "LogisticRegression":
+            out.solved = linear.solve(
+                blocks, width, linear.one_against_rest(classes), linear.logistic_loss, 0.25, cost,
+                1.0 if ridge is None else ridge,
+            )
+            return
+        out.land = landmarks.choose(data, "_x", _gamma(blocks, width), error, size, seed)
+        basis = out.land.basis
+        moments = linear.second_moments(blocks, width, basis)
+        # from a wide corner to a narrow one, each fit starting from the last
+        for corner, tol in CORNERS:
+            out.solved = linear.solve(
+                blocks, width, linear.one_against_one(classes), linear.hinge_loss(corner), 1.0 / corner, cost,
+                0.0 if ridge is None else ridge, basis, moments, out.solved, tol,
+            )
+    finally:
+        blocks.unpersist()
 
 
-def _kernel_waves(df: DataFrame, cols: list[str], seed: int, size: int):
+def _gamma(blocks: DataFrame, width: int) -> float:
     """Radial kernel width 1 / (d * variance over all cells), as the exact machine sets it."""
-    if any(c not in df.columns for c in cols):
-        raise ValueError("missing input columns")
-    stats = df.agg(
-        *[F.struct(F.avg(col(c)), F.avg(col(c) * col(c))).alias(f"a{i}") for i, c in enumerate(cols)]
-    ).first()
-    m = np.mean([stats[f"a{i}"][0] for i in range(len(cols))])
-    var = np.mean([stats[f"a{i}"][1] for i in range(len(cols))]) - m * m
-    gamma = 1.0 / (len(cols) * var) if var > 0 else 1.0
-    return draw_waves(len(cols), gamma, size, seed)
+    m = linear.second_moments(blocks, width)
+    cells = m[-1, -1] * width
+    mean = m[-1, :-1].sum() / cells
+    var = np.trace(m[:-1, :-1]) / cells - mean * mean
+    return 1.0 / (width * var) if var > 0 else 1.0
