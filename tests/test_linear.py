@@ -141,3 +141,37 @@ def test_kernel_projection_equals_the_exact_one(spark):
     for j in range(2):
         want = vectors[:, -1 - j] * np.sqrt(values[-1 - j])
         assert min(np.abs(out[:, j] - want).max(), np.abs(out[:, j] + want).max()) < 1e-3
+
+
+def test_streamed_state_gives_the_projection_at_a_large_offset(spark, tmp_path):
+    from winnow.streaming.moments import read_state, state_stream
+
+    df, x, _ = rows(spark, 300, seed=7, shift=1e6)
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cols, path = ["p", "q", "s"], str(tmp_path / "state")
+    state_stream(stream, cols, path, str(tmp_path / "cp")).awaitTermination()
+    state_stream(stream, cols, path, str(tmp_path / "cp")).awaitTermination()  # nothing new, nothing twice
+    state = read_state(spark, path)
+    assert state.n == 300
+    want = features.fit_features(df, "pca")
+    assert np.allclose(state.projection(cols, 2).weights, want.weights, atol=1e-8)
+    c = x - x.mean(axis=0)
+    assert np.allclose(state.scatter, c.T @ c, rtol=1e-8, atol=1e-6)
+
+
+def test_states_merge_in_any_order():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 4)) + 1e6
+
+    def state(a):
+        c = a - a.mean(axis=0)
+        return features.CentredState(len(a), a.mean(axis=0), c.T @ c)
+
+    parts = [state(x[:10]), state(x[10:11]), state(x[11:])]
+    empty = features.CentredState(0.0, np.zeros(4), np.zeros((4, 4)))
+    for order in ([0, 1, 2], [2, 0, 1], [1, 2, 0]):
+        got = empty.merge(parts[order[0]]).merge(parts[order[1]]).merge(parts[order[2]]).merge(empty)
+        assert got.n == 90 and np.allclose(got.scatter, state(x).scatter, atol=1e-6)
+    names = ["a", "b", "c", "d"]
+    assert np.allclose(got.projection(names, 2).weights, state(x).projection(names, 2).weights, atol=1e-8)

@@ -99,6 +99,35 @@ def top_eigen(a: np.ndarray, k: int) -> np.ndarray:
     return fix_signs(vectors[:, order])
 
 
+@dataclass
+class CentredState:
+    """Rows, means and the sums of products of deviations from them. Merging works on differences of
+    means, so an offset that all rows share costs no digits, and batches may come in any order."""
+
+    n: float
+    mean: np.ndarray
+    scatter: np.ndarray
+
+    def merge(self, other: CentredState) -> CentredState:
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        scatter = self.scatter + other.scatter + np.outer(gap, gap) * (self.n * other.n / n)
+        return CentredState(n, self.mean + gap * (other.n / n), scatter)
+
+    def projection(self, cols: list[str], k: int, roles: Roles = ROLES) -> FeatureMap:
+        out = FeatureMap("IncrementalPCA", cols, roles, centre=self.mean)
+        out.weights = top_eigen(self.scatter / max(self.n - 1.0, 1.0), min(k, len(cols)))
+        return out
+
+
+def centred_state(df: DataFrame, cols: list[str]) -> CentredState:
+    """The state of one batch: two aggregates with map-side partials, d * d numbers to the driver."""
+    n, mean, cov = M.centred_gram(df, cols)
+    return CentredState(n, mean, cov * max(n - 1.0, 1.0))
+
+
 def moment_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(i, j, n, si, sj, sij): additive over batches, so a later batch is a groupBy-sum."""
     n, s, g = M.gram(df, cols)

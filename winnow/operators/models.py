@@ -17,6 +17,8 @@ from winnow.operators.features import assembled, dot
 from winnow.roles import ROLES, Roles, col, ident
 
 MODELS = ("KNN", "LogisticRegression", "DecisionTree", "SVM")
+# Landmarks of the SVM at most: every pass adds up second derivatives between all of them.
+KERNEL_FEATURES = 256
 # The SVM's hinge with its corner rounded, and how far each fit goes.
 CORNERS = ((1.0, 1e-2), (0.2, 1e-2), (0.05, 1e-4))
 
@@ -84,12 +86,12 @@ def votes(decisions: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 def fit_model(
     df: DataFrame, name: str, roles: Roles = ROLES, seed: int = 0, max_depth: int = 20, max_bins: int = 64,
-    kernel_features: int = landmarks.LIMIT, kernel_error: float = landmarks.ERROR, cost: float = 1.0,
+    kernel_features: int = KERNEL_FEATURES, kernel_error: float = landmarks.ERROR, cost: float = 1.0,
     offset_ridge: float | None = None,
 ) -> Fitted:
     """``max_depth`` and ``max_bins`` bound the tree. The SVM's radial kernel is replaced by its
     restriction to landmark rows, as many as leave out at most ``kernel_error`` of k(x, x) on
-    average, ``kernel_features`` at most. ``cost`` weighs the rows' losses against the weights' size;
+    average, ``kernel_features`` at most (``land.error`` is the part measured). ``cost`` weighs the rows' losses against the weights' size;
     ``offset_ridge`` is the penalty on the offset (by default 1 for the logistic regression, 0 for
     the SVM)."""
     known_model(name)
