@@ -20,7 +20,7 @@ MODELS = ("KNN", "LogisticRegression", "DecisionTree", "SVM")
 # Landmarks of the SVM at most: every pass adds up second derivatives between all of them.
 KERNEL_FEATURES = 256
 # The SVM's hinge with its corner rounded, and how far each fit goes.
-CORNERS = ((1.0, 1e-2), (0.2, 1e-2), (0.05, 1e-4))
+CORNERS = ((1.0, 0.1), (0.2, 0.03), (0.05, 0.01))
 
 
 def known_model(name: str) -> str:
