@@ -8,7 +8,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from winnow.operators import models, tree
+from winnow.operators import features, models, tree
 
 
 def noisy(spark, n=3000, seed=5):
@@ -24,7 +24,7 @@ def noisy(spark, n=3000, seed=5):
 @pytest.mark.parametrize("depth", [20, 4])
 def test_tree_is_spark_mls(spark, node_rows, depth):
     df = noisy(spark)
-    fitted = tree.fit_tree(df, 4, depth, 32, node_rows=node_rows)
+    fitted = tree.fit_tree(df, tree.class_counts(df, 4), depth, 32, node_rows=node_rows)
     ml = DecisionTreeClassifier(featuresCol="v", labelCol="_y", maxDepth=depth, maxBins=32, maxMemoryInMB=512, seed=42)
     ready = df.withColumn("v", array_to_vector("_x"))
     both = ml.fit(ready).transform(ready).withColumn("mine", fitted.predict(ready, F.col("_x")))
@@ -55,6 +55,27 @@ def test_tree_takes_few_jobs(spark):
 def test_no_column_varies(spark):
     df = spark.createDataFrame([(i, 1.0, "ab"[i % 2]) for i in range(10)], "row_id long, f_a double, label string")
     for rows in (tree.NODE_ROWS, 2):
-        fitted = tree.fit_tree(df.selectExpr("array(f_a) AS _x", "double(row_id % 2) AS _y"), 2, node_rows=rows)
+        fitted = tree.fit_tree(df.selectExpr("array(f_a) AS _x", "double(row_id % 2) AS _y"), np.array([5, 5]), node_rows=rows)
         assert fitted.depth == 0
     assert {r["prediction"] for r in models.fit_model(df, "DecisionTree").predict(df).collect()} == {"a"}
+
+
+def test_tables_beyond_the_bins_sample_keep_spark_mls_cuts(spark):
+    """Where Spark ML cuts the bins by a sample and its histograms are small, the fit is its own."""
+    df = noisy(spark, 10_500).select(
+        F.monotonically_increasing_id().alias("row_id"), *[F.col("_x")[i].alias(f"f_{i}") for i in range(4)], F.col("_y").cast("string").alias("label")
+    ).persist()
+    got = models.fit_model(df, "DecisionTree").predict(df)
+    ready = models.assembled(df, [f"f_{i}" for i in range(4)], "v").withColumn("y", F.col("label").cast("double")).persist()
+    ml = DecisionTreeClassifier(featuresCol="v", labelCol="y", predictionCol="p", maxDepth=20, maxBins=64, maxMemoryInMB=1024, seed=42).fit(ready)
+    both = got.join(ml.transform(ready).select("row_id", "p"), "row_id")
+    assert both.count() == 10_500 and both.where(F.col("prediction").cast("double") != F.col("p")).count() == 0
+
+
+def test_the_forest_is_dealt_by_rows(spark):
+    """A task of the forest gets a bounded number of rows, however few parts the table has."""
+    df = spark.range(1000).repartition(2)
+    assert features.in_parts(df, 1000) is df
+    few = features.in_parts(df.coalesce(1), 20)
+    sizes = [r["n"] for r in few.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 50 and max(sizes) <= 30 and sum(sizes) == 1000
