@@ -175,3 +175,34 @@ def test_states_merge_in_any_order():
         assert got.n == 90 and np.allclose(got.scatter, state(x).scatter, atol=1e-6)
     names = ["a", "b", "c", "d"]
     assert np.allclose(got.projection(names, 2).weights, state(x).projection(names, 2).weights, atol=1e-8)
+
+
+def test_a_fit_has_few_tasks_and_sends_half_the_second_derivatives_as_bytes(spark, monkeypatch):
+    """Sixty-four small partitions: a pass has one task per core, and what it sends is bytes."""
+    df, x, label = rows(spark, 300, seed=5)
+    seen, plain = [], linear.summed
+    wide = np.arange(256 * 256).reshape(256, 256) % 7.0
+
+    def watched(blocks, width, part, keys):
+        seen.append((blocks.rdd.getNumPartitions(), part(np.ones((2, width)), np.zeros(2, np.int32)).shape))
+        return plain(blocks, width, part, keys)
+
+    monkeypatch.setattr(linear, "summed", watched)
+    fitted = models.fit_model(df.repartition(64), "SVM", kernel_features=64)
+    assert fitted.solved.converged
+    assert max(n for n, _ in seen) <= spark.sparkContext.defaultParallelism
+    size = len(fitted.land.points) + 1
+    assert seen[-1][1][1] == size + 1 + size * (size + 1) // 2
+    blocks = linear.pack(spark.createDataFrame([(list(map(float, r)), i % 3) for i, r in enumerate(wide)], "x array<double>, y int").repartition(9), "x", "y")
+    got = plain(blocks, 256, lambda m, codes: np.array([m[codes == k].sum(axis=0) for k in range(3)]), 3)
+    assert all(np.array_equal(got[k], wide[k::3].sum(axis=0)) for k in range(3))
+
+
+def test_rows_are_dealt_to_more_tasks_where_there_are_many(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("array(double(id), 1D) AS x")
+    cores = spark.sparkContext.defaultParallelism
+    assert linear.dealt(df.repartition(64), "x").rdd.getNumPartitions() == cores
+    assert linear.dealt(df.coalesce(1), "x").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(linear, "TASK_CELLS", 200)
+    many = linear.dealt(df.repartition(64), "x")
+    assert many.rdd.getNumPartitions() == 40 and many.count() == 4000
