@@ -863,3 +863,43 @@ def test_nearest_datasets_asks_for_every_measure(spark):
     kb = spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.1)], "dataset string, n_instances double, max_mutual_info double")
     with pytest.raises(ValueError, match="max_mutual_info"):
         knowledge.nearest_datasets(kb, kb.drop("max_mutual_info"))
+
+
+@pytest.mark.parametrize("copies", [0, 8])
+def test_knn_imputation_by_views_and_trees(spark, monkeypatch, copies):
+    """Blocks searched by a tree, several blocks a cell, and views of a pattern or none."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        x = [round(rng.gauss(0, 3), 1), float(rng.randint(0, 2)), rng.random(), 1.0]
+        rows.append((i, [None if j < 2 and rng.random() < 0.2 else v for j, v in enumerate(x)]))
+    for name, value in (("TREE_ROWS", 60), ("BRUTE_ROWS", 10), ("LEAF_ROWS", 12), ("CELLS", 200), ("COPIES", copies), ("CHUNK_ROWS", 40)):
+        monkeypatch.setattr(knn, name, value)
+    monkeypatch.setattr(knn.nearest, "__defaults__", (None, 40))
+    df = frame(spark, [(i, *x) for i, x in rows], "row_id long, a double, b double, c double, d double")
+    got = {r["row_id"]: list(r)[1:] for r in impute.fit_imputer(df, "knn").apply(df).select("row_id", *"abcd").collect()}
+    want = brute_impute(rows)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-9), i
+
+
+def test_knn_tree_finds_what_all_distances_find():
+    rng = np.random.default_rng(1)
+    p = np.round(rng.normal(size=(700, 3)), 1)  # many equal distances
+    a = np.round(rng.normal(size=(90, 3)), 1)
+    every = np.sqrt(((a[:, None] - p[None]) ** 2).sum(axis=2) * 3 / 3)
+    i, j, dist = knn._near_halved(a, knn._halved(p, 5), 5, 3, np.full(90, np.inf))
+    for q in range(90):
+        near = sorted(zip(dist[i == q], j[i == q]))[:5]
+        assert [n for _, n in near] == [n for _, n in sorted(zip(every[q], range(700)))[:5]]
+    assert len(i) < 90 * 700 / 4
+    assert len(knn._near_halved(a, knn._halved(p, 5), 5, 3, np.full(90, -1.0))[0]) == 0
+
+
+def test_knn_keeps_points_once_by_the_columns_that_queries_have(spark):
+    """Queries without ``a`` see 6 different points, not 3,000; before, they were sent to all of them."""
+    pts = spark.range(3000).selectExpr("id AS pid", "double(id) AS x0", "double(id % 6) AS x1")
+    qs = spark.range(50).selectExpr("id AS qid", "'0' AS need", "CAST(NULL AS double) AS x0", "double(id % 7) AS x1")
+    cells, boxes, views = knn._pack(pts, qs, ["x0", "x1"], 5, 1000, True)
+    assert views == {"11": ["01"]}
+    assert cells.count() == 30 and boxes["n"].sum() == 30
