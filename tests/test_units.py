@@ -903,3 +903,20 @@ def test_knn_keeps_points_once_by_the_columns_that_queries_have(spark):
     cells, boxes, views = knn._pack(pts, qs, ["x0", "x1"], 5, 1000, True)
     assert views == {"11": ["01"]}
     assert cells.count() == 30 and boxes["n"].sum() == 30
+
+
+def test_knn_routes_and_ranks_in_small_matrices(monkeypatch):
+    """No matrix of a task has more than half a million numbers, however many cells or points there are."""
+    cells, seen = 1500, []
+    boxes = pd.DataFrame({"cell": [f"1,1,{i}" for i in range(cells)], "pat": "1", "view": "1", "n": 10, "lo_x0": np.arange(cells) * 1.0, "hi_x0": np.arange(cells) + 0.5})
+    plain, parted = knn._lower, np.partition
+    monkeypatch.setattr(knn, "_lower", lambda index, q: seen.append(len(q) * cells) or plain(index, q))
+    monkeypatch.setattr(np, "partition", lambda m, *a, **b: seen.append(m.size) or parted(m, *a, **b))
+    asked = pd.DataFrame({"qid": range(2000), "need": "", "x0": np.arange(2000) % cells + 0.1, "_r": 2.0})
+    index = knn._index(boxes, ["x0"], False, {"1": ["1"]})
+    got = pd.concat(knn._route(iter([asked]), index, 5, ["x0"], "_r"))
+    assert set(got["qid"]) == set(range(2000)) and set(got["r"]) == {2.0}
+    p = np.random.default_rng(2).normal(size=(1900, 2))
+    q = np.random.default_rng(3).normal(size=(3000, 2))
+    top = knn._topk(np.arange(3000), np.array([""] * 3000), q, np.arange(1900), p, 5, 2, np.full(3000, np.inf), False)
+    assert len(top) == 15_000 and max(seen) <= 1 << 19
