@@ -390,12 +390,11 @@ query("ft_discriminant")(_built("lda"))
 
 @query("ft_random_trees")
 def ft_random_trees(spark, sf):
-    """One (row, column) pair per leaf a row falls in: the sparse one-hot in long form."""
-    from pyspark.ml.functions import vector_to_array
-
+    """For each row the number of leaves that it falls in and the first of their columns, from the
+    columns kept by the sparse one-hot vector."""
     df = standardised(spark, sf)
     out = features.fit_features(df, "RandomTrees").apply(df)
-    hot = F.filter(F.transform(vector_to_array("0"), lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
+    hot = F.unwrap_udt("0")["indices"]
     return out.select("row_id", F.size(hot).alias("n_leaves"), F.array_min(hot).alias("first_leaf"))
 
 

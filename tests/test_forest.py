@@ -84,3 +84,21 @@ def test_new_rows_missing_values_and_no_rows(spark):
         fitted.apply(df.withColumn("a", F.lit(None).cast("double"))).collect()
     with pytest.raises(Exception, match="no rows"):
         features.fit_features(df.limit(0), "RandomTrees")
+
+
+def test_the_query_reads_what_the_vector_keeps(spark, tmp_path):
+    """Fails where each row's vector is written out with a number for every leaf of the forest."""
+    rng = np.random.default_rng(2)
+    spark.createDataFrame(
+        [(i, i % 40, float(rng.random()), "O", "1-URGENT", f"1995-{1 + i % 12:02d}-01") for i in range(1, 300)],
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string, d string",
+    ).withColumn("o_orderdate", F.to_date("d")).drop("d").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, float(rng.random()), "BUILDING", 1) for i in range(40)], "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey long").write.parquet(
+        f"{tmp_path}/customer.parquet")
+    from __spark_entry__ import queries
+
+    out = queries()["ft_random_trees"](spark, str(tmp_path))
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert out.columns == ["row_id", "n_leaves", "first_leaf"] and len(got) == 299
+    assert {r["n_leaves"] for r in got} == {features.TREES} and len({r["first_leaf"] for r in got}) > 5
