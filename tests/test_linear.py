@@ -206,3 +206,26 @@ def test_rows_are_dealt_to_more_tasks_where_there_are_many(spark, monkeypatch):
     monkeypatch.setattr(linear, "TASK_CELLS", 200)
     many = linear.dealt(df.repartition(64), "x")
     assert many.rdd.getNumPartitions() == 40 and many.count() == 4000
+
+
+def test_passes_of_the_machine_do_not_grow_with_the_rows(monkeypatch):
+    """Labels that little predicts, a kernel that nearly spans the constant: few passes to the best, for
+    few rows and many. Took 34 and 43 with the corner's own second derivatives and a curvature of the
+    offset that grows with the rows."""
+    rng = np.random.default_rng(4)
+    for n in (3000, 24_000):
+        x = rng.normal(size=(n, 4))
+        y = np.where(rng.random(n) < 0.05, x[:, 0] > 0, rng.random(n) < 0.5).astype(np.int32)
+        land = landmarks._spanned(x[:120], 0.2)
+        monkeypatch.setattr(linear, "summed", lambda blocks, width, part, keys, x=x, y=y: dict(enumerate(part(x, y))))
+        fitted = linear.solve(None, 4, linear.one_against_one(2), linear.hinge_loss(0.05), 20.0, offset_ridge=0.0, basis=land.basis, tol=0.002)
+        assert fitted.converged and fitted.rounds <= 22, fitted.rounds
+        f, side = land.features(x), np.where(y == 0, 1.0, -1.0)
+
+        def objective(w, b):
+            return 0.5 * w @ w + linear.hinge_loss(0.05)(side * (f @ w + b))[0].sum()
+
+        best = objective(fitted.weights[0], fitted.offsets[0])
+        for _ in range(50):  # no step nearby is better by more than a trifle
+            w, b = fitted.weights[0] + rng.normal(size=f.shape[1]) * 0.02, fitted.offsets[0] + rng.normal() * 0.02
+            assert objective(w, b) > best - 1e-6 * best
