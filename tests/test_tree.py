@@ -79,3 +79,32 @@ def test_the_forest_is_dealt_by_rows(spark):
     few = features.in_parts(df.coalesce(1), 20)
     sizes = [r["n"] for r in few.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 50 and max(sizes) <= 30 and sum(sizes) == 1000
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_columns_of_few_bins_are_counted_together(monkeypatch, few):
+    """The same tree from sorts and from tables of counts, in shares of the columns too."""
+    rng = np.random.default_rng(6)
+    codes = np.column_stack([rng.integers(0, k, 600) for k in (2, 1, 3, 30, 2, 4, 9, 2, 2)]).astype(np.uint8)
+    y = rng.integers(0, 4, 600).astype(np.int32)
+    whole = tree.grow(codes, y, 4, 30, 12)
+    monkeypatch.setattr(tree, "FEW_BINS", few)
+    monkeypatch.setattr(tree, "COUNTED", 5000)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, tree.grow(codes, y, 4, 30, 12)))
+
+
+def test_many_narrow_columns_take_few_passes(monkeypatch):
+    """Fails where every column of a one-hot is sorted by itself at every level."""
+    rng = np.random.default_rng(7)
+    codes, y = (rng.random((400, 300)) < 0.1).astype(np.uint8), rng.integers(0, 3, 400).astype(np.int32)
+    seen, plain = [], tree.gains
+    monkeypatch.setattr(tree, "gains", lambda *a: seen.append(1) or plain(*a))
+    made = tree.grow(codes, y, 3, 2, 6)
+    assert len(made[0]) > 20 and len(seen) <= 12, len(seen)
+
+
+def test_bins_of_both_routes_are_equal(spark, monkeypatch):
+    df = noisy(spark, 2000)
+    one = tree.thresholds(df, 2000, 4, 32, 42)
+    monkeypatch.setattr(tree, "CUT_CELLS", 0)
+    assert all(np.array_equal(a, b) for a, b in zip(one, tree.thresholds(df, 2000, 4, 32, 42), strict=True))
